@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from graphmill.functions import clean, jsontext
 from graphmill.operators.upsert import EDGE_KEY, last_write
 
+# Generators are the outer kind followed by a null test on their output: for the plain kind Spark
+# adds a filter with a second copy of the generator's input, parsing every JSON text twice.
+
 
 def _node(label: str, key: Column | str, **props: Column) -> Column:
     key = F.col(key) if isinstance(key, str) else key
@@ -27,8 +30,8 @@ def _edge(src_label: str, src: Column, rel: str, dst_label: str, dst: Column) ->
 
 def _inline(df: DataFrame, structs: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
     """The non-null structs of each row, one output row per struct."""
-    present = F.filter(F.array(*structs), lambda s: s.isNotNull())
-    return df.select(*keep, F.explode(present).alias("_s")).select(*keep, "_s.*")
+    rows = df.select(*keep, F.explode_outer(F.array(*structs)).alias("_s")).where("_s is not null")
+    return rows.select(*keep, "_s.*")
 
 
 def company_nodes(profiles: DataFrame, as_of: str | None = None, description_length: int | None = 500) -> DataFrame:
@@ -126,7 +129,7 @@ def company_paths(edges: DataFrame, company_rel: str = "BELONGS_TO") -> DataFram
 def officer_rows(profiles: DataFrame) -> DataFrame:
     """One row per named officer. A null title becomes empty text and drops nobody."""
     exploded = profiles.select(
-        "ticker", "seq", F.posexplode(jsontext.officers("officers_json")).alias("pos", "o")
+        "ticker", "seq", F.posexplode_outer(jsontext.officers("officers_json")).alias("pos", "o")
     )
     return exploded.select(
         "ticker", "seq", "pos",
@@ -154,7 +157,7 @@ def people(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def holder_rows(profiles: DataFrame) -> DataFrame:
     exploded = profiles.select(
-        "ticker", "seq", F.posexplode(jsontext.holders("holders_json")).alias("pos", "h")
+        "ticker", "seq", F.posexplode_outer(jsontext.holders("holders_json")).alias("pos", "h")
     )
     return exploded.select(
         "ticker", "seq", "pos",
@@ -195,7 +198,7 @@ def list_relations(
         return F.transform(names, lambda n: _edge("Company", F.col(key), rel, label, n))
 
     lists = [named(field, rel, label) for field, (rel, label) in relations.items()]
-    return details.select(F.explode(F.concat(*lists)).alias("_e")).select("_e.*").distinct()
+    return details.select(F.explode_outer(F.concat(*lists)).alias("_e")).where("_e is not null").select("_e.*").distinct()
 
 
 def edge_targets(edges: DataFrame) -> DataFrame:
@@ -261,5 +264,5 @@ def alias_table(profiles: DataFrame) -> DataFrame:
         named(fund, "Fund"),
         F.array(entry(city, "City", city, "name"), entry(country, "Country", country, "name")),
     )
-    rows = profiles.select("seq", F.posexplode(entries).alias("pos", "e")).select("seq", "pos", "e.*")
+    rows = profiles.select("seq", F.posexplode_outer(entries).alias("pos", "e")).select("seq", "pos", "e.*")
     return last_write(rows.where("alias is not null"), ["alias"], ["seq", "pos"]).drop("seq", "pos")

@@ -50,7 +50,7 @@ def folded(c: Column | str) -> Column:
 
 
 def sorted_words(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(c, " ")), " ")
+    return F.array_join(F.sort_array(F.split(c, " ")), " ")
 
 
 def _edit_similarity(a: Column, b: Column) -> Column:
@@ -80,7 +80,7 @@ def _tokens(names: DataFrame, tokens: Column, needed: Column, rarity: DataFrame)
     within its ``n - o + 1`` rarest ones, so frequent tokens stay out of the join.
     """
     rows = names.select("text", needed.alias("_needed"), tokens.alias("_tokens")).select(
-        "text", "_needed", F.size("_tokens").alias("_n"), F.explode("_tokens").alias("token")
+        "text", "_needed", F.size("_tokens").alias("_n"), F.explode_outer("_tokens").alias("token")
     )
     by_rarity = Window.partitionBy("text").orderBy(F.coalesce("_count", F.lit(0)), "token")
     return (
@@ -93,7 +93,7 @@ def _tokens(names: DataFrame, tokens: Column, needed: Column, rarity: DataFrame)
 
 def _numbered(items: Column) -> Column:
     """Items of a list made distinct by the number of equal items before them."""
-    ordered = F.array_sort(items)
+    ordered = F.sort_array(items)
     return F.transform(
         ordered, lambda item, i: F.concat(item, F.lit("#"), (i - F.array_position(ordered, item)).cast("string"))
     )
@@ -112,13 +112,14 @@ def _meet(
 
     ``full_names`` compares the rare end of either side with all tokens of the other.
     """
-    rarity = names.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("_count"))
+    # Outer, as a plain explode would push a second copy of the token expression below as a filter.
+    rarity = names.select(F.explode_outer(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("_count"))
     rare_terms = _tokens(terms, tokens, needed, rarity).withColumnRenamed("text", "term")
     rare_names = _tokens(names, tokens, needed, rarity).withColumnRenamed("text", "name")
     if not full_names:
         return rare_terms.join(rare_names, "token").select("term", "name")
-    all_terms = terms.select(F.col("text").alias("term"), F.explode(tokens).alias("token"))
-    all_names = names.select(F.col("text").alias("name"), F.explode(tokens).alias("token"))
+    all_terms = terms.select(F.col("text").alias("term"), F.explode_outer(tokens).alias("token"))
+    all_names = names.select(F.col("text").alias("name"), F.explode_outer(tokens).alias("token"))
     return (
         rare_terms.join(all_names, "token").select("term", "name")
         .union(all_terms.join(rare_names, "token").select("term", "name"))
@@ -126,16 +127,30 @@ def _meet(
 
 
 def _edit_pairs(terms: DataFrame, names: DataFrame, form: Column, share: float) -> DataFrame:
-    """Every pair whose edit similarity on ``form`` can exceed ``share`` (at least one half).
+    """Every pair whose edit similarity on ``form`` exceeds ``share`` (at least one half).
 
     With ``n`` the longer length, similarity above ``share`` means fewer than ``(1 - share) n``
     edits; an edit touches two of the ``n + 1`` padded bigrams, so more than
-    ``1 + (2 share - 1) n`` of them are shared.
+    ``1 + (2 share - 1) n`` of them are shared. Distinct forms meet, not texts, and the bounded
+    edit distance gives up on a pair as soon as it is too far apart.
     """
-    needed = (F.floor(1 + (2 * share - 1) * F.length(form)) + 1).cast("int")
-    pairs = _meet(terms, names, _bigrams(form), needed)
+    text = F.col("text")
+    needed = (F.floor(1 + (2 * share - 1) * F.length(text)) + 1).cast("int")
+    sides = [df.select(form.alias("text"), F.col("text").alias("_own")) for df in (terms, names)]
+    pairs = _meet(*[side.select("text").distinct() for side in sides], _bigrams(text), needed)
     shorter, longer = F.least(F.length("term"), F.length("name")), F.greatest(F.length("term"), F.length("name"))
-    return pairs.where(longer - shorter <= (1 - share) * longer)
+    edits = F.floor((1 - share) * longer + 1e-9).cast("int")
+    near = (
+        pairs.where(longer - shorter <= edits).withColumn("_edits", edits)
+        .where(F.expr("levenshtein(term, name, _edits) >= 0")).select("term", "name").distinct()
+    )
+    own_term, own_name = (
+        side.select(F.col("text").alias(into), F.col("_own").alias(f"_{into}"))
+        for side, into in zip(sides, ("term", "name"), strict=True)
+    )
+    return near.join(own_term, "term").join(own_name, "name").select(
+        F.col("_term").alias("term"), F.col("_name").alias("name")
+    )
 
 
 def fuzzy(
@@ -270,7 +285,7 @@ def gazetteer(
         return F.when(F.size(words) >= length, grams).otherwise(F.array().cast("array<struct<pos:int,_gram:string>>"))
 
     rows = texts.select(id_col, words_of(text).alias("_words")).select(
-        id_col, F.explode(F.concat(*[windows(n) for n in lengths])).alias("_g")
+        id_col, F.explode_outer(F.concat(*[windows(n) for n in lengths])).alias("_g")
     )
-    counted = rows.groupBy(id_col, "_g._gram").agg(F.min("_g.pos").alias("pos"), F.count("*").alias("n"))
+    counted = rows.where("_g is not null").groupBy(id_col, "_g._gram").agg(F.min("_g.pos").alias("pos"), F.count("*").alias("n"))
     return counted.join(known.select(alias, "_gram"), "_gram").select(id_col, alias, "pos", "n")

@@ -234,7 +234,7 @@ def _block_join(
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return NO_HITS
-        i_ids, vectors = right["id"].to_numpy(), _matrix(right["vec"])
+        i_ids, vectors = right["item"].to_numpy(), _matrix(right["item_vec"])
         parts = []
         if not self_join:
             parts += _hits(left["id"].to_numpy(), _matrix(left["vec"]), i_ids, vectors, k, bound, strict, same)
@@ -249,7 +249,7 @@ def _block_join(
     columns = ["id", "vec", "home", *unit] if self_join else ["id", "vec", *unit]
     return (
         q_side.select(*columns).groupBy(*unit)
-        .cogroup(i_side.select("id", "vec", *unit).groupBy(*unit))
+        .cogroup(i_side.select(F.col("id").alias("item"), F.col("vec").alias("item_vec"), *unit).groupBy(*unit))
         .applyInPandas(multiply, HIT.format(id=id_type))
     )
 

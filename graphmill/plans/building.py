@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphmill import schemas
 from graphmill.functions import clean, jsontext, relations, text
 from graphmill.operators import build, digest, maintain, match, upsert
+from graphmill.plans.registry import Registry
 from graphmill.plans.standins import (
     PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table,
 )
@@ -15,20 +16,10 @@ from graphmill.sources import news as news_source
 from graphmill.sources import profiles as profile_source
 from graphmill.sources import tables
 
-QUERIES, SQL = {}, {}
+query = Registry()
 AS_OF = "2024-01-31"
 
 
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return register
-
-
 # ---------------------------------------------------------------- cleaning
 
 

@@ -1 +1,348 @@
-QUERIES, SQL = {}, {}
+"""Queries: exact, fuzzy and staged matching, mentions, vectors and retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphmill.functions import text
+from graphmill.operators import enrich, evaluate, hooks, match, vectors
+from graphmill.plans.registry import Registry
+from graphmill.plans.standins import PART_NAMES, SUPPLIER_CTE, derive, duck, suppliers, table
+
+query = Registry()
+
+# ---------------------------------------------------------------- names
+
+
+@query(
+    "exact_lookup",
+    """
+    SELECT p.p_partkey, p.p_name AS term, d.p_type AS label FROM part p
+    JOIN (SELECT p_name, arg_max(p_type, p_partkey) AS p_type FROM part WHERE p_size > 25 GROUP BY 1) d ON p.p_name = d.p_name
+    """,
+)
+def exact_lookup(spark, sf):
+    from graphmill.operators.upsert import lookup_table
+
+    parts = table(spark, sf, "part")
+    known = parts.where("p_size > 25").select(F.col("p_name").alias("alias"), F.col("p_type").alias("label"), "p_partkey")
+    known = lookup_table(known, "alias", ["label"], ["p_partkey"])
+    return match.exact(parts.select("p_partkey", F.col("p_name").alias("term")), known)
+
+
+NODES_SQL = "SELECT 'Company' AS label, ticker AS key, ticker, name FROM profiles"
+TERM_FORMS = """SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN lower(concat('S-', CAST(l_suppkey AS STRING)))
+  WHEN l_returnflag = 'A' THEN upper(concat('Supplier#', lpad(CAST(l_suppkey AS STRING), 9, '0')))
+  ELSE concat('Supplier ', CAST(l_suppkey AS STRING)) END AS term FROM {lineitem}"""
+
+
+def _nodes(spark, sf):
+    return suppliers(spark, sf).select(F.lit("Company").alias("label"), F.col("ticker").alias("key"), "ticker", "name")
+
+
+@query(
+    "exact_either",
+    f"""
+    WITH {SUPPLIER_CTE}, nodes AS ({NODES_SQL}), terms AS ({duck(TERM_FORMS)})
+    SELECT term, label, key, name FROM terms JOIN nodes ON lower(term) = lower(ticker) OR lower(term) = lower(name)
+    """,
+)
+def exact_either(spark, sf):
+    return match.exact_either(derive(spark, sf, TERM_FORMS, "lineitem"), _nodes(spark, sf))
+
+
+@query(
+    "exact_first_row",
+    "SELECT p_name, min(p_partkey) AS p_partkey, arg_min(p_brand, p_partkey) AS p_brand FROM part GROUP BY 1",
+)
+def exact_first_row(spark, sf):
+    return match.first_row(table(spark, sf, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
+
+
+# Misspelt part names: a letter lost, a word moved, a word added.
+TYPOS = """SELECT DISTINCT CASE WHEN p_size < 15 THEN replace(alias, 'in', 'n') WHEN p_size < 30 THEN concat(p_brand, ' ', p_name, ' ', p_type)
+  ELSE concat(alias, '0 ') END AS term FROM (SELECT *, concat(p_name, ' ', p_type, ' ', p_brand) AS alias FROM {part}) AS p"""
+SHORT_TYPOS = """SELECT DISTINCT CASE WHEN p_size < 15 THEN replace(p_name, 'e', '') WHEN p_size < 30 THEN concat(p_name, ' co')
+  ELSE p_type END AS term FROM {part}"""
+
+SCORE = """round(100 * greatest(1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE,
+  0.95 * (1 - levenshtein(sa, sb) / greatest(length(sa), length(sb))::DOUBLE),
+  0.9 * (len(list_intersect(wa, wb)) / least(len(wa), len(wb))::DOUBLE)), 6)"""
+
+
+def _fuzzy_sql(terms: str, names: str, k: int, floor: int) -> str:
+    fold = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+    forms = "array_to_string(list_sort(string_split({0}, ' ')), ' ') AS s{0}, list_distinct(string_split({0}, ' ')) AS w{0}"
+    return f"""
+    terms AS ({duck(terms)}), dict AS ({duck(names)}),
+    ta AS (SELECT *, {forms.format("a")} FROM (SELECT term, {fold.format("term")} AS a FROM terms)),
+    db AS (SELECT *, {forms.format("b")} FROM (SELECT alias, {fold.format("alias")} AS b FROM dict)),
+    scored AS (SELECT term, alias, b, {SCORE} AS score FROM ta, db),
+    near AS (SELECT term, alias, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, b) AS rank
+      FROM scored WHERE score > {floor} QUALIFY rank <= {k})"""
+
+
+@query("fuzzy_top1", f"WITH {_fuzzy_sql(TYPOS, PART_NAMES, 1, 90)} SELECT * FROM near")
+def fuzzy_top1(spark, sf):
+    return match.fuzzy(derive(spark, sf, TYPOS, "part"), derive(spark, sf, PART_NAMES, "part"), 1, 90)
+
+
+SHORT_NAMES = "SELECT DISTINCT p_name AS alias FROM {part}"
+
+
+@query("fuzzy_top5", f"WITH {_fuzzy_sql(SHORT_TYPOS, SHORT_NAMES, 5, 50)} SELECT * FROM near")
+def fuzzy_top5(spark, sf):
+    return match.fuzzy(derive(spark, sf, SHORT_TYPOS, "part"), derive(spark, sf, SHORT_NAMES, "part"), 5, 50)
+
+
+# Official names given from outside: brand numbers stand for one full part name each.
+OFFICIAL = """SELECT concat('alias ', p_brand) AS term, CASE WHEN p_brand < 'Brand#2' THEN min(concat(p_name, ' ', p_type, ' ', p_brand))
+  ELSE concat(min(concat(p_name, ' ', p_type, ' ', p_brand)), '9') END AS official_name FROM {part} GROUP BY p_brand"""
+STAGED_TERMS = f"""SELECT term FROM ({TYPOS}) AS t UNION SELECT alias FROM ({PART_NAMES}) AS n UNION SELECT term FROM ({OFFICIAL}) AS o"""
+TYPED_NAMES = """SELECT concat(p_name, ' ', p_type, ' ', p_brand) AS alias, 'Product' AS label, min(p_partkey) AS key FROM {part} GROUP BY 1"""
+
+
+@query(
+    "resolve_cascade",
+    f"""
+    WITH dictionary AS ({duck(TYPED_NAMES)}), official AS ({duck(OFFICIAL)}), all_terms AS ({duck(STAGED_TERMS)}),
+    s1 AS (SELECT term, 'exact' AS stage, 100.0::DOUBLE AS score, label, key FROM all_terms JOIN dictionary ON term = alias),
+    {_fuzzy_sql("SELECT term FROM all_terms WHERE term NOT IN (SELECT term FROM s1)", "SELECT alias FROM dictionary WHERE length(alias) > 3", 1, 90)},
+    s2 AS (SELECT term, 'fuzzy' AS stage, score, label, key FROM near JOIN dictionary USING (alias)),
+    left2 AS (SELECT a.term, official_name FROM all_terms a JOIN official o ON a.term = o.term
+      WHERE a.term NOT IN (SELECT term FROM s1) AND a.term NOT IN (SELECT term FROM s2)),
+    s3 AS (SELECT term, 'official_exact' AS stage, 100.0::DOUBLE AS score, label, key FROM left2 JOIN dictionary ON official_name = alias),
+    left3 AS (SELECT * FROM left2 WHERE term NOT IN (SELECT term FROM s3)),
+    {_fuzzy_sql("SELECT DISTINCT official_name AS term FROM left3", "SELECT alias FROM dictionary WHERE length(alias) > 3", 1, 90)
+      .replace("terms AS", "terms4 AS").replace("FROM terms)", "FROM terms4)").replace("dict AS", "dict4 AS").replace("FROM dict)", "FROM dict4)")
+      .replace("ta AS", "ta4 AS").replace("db AS", "db4 AS").replace("FROM ta, db", "FROM ta4, db4").replace("scored AS", "scored4 AS")
+      .replace("FROM scored", "FROM scored4").replace("near AS", "near4 AS")},
+    s4 AS (SELECT l.term, 'official_fuzzy' AS stage, score, label, key FROM left3 l JOIN near4 n ON l.official_name = n.term JOIN dictionary USING (alias))
+    SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4
+    """,
+)
+def resolve_cascade(spark, sf):
+    return match.resolve_names(
+        derive(spark, sf, STAGED_TERMS, "part"), derive(spark, sf, TYPED_NAMES, "part"), derive(spark, sf, OFFICIAL, "part")
+    )
+
+
+@query(
+    "decided_matches",
+    f"""
+    WITH dictionary AS ({duck(SHORT_NAMES)}), all_terms AS ({duck(SHORT_TYPOS)} UNION SELECT alias FROM dictionary),
+    s1 AS (SELECT term AS name, upper(term) AS match, 'exact' AS stage FROM all_terms JOIN dictionary ON term = alias),
+    {_fuzzy_sql("SELECT term FROM all_terms WHERE term NOT IN (SELECT name FROM s1)", "SELECT alias FROM dictionary", 5, 50)}
+    SELECT * FROM s1 UNION ALL SELECT DISTINCT term, 'DECIDED', 'decided' FROM near WHERE length(term) < 12
+    """,
+)
+def decided_matches(spark, sf):
+    dictionary = derive(spark, sf, SHORT_NAMES, "part").withColumn("ticker", F.upper("alias"))
+    names = derive(spark, sf, SHORT_TYPOS, "part").union(dictionary.select("alias")).distinct()
+    names = names.withColumnRenamed("term", "name")
+    decisions = names.select("name", F.when(F.length("name") < 12, "DECIDED").alias("match_ticker"))
+    return match.decide_matches(names, dictionary, decisions)
+
+
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(
+    "mentions_gazetteer",
+    f"""
+    WITH phrases AS (SELECT DISTINCT array_to_string(list_slice({WORDS.format("text")}, 1, 5), ' ') AS alias FROM benchmark),
+    w AS (SELECT doc_id, {WORDS.format("text")} AS words FROM documents),
+    grams AS (SELECT doc_id, i AS pos, array_to_string(list_slice(words, i, i + 4), ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 5))
+    SELECT doc_id, alias, min(pos) AS pos, count(*) AS n FROM grams JOIN phrases ON gram = alias GROUP BY 1, 2
+    """,
+)
+def mentions_gazetteer(spark, sf):
+    phrases = table(spark, sf, "benchmark").select(
+        F.array_join(F.slice(match.words_of("text"), 1, 5), " ").alias("alias")
+    )
+    found = match.gazetteer(table(spark, sf, "documents"), phrases.distinct(), "doc_id")
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+# ---------------------------------------------------------------- vectors
+
+VECTORS = "SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings"
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vectors.as_doubles("embedding").alias("vec"), "label")
+
+
+@query(
+    "vector_cosine",
+    f"""
+    WITH v AS ({VECTORS})
+    SELECT id, round(list_cosine_similarity(vec, [1.0::DOUBLE / i for i in generate_series(1, 64)]), 6) AS cos FROM v
+    """,
+)
+def vector_cosine(spark, sf):
+    fixed = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lit(1.0) / i)
+    return _vectors(spark, sf).select("id", F.round(vectors.cosine(F.col("vec"), fixed), 6).alias("cos"))
+
+
+PAIRED = f"""v AS ({VECTORS}), pairs AS (SELECT q.id AS q_id, i.id AS i_id, q.label AS q_label, i.label AS i_label,
+  round(list_cosine_similarity(q.vec, i.vec), 9) AS cos FROM v q, v i WHERE q.id <> i.id),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, i_id) AS rank FROM pairs)"""
+
+
+@query(
+    "knn_top1_threshold",
+    f"WITH {PAIRED} SELECT q_id, i_id, round((1 + cos) / 2, 6) AS score FROM ranked WHERE rank = 1 AND cos >= 0.38",
+)
+def knn_top1_threshold(spark, sf):
+    items = _vectors(spark, sf)
+    nearest = vectors.knn(items, items, 1, 0.69, skip_self=True)
+    return nearest.select("q_id", "i_id", F.round("score", 6).alias("score"))
+
+
+@query("knn_top3", f"WITH {PAIRED} SELECT q_id, i_id, round(cos, 6) AS score, rank FROM ranked WHERE rank <= 3")
+def knn_top3(spark, sf):
+    items = _vectors(spark, sf)
+    nearest = vectors.knn(items, items, 3, scale="cosine", skip_self=True)
+    return nearest.select("q_id", "i_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "knn_blocks",
+    f"WITH {PAIRED} SELECT q_id, i_id, round(cos, 6) AS score, rank FROM ranked WHERE rank <= 3 AND cos > 0.3",
+)
+def knn_blocks(spark, sf):
+    """The search for item tables that are too large to hold on every executor."""
+    items = _vectors(spark, sf)
+    nearest = vectors.knn(items, items, 3, 0.3, strict=True, scale="cosine", skip_self=True, method="blocks")
+    return nearest.select("q_id", "i_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "knn_top5_context",
+    f"""
+    WITH {PAIRED}
+    SELECT q_id, string_agg(concat('Type: Topic', chr(10), 'Name: v', CAST(i_id AS STRING), chr(10), 'Info: label ', CAST(i_label AS STRING), chr(10)),
+      concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY 1
+    """,
+)
+def knn_top5_context(spark, sf):
+    items = _vectors(spark, sf)
+    nodes = items.select(
+        "id", F.lit("Topic").alias("label"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"),
+        F.concat(F.lit("label "), F.col("label").cast("string")).alias("description"),
+    )
+    return evaluate.context_text(vectors.knn(items, items, 5, skip_self=True), nodes)
+
+
+@query(
+    "similar_pairs",
+    f"WITH {PAIRED} SELECT q_id AS a, i_id AS b, round(cos, 6) AS score FROM pairs WHERE q_id < i_id AND cos > 0.35",
+)
+def similar_pairs(spark, sf):
+    pairs = vectors.similar_pairs(_vectors(spark, sf).drop("label"), 0.35)
+    return pairs.select("a", "b", F.round("score", 6).alias("score"))
+
+
+OWNED = f"""{PAIRED}, owned AS (SELECT least(q_label, i_label) AS a, greatest(q_label, i_label) AS b, cos,
+  CASE WHEN q_label < i_label THEN q_id ELSE i_id END AS item_a, CASE WHEN q_label < i_label THEN i_id ELSE q_id END AS item_b
+  FROM pairs WHERE q_id < i_id AND cos > 0.35 AND q_label <> i_label)"""
+
+
+def _owned(spark, sf):
+    return enrich.owner_evidence(_vectors(spark, sf).withColumnRenamed("label", "owner"), 0.35)
+
+
+@query("pair_evidence", f"WITH {OWNED} SELECT a, b, count(*) AS n_evidence FROM owned GROUP BY 1, 2")
+def pair_evidence(spark, sf):
+    return _owned(spark, sf)[0]
+
+
+@query(
+    "pair_evidence_shown",
+    f"""
+    WITH {OWNED} SELECT a, b, rank, item_a, item_b, round(cos, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cos DESC, item_a, item_b) AS rank FROM owned) WHERE rank <= 10
+    """,
+)
+def pair_evidence_shown(spark, sf):
+    shown = _owned(spark, sf)[1]
+    return shown.select("a", "b", F.col("rank").cast("bigint").alias("rank"), "item_a", "item_b", F.round("score", 6).alias("score"))
+
+
+@query("embed_text", "SELECT doc_id, 384::BIGINT AS dimension, 1.0::DOUBLE AS length FROM documents")
+def embed_text(spark, sf):
+    rows = hooks.text_vectors(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.size("vec").cast("bigint").alias("dimension"), F.round(vectors.norm("vec"), 6).alias("length")
+    )
+
+
+@query(
+    "resolve_exact_then_vector",
+    f"""
+    WITH {PAIRED}, terms AS (SELECT id, CASE WHEN label < 5 THEN concat('V-', CAST(id AS STRING)) ELSE concat('item ', CAST(id AS STRING)) END AS term FROM v)
+    SELECT term, 'Topic' AS label, concat('v-', CAST(id AS STRING)) AS key, 1.0::DOUBLE AS score, 'exact' AS stage FROM terms WHERE term LIKE 'V-%'
+    UNION ALL SELECT term, 'Topic', concat('v-', CAST(i_id AS STRING)), round((1 + cos) / 2, 6), 'vector'
+    FROM terms JOIN ranked ON id = q_id WHERE rank = 1 AND term LIKE 'item%' AND cos >= 0.3
+    """,
+)
+def resolve_exact_then_vector(spark, sf):
+    items = _vectors(spark, sf)
+    ident = F.col("id").cast("string")
+    nodes = items.select(
+        "id", F.lit("Topic").alias("label"), F.concat(F.lit("v-"), ident).alias("key"),
+        F.concat(F.lit("v-"), ident).alias("ticker"), F.concat(F.lit("name "), ident).alias("name"),
+    )
+    terms = items.select("id", F.when(F.col("label") < 5, F.concat(F.lit("V-"), ident)).otherwise(F.concat(F.lit("item "), ident)).alias("term"))
+    nearest = vectors.knn(items, items, 1, 0.65, skip_self=True)
+    near = (
+        nearest.join(terms.withColumnRenamed("id", "q_id"), "q_id")
+        .join(nodes.withColumnRenamed("id", "i_id"), "i_id")
+        .select("term", "label", "key", "name", F.round("score", 6).alias("score"))
+    )
+    return match.exact_then_vector(terms.select("term"), nodes.drop("id"), near).drop("name")
+
+
+@query(
+    "search_nodes",
+    f"""
+    WITH {SUPPLIER_CTE}
+    SELECT 'Company' AS label, ticker AS key, 'ticker' AS key_field, concat('Company: ', name, chr(10), 'Description: ', description) AS search_text,
+      concat('Company: ', name, ' (', ticker, '). Info: ', substring(description, 1, 400)) AS vector_text FROM profiles
+    UNION ALL SELECT 'Industry', n_name, 'name', n_name, concat('Industry: ', n_name) FROM nation
+    UNION ALL SELECT 'Sector', r_name, 'name', r_name, concat('Sector: ', r_name) FROM region
+    UNION ALL SELECT 'Fund', p_name, 'name', p_name, concat('Financial Fund: ', p_name, '. Institutional holder.') FROM (SELECT DISTINCT p_name FROM part)
+    UNION ALL SELECT 'News', CAST(doc_id AS STRING), 'name', concat('News Date: ', lang, chr(10), 'Headline: ', source, chr(10), 'Content: ', text),
+      concat('News: ', CAST(doc_id AS STRING)) FROM documents
+    """,
+)
+def search_nodes(spark, sf):
+    none = F.lit(None).cast("string")
+
+    def simple(rows, label):
+        return rows.select(
+            F.lit(label).alias("label"), F.col("name"), none.alias("ticker"), none.alias("description"),
+            F.col("name").alias("search_text"),
+        )
+
+    companies = suppliers(spark, sf).select(
+        F.lit("Company").alias("label"), "name", "ticker", "description",
+        text.company_search_text("name", "description").alias("search_text"),
+    )
+    news = table(spark, sf, "documents").select(
+        F.lit("News").alias("label"), F.col("doc_id").cast("string").alias("name"), none.alias("ticker"),
+        none.alias("description"), text.news_search_text("lang", "source", "text").alias("search_text"),
+    )
+    nodes = (
+        companies.unionByName(news)
+        .unionByName(simple(table(spark, sf, "nation").withColumnRenamed("n_name", "name"), "Industry"))
+        .unionByName(simple(table(spark, sf, "region").withColumnRenamed("r_name", "name"), "Sector"))
+        .unionByName(simple(table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct(), "Fund"))
+        .withColumn("none", none)
+    )
+    return nodes.select(
+        "label", text.key_of("label", "ticker", "name").alias("key"), text.key_field("label").alias("key_field"), "search_text",
+        text.entity_text("label", "name", "ticker", "description", "none", "none").alias("vector_text"),
+    )

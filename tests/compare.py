@@ -14,6 +14,9 @@ TABLES = (
 ).split()
 
 
+TIMES = {"spark": 0.0}
+
+
 def checker(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -35,8 +38,10 @@ def rows_of(columns, rows):
 
 
 def differences(spark, con, fn, sql: str, sf: str) -> str | None:
+    started = time.time()
     got = fn(spark, sf)
     found = rows_of(got.columns, got.collect())
+    TIMES["spark"] = time.time() - started
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
     wanted = rows_of(columns, cursor.fetchall())
@@ -69,5 +74,5 @@ if __name__ == "__main__":
             else:
                 result = f"rows only: {queries[name](spark, sf).count()}"
         except Exception as error:  # noqa: BLE001
-            result = "ERROR " + str(error)[:700]
-        print(f"{name:28} {time.time() - start:6.2f}s {result}", flush=True)
+            result = "ERROR " + repr(error)[:900]
+        print(f"{name:28} {time.time() - start:6.2f}s {TIMES['spark']:6.2f}s {result}", flush=True)
