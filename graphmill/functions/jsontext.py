@@ -71,10 +71,11 @@ def response_body(c: Column | str) -> Column:
 
 
 def parse_response(c: Column | str, schema: T.StructType) -> Column:
-    """A response to ``schema``, the first record of a list, or null when unreadable."""
+    """A response to ``schema``, the first item of a list, or null when unreadable."""
     body = response_body(c)
-    records = F.from_json(body, T.ArrayType(schema))
-    return F.when(_valid(body), F.get(records, F.lit(0)))
+    first = F.try_variant_get(F.try_parse_json(body), "$[0]", "string")
+    record = F.when(body.startswith("["), first).otherwise(body)
+    return F.when(_valid(body) & record.startswith("{"), F.from_json(record, schema))
 
 
 def split_responses(

@@ -407,7 +407,7 @@ def news_microbatch(spark, sf):
     def stream():
         rows = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
         return rows.select(
-            "event_id", "ts", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("headline"),
+            "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("headline"),
             F.to_date("ts").alias("date"), "event_type",
         )
 
