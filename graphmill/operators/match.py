@@ -73,53 +73,82 @@ def fuzzy_score(a: Column | str, b: Column | str) -> Column:
     return F.round(100 * best, 6)
 
 
-def _tokens(names: DataFrame, tokens: Column, needed: Column, rarity: DataFrame) -> DataFrame:
+def _with_bigrams(names: DataFrame) -> DataFrame:
+    """Names with their padded bigrams, equal ones told apart by a running number.
+
+    Two steps, since an expression used inside a lambda is evaluated for every element.
+    """
+    padded = F.concat(F.lit("\u0002"), F.col("text"), F.lit("\u0003"))
+    spots = F.sequence(F.lit(1), F.length(padded) - 1)
+    grams = F.sort_array(F.transform(spots, lambda i: F.substr(F.col("_padded"), i, F.lit(2))))
+    ordered = names.select("text", padded.alias("_padded")).select("text", grams.alias("_grams"))
+
+    def number(gram: Column, i: Column) -> Column:
+        return F.concat(gram, F.lit("#"), (i - F.array_position("_grams", gram)).cast("string"))
+
+    return ordered.select("text", F.transform("_grams", number).alias("tokens"))
+
+
+def _with_words(names: DataFrame) -> DataFrame:
+    return names.select("text", F.array_distinct(F.split("text", " ")).alias("tokens"))
+
+
+def _all_tokens(names: DataFrame) -> DataFrame:
+    # Outer, as a plain explode would push a second copy of the token expression below as a filter.
+    return names.select("text", F.explode_outer("tokens").alias("token"))
+
+
+def _rare_tokens(names: DataFrame, needed: Column, rarity: DataFrame, pairs: bool = False) -> DataFrame:
     """The rarest tokens of each name, as many as a partner must meet at least one of.
 
     A name with ``n`` tokens whose partners share at least ``o`` of them meets each partner
-    within its ``n - o + 1`` rarest ones, so frequent tokens stay out of the join.
+    within its ``n - o + 1`` rarest ones, so frequent tokens stay out of the join. With ``pairs``
+    (``o`` at least two) the two rarest shared tokens lie within ``n - o + 2``, and pairs of those
+    are the tokens to meet on; far fewer names share two of them.
     """
-    rows = names.select("text", needed.alias("_needed"), tokens.alias("_tokens")).select(
-        "text", "_needed", F.size("_tokens").alias("_n"), F.explode_outer("_tokens").alias("token")
-    )
-    by_rarity = Window.partitionBy("text").orderBy(F.coalesce("_count", F.lit(0)), "token")
-    return (
-        rows.join(rarity, "token", "left")
-        .withColumn("_rank", F.row_number().over(by_rarity))
-        .where(F.col("_rank") <= F.col("_n") - F.col("_needed") + 1)
-        .select("text", "token")
-    )
+    kept = F.size("tokens") - needed + (2 if pairs else 1)
+    rows = names.select("text", kept.alias("_kept"), F.explode_outer("tokens").alias("token"))
+    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("_count"), "token")))
+    rare = (
+        rows.join(rarity, "token", "left").groupBy("text", "_kept").agg(by_rarity.alias("_all"))
+        .select("text", F.slice("_all.token", 1, F.greatest("_kept", F.lit(0))).alias("tokens"))
+    )
+    if pairs:
+        tokens = F.col("tokens")
 
+        def after(first: Column, i: Column) -> Column:
+            rest = F.slice(tokens, i + 2, F.size(tokens))
+            return F.transform(rest, lambda second: F.concat(first, F.lit("|"), second))
 
-def _numbered(items: Column) -> Column:
-    """Items of a list made distinct by the number of equal items before them."""
-    ordered = F.sort_array(items)
-    return F.transform(
-        ordered, lambda item, i: F.concat(item, F.lit("#"), (i - F.array_position(ordered, item)).cast("string"))
-    )
+        rare = rare.select("text", F.flatten(F.transform(tokens, after)).alias("tokens"))
+    return _all_tokens(rare)
 
 
-def _bigrams(c: Column) -> Column:
-    padded = F.concat(F.lit("\u0002"), c, F.lit("\u0003"))
-    spots = F.sequence(F.lit(1), F.length(padded) - 1)
-    return _numbered(F.transform(spots, lambda i: F.substr(padded, i, F.lit(2))))
+def _spread(rows: DataFrame) -> DataFrame:
+    """Token rows over all cores by name and token. They are few and cheap to move, the pairs they
+    lead to are not, whichever side Spark streams; and a frequent token must not fill one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "text", "token")
 
 
 def _meet(
-    terms: DataFrame, names: DataFrame, tokens: Column, needed: Column, full_names: bool = False
+    terms: DataFrame, names: DataFrame, needed: Column, full_names: bool = False, pairs: bool = False
 ) -> DataFrame:
-    """Pairs of term and name that share a token of their rare ends.
+    """Pairs of term and name that share a token, or a pair of tokens, of their rare ends.
 
-    ``full_names`` compares the rare end of either side with all tokens of the other.
+    Both sides hold text and tokens. ``full_names`` compares the rare end of either side with all
+    tokens of the other.
     """
-    # Outer, as a plain explode would push a second copy of the token expression below as a filter.
-    rarity = names.select(F.explode_outer(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("_count"))
-    rare_terms = _tokens(terms, tokens, needed, rarity).withColumnRenamed("text", "term")
-    rare_names = _tokens(names, tokens, needed, rarity).withColumnRenamed("text", "name")
+    rarity = _all_tokens(names).groupBy("token").agg(F.count("*").alias("_count"))
+
+    def side(rows: DataFrame, into: str) -> DataFrame:
+        return _spread(rows).withColumnRenamed("text", into)
+
+    rare_terms, rare_names = (_rare_tokens(df, needed, rarity, pairs) for df in (terms, names))
+    rare_terms, rare_names = side(rare_terms, "term"), side(rare_names, "name")
     if not full_names:
         return rare_terms.join(rare_names, "token").select("term", "name")
-    all_terms = terms.select(F.col("text").alias("term"), F.explode_outer(tokens).alias("token"))
-    all_names = names.select(F.col("text").alias("name"), F.explode_outer(tokens).alias("token"))
+    all_terms, all_names = side(_all_tokens(terms), "term"), side(_all_tokens(names), "name")
     return (
         rare_terms.join(all_names, "token").select("term", "name")
         .union(all_terms.join(rare_names, "token").select("term", "name"))
@@ -137,7 +166,8 @@ def _edit_pairs(terms: DataFrame, names: DataFrame, form: Column, share: float)
     text = F.col("text")
     needed = (F.floor(1 + (2 * share - 1) * F.length(text)) + 1).cast("int")
     sides = [df.select(form.alias("text"), F.col("text").alias("_own")) for df in (terms, names)]
-    pairs = _meet(*[side.select("text").distinct() for side in sides], _bigrams(text), needed)
+    # Rare ends grow as the share falls; past three quarters of it their pairs would be too many.
+    pairs = _meet(*[_with_bigrams(side.select("text").distinct()) for side in sides], needed, pairs=share >= 0.75)
     shorter, longer = F.least(F.length("term"), F.length("name")), F.greatest(F.length("term"), F.length("name"))
     edits = F.floor((1 - share) * longer + 1e-9).cast("int")
     near = (
@@ -165,13 +195,13 @@ def fuzzy(
         raise ValueError("fuzzy needs a floor between 50 and 100")
     left = terms.select(folded(term).alias("text")).where("text <> ''").distinct()
     right = dictionary.select(folded(alias).alias("text")).where("text <> ''").distinct()
-    text, words = F.col("text"), F.array_distinct(F.split("text", " "))
+    text = F.col("text")
     channels = [_edit_pairs(left, right, text, floor / 100)]
     if floor < 95:
         channels.append(_edit_pairs(left, right, sorted_words(text), floor / 95))
     if floor < 90:
-        needed = (F.floor(floor / 90 * F.size(words)) + 1).cast("int")
-        channels.append(_meet(left, right, words, needed, full_names=True))
+        needed = (F.floor(floor / 90 * F.size("tokens")) + 1).cast("int")
+        channels.append(_meet(_with_words(left), _with_words(right), needed, full_names=True))
     pairs = functools.reduce(DataFrame.union, channels).distinct()
     scored = pairs.withColumn("score", fuzzy_score("term", "name")).where(F.col("score") > floor)
     # One spelling stands for all that fold to the same text, so ranks count distinct names.
