@@ -42,7 +42,7 @@ def clean_number(spark, sf):
 @query(
     "date_parse_fallback",
     f"""
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN DATE '{AS_OF}' ELSE CAST(o_orderdate AS DATE) END AS day
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '{AS_OF}' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS day
     FROM orders
     """,
 )
@@ -51,7 +51,7 @@ def date_parse_fallback(spark, sf):
         F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "MMM dd yyyy")
     )
     raw = F.coalesce(shown, F.date_format("o_orderdate", "yyyy/MM/dd"))
-    return table(spark, sf, "orders").select("o_orderkey", clean.parse_news_date(raw, AS_OF).alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", clean.parse_news_date(raw, AS_OF).cast("string").alias("day"))
 
 
 NAME_FORMS = """CASE WHEN s_acctbal < 2000 THEN concat('Mr.', s_name) WHEN s_acctbal < 4000 THEN concat('Mr. ', s_name)
@@ -265,12 +265,12 @@ def alias_dictionary(spark, sf):
     SELECT 'Company' AS label, ticker AS key, name, substring(description, 1, 500) AS description, website,
       TRY_CAST(market_cap AS DOUBLE) AS market_cap,
       CASE WHEN employees = 'nan' THEN NULL ELSE TRY_CAST(employees AS DOUBLE) END AS employees,
-      DATE '{AS_OF}' AS last_updated
+      '{AS_OF}' AS last_updated
     FROM profiles
     """,
 )
 def company_nodes(spark, sf):
-    return build.company_nodes(profiles(spark, sf), AS_OF)
+    return build.company_nodes(profiles(spark, sf), AS_OF).withColumn("last_updated", F.col("last_updated").cast("string"))
 
 
 EDGE_COLUMNS = "src_label, src_key, rel, dst_label, dst_key"
@@ -489,12 +489,12 @@ def stub_nodes(spark, sf):
 @query(
     "key_uniqueness",
     """
-    SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1
+    SELECT o_custkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1
     """,
 )
 def key_uniqueness(spark, sf):
     days = table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
-    return upsert.key_violations(days, ["o_custkey", "day"])
+    return upsert.key_violations(days, ["o_custkey", "day"]).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
@@ -516,13 +516,13 @@ def evidence_log_append(spark, sf):
 @query(
     "history_append",
     """
-    SELECT user_id, event_type, count(*) AS n_entries, CAST(arg_min(ts, event_id) AS DATE) AS created,
-      CASE WHEN count(*) > 1 THEN CAST(arg_max(ts, event_id) AS DATE) END AS updated
+    SELECT user_id, event_type, count(*) AS n_entries, CAST(CAST(arg_min(ts, event_id) AS DATE) AS STRING) AS created,
+      CASE WHEN count(*) > 1 THEN CAST(CAST(arg_max(ts, event_id) AS DATE) AS STRING) END AS updated
     FROM events GROUP BY 1, 2
     """,
 )
 def history_append(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.to_date("ts").alias("day"))
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.to_date("ts").cast("string").alias("day"))
     edge = ["user_id", "event_type"]
     # The same batch arrives twice; the second arrival adds nothing.
     log = upsert.append_events(rows.unionByName(rows), None, edge, ["event_id"])
@@ -786,6 +786,36 @@ def deal_news_digest(spark, sf):
     return digest.deal_digest(news, docs.select("news_id", F.col("source").alias("company")), words=["the", "und"])
 
 
+@query(
+    "deal_news_recent",
+    """
+    WITH d AS (SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'click') AND CAST(ts AS DATE) >= DATE '2024-01-15'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM d)
+    SELECT user_id AS company, count(*) AS n_lines, string_agg(concat('- News: ', event_type), chr(10) ORDER BY event_id) AS digest
+    FROM r WHERE r <= 5 GROUP BY 1
+    """,
+)
+def deal_news_recent(spark, sf):
+    rows = table(spark, sf, "events").withColumnRenamed("event_id", "news_id")
+    news = rows.select("news_id", F.col("event_type").alias("title"), F.col("props").alias("body"), F.to_date("ts").alias("date"))
+    companies = rows.select("news_id", F.col("user_id").alias("company"))
+    return digest.deal_digest(news, companies, F.lit("2024-01-15").cast("date"), ["purchase", "click"])
+
+
+@query(
+    "cardinality_report",
+    """
+    SELECT 'Company' AS what, count(DISTINCT p_brand) AS n FROM part
+    UNION ALL SELECT 'Product', count(DISTINCT w) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
+    UNION ALL SELECT 'Market', count(DISTINCT p_type) FROM part
+    UNION ALL SELECT 'Organization', count(DISTINCT p_name) FROM part WHERE p_size > 25
+    """,
+)
+def cardinality_report(spark, sf):
+    edges = build.list_relations(_details(spark, sf))
+    return maintain.endpoints(edges).groupBy(F.col("label").alias("what")).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -843,8 +873,8 @@ def profile_first_rows(spark, sf):
     "news_scan_aliases",
     f"""
     SELECT spelling, doc_id, source AS headline, text AS body, day AS date, n_categories FROM (
-      SELECT 'first' AS spelling, doc_id, source, text, DATE '2024-03-05' AS day, 0::BIGINT AS n_categories FROM documents
-      UNION ALL SELECT 'second', doc_id, source, text, DATE '{AS_OF}', 2 FROM documents)
+      SELECT 'first' AS spelling, doc_id, source, text, '2024-03-05' AS day, 0::BIGINT AS n_categories FROM documents
+      UNION ALL SELECT 'second', doc_id, source, text, '{AS_OF}', 2 FROM documents)
     """,
 )
 def news_scan_aliases(spark, sf):
@@ -858,7 +888,7 @@ def news_scan_aliases(spark, sf):
     def read(rows, name):
         got = news_source.normalise_news(rows, AS_OF)
         return got.select(
-            F.lit(name).alias("spelling"), "doc_id", "headline", "body", "date",
+            F.lit(name).alias("spelling"), "doc_id", "headline", "body", F.col("date").cast("string").alias("date"),
             F.size("categories").cast("bigint").alias("n_categories"),
         )
 

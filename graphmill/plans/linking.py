@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from graphmill import schemas
 from graphmill.functions import clean, jsontext
-from graphmill.operators import enrich, hooks, linking, maintain, upsert, vectors
-from graphmill.plans.matching import PAIRED, VECTORS, _owned, _vectors
+from graphmill.operators import enrich, hooks, linking, maintain, vectors
+from graphmill.plans.matching import PAIRED, _owned, _vectors
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import table
 from graphmill.session import fresh_dir
@@ -192,7 +190,7 @@ CLAIMS = f"""{FOUND}, ranked AS (SELECT *, row_number() OVER (PARTITION BY news_
   news AS (SELECT news_id, CAST(max(pos) AS BIGINT) AS n_turns, CASE WHEN max(pos) > 3 THEN 'POSITIVE' END AS sentiment FROM terms GROUP BY 1),
   ends AS (SELECT c.*, coalesce(s.label, {{l1}}) AS src_label, coalesce(s.key, {{k1}}) AS src_key, coalesce(t.label, {{l2}}) AS dst_label, coalesce(t.key, {{k2}}) AS dst_key
     FROM claims c JOIN pair USING (news_id) LEFT JOIN resolved s ON c.source = s.term LEFT JOIN resolved t ON c.target = t.term),
-  rows AS (SELECT *, DATE '2024-01-01' + CAST(n_turns AS INTEGER) AS date,
+  rows AS (SELECT *, CAST(DATE '2024-01-01' + CAST(n_turns AS INTEGER) AS STRING) AS date,
     concat('[', CAST(DATE '2024-01-01' + CAST(n_turns AS INTEGER) AS STRING), '] ', coalesce(sentiment, 'NEUTRAL'), ': news ', CAST(news_id AS STRING), ' -> ',
       coalesce(summary, concat('news ', CAST(news_id AS STRING)))) AS entry,
     CASE WHEN relation LIKE '%partner%' THEN 'PARTNER_WITH' WHEN relation LIKE '%dispute%' THEN 'IN_DISPUTE_WITH' WHEN relation LIKE '%invest%' THEN 'INVESTED_IN'
@@ -217,7 +215,7 @@ def _interactions(spark, sf, **options):
         terms.groupBy("news_id").agg(F.max("pos").alias("n_turns"))
         .select(
             "news_id", F.concat(F.lit("news "), F.col("news_id").cast("string")).alias("headline"),
-            F.expr("date_add(date'2024-01-01', cast(n_turns as int))").alias("date"),
+            F.expr("date_add(date'2024-01-01', cast(n_turns as int))").cast("string").alias("date"),
             F.when(F.col("n_turns") > 3, "POSITIVE").alias("sentiment"), F.col("news_id").alias("seq"),
         )
     )
@@ -295,7 +293,7 @@ def _company_pairs(spark, sf):
     f"""
     WITH {PAIRED} SELECT q_id AS a, i_id AS b, round(cos, 6) AS score, concat('High business description similarity (',
       CAST(CAST(round_even(cos, 2) AS DECIMAL(18, 2)) AS STRING), ') in sector ', CAST(q_label AS STRING)) AS evidence
-    FROM pairs WHERE q_id < i_id AND cos > 0.38
+    FROM pairs WHERE q_id < i_id AND cos > 0.38 AND q_id IN (SELECT min(id) FROM v GROUP BY vec) AND i_id IN (SELECT min(id) FROM v GROUP BY vec)
     """,
 )
 def company_pairs(spark, sf):
@@ -304,7 +302,8 @@ def company_pairs(spark, sf):
 
 CANDIDATES = f"""{PAIRED}, counted AS (
   SELECT least(q_label, i_label) AS a, greatest(q_label, i_label) AS b, count(*) AS n FROM pairs WHERE q_id < i_id AND cos > 0.35 AND q_label <> i_label GROUP BY 1, 2
-  UNION ALL SELECT least(q_label, i_label), greatest(q_label, i_label), count(*) FROM pairs WHERE q_id < i_id AND cos > 0.38 AND q_label <> i_label GROUP BY 1, 2),
+  UNION ALL SELECT least(q_label, i_label), greatest(q_label, i_label), count(*) FROM pairs WHERE q_id < i_id AND cos > 0.38 AND q_label <> i_label
+    AND q_id IN (SELECT min(id) FROM v GROUP BY vec) AND i_id IN (SELECT min(id) FROM v GROUP BY vec) GROUP BY 1, 2),
   candidates AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n_evidence FROM counted GROUP BY 1, 2)"""
 
 
@@ -348,7 +347,7 @@ def _decisions(spark, sf):
     "inferred_edges",
     f"""
     WITH {CANDIDATES} SELECT CAST(a AS STRING) AS src_key, CASE WHEN n_evidence > 6 THEN 'COMPETES_WITH' ELSE 'PARTNER_WITH' END AS rel,
-      CAST(b AS STRING) AS dst_key, 1::BIGINT AS n_entries, DATE '{AS_OF}' AS created, CAST(NULL AS DATE) AS updated FROM candidates WHERE n_evidence > 3
+      CAST(b AS STRING) AS dst_key, 1::BIGINT AS n_entries, '{AS_OF}' AS created, CAST(NULL AS STRING) AS updated FROM candidates WHERE n_evidence > 3
     """,
 )
 def inferred_edges(spark, sf):
@@ -357,7 +356,8 @@ def inferred_edges(spark, sf):
     # A second run on a later day finds the same facts and adds nothing.
     again = enrich.inferred_facts(_decisions(spark, sf), "2024-02-29")
     edges, _ = enrich.inferred_edges(again, log)
-    return edges.select("src_key", "rel", "dst_key", "n_entries", "created", "updated")
+    dates = [F.col(c).cast("string").alias(c) for c in ("created", "updated")]
+    return edges.select("src_key", "rel", "dst_key", "n_entries", *dates)
 
 
 @query(
@@ -396,7 +396,7 @@ def embed_hook(spark, sf):
 @query(
     "news_microbatch",
     """
-    SELECT concat(event_type, ' ', CAST(user_id AS STRING)) AS headline, CAST(ts AS DATE) AS day, 'Company' AS label, event_type AS key
+    SELECT concat(event_type, ' ', CAST(user_id AS STRING)) AS headline, CAST(CAST(ts AS DATE) AS STRING) AS day, 'Company' AS label, event_type AS key
     FROM events WHERE event_type <> 'error' GROUP BY ALL
     """,
 )
@@ -419,4 +419,4 @@ def news_microbatch(spark, sf):
     path = fresh_dir(spark, "ingest")
     for run in ("first", "second"):
         ingest.ingest_news(stream(), link, path, f"{path}/checkpoint-{run}").awaitTermination()
-    return spark.read.parquet(f"{path}/links").select("headline", "day", "label", "key")
+    return spark.read.parquet(f"{path}/links").select("headline", F.col("day").cast("string").alias("day"), "label", "key")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import text
 from graphmill.operators import enrich, evaluate, hooks, match, vectors
+from graphmill.operators.upsert import lookup_table
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import PART_NAMES, SUPPLIER_CTE, derive, duck, suppliers, table
 
@@ -22,8 +23,6 @@ query = Registry()
     """,
 )
 def exact_lookup(spark, sf):
-    from graphmill.operators.upsert import lookup_table
-
     parts = table(spark, sf, "part")
     known = parts.where("p_size > 25").select(F.col("p_name").alias("alias"), F.col("p_type").alias("label"), "p_partkey")
     known = lookup_table(known, "alias", ["label"], ["p_partkey"])
@@ -150,7 +149,9 @@ WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 @query(
     "mentions_gazetteer",
     f"""
-    WITH phrases AS (SELECT DISTINCT array_to_string(list_slice({WORDS.format("text")}, 1, 5), ' ') AS alias FROM benchmark),
+    WITH b AS (SELECT {WORDS.format("text")} AS words FROM benchmark),
+    phrases AS (SELECT DISTINCT array_to_string(list_slice(words, i, i + 4), ' ') AS alias
+      FROM (SELECT words, unnest(generate_series(1, len(words) - 4)) AS i FROM b WHERE len(words) >= 5)),
     w AS (SELECT doc_id, {WORDS.format("text")} AS words FROM documents),
     grams AS (SELECT doc_id, i AS pos, array_to_string(list_slice(words, i, i + 4), ' ') AS gram
       FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 5))
@@ -158,10 +159,13 @@ WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
     """,
 )
 def mentions_gazetteer(spark, sf):
-    phrases = table(spark, sf, "benchmark").select(
-        F.array_join(F.slice(match.words_of("text"), 1, 5), " ").alias("alias")
+    """Every run of five words of a benchmark passage is an alias, looked up in whole documents."""
+    words = table(spark, sf, "benchmark").select(match.words_of("text").alias("w")).where("size(w) >= 5")
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice(F.col("w"), i, 5), " ")
     )
-    found = match.gazetteer(table(spark, sf, "documents"), phrases.distinct(), "doc_id")
+    phrases = words.select(F.explode_outer(runs).alias("alias")).distinct()
+    found = match.gazetteer(table(spark, sf, "documents"), phrases, "doc_id")
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -262,13 +266,17 @@ def pair_evidence(spark, sf):
 @query(
     "pair_evidence_shown",
     f"""
-    WITH {OWNED} SELECT a, b, rank, item_a, item_b, round(cos, 6) AS score FROM (
+    WITH {OWNED} SELECT a, b, rank, concat('Similar products (', CAST(CAST(round_even(cos, 2) AS DECIMAL(18, 2)) AS STRING), '): ''', CAST(item_a AS STRING),
+      ''' vs ''', CAST(item_b AS STRING), '''') AS evidence, round(cos, 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cos DESC, item_a, item_b) AS rank FROM owned) WHERE rank <= 10
     """,
 )
 def pair_evidence_shown(spark, sf):
     shown = _owned(spark, sf)[1]
-    return shown.select("a", "b", F.col("rank").cast("bigint").alias("rank"), "item_a", "item_b", F.round("score", 6).alias("score"))
+    return shown.select(
+        "a", "b", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"),
+        text.product_evidence("score", "item_a", "item_b").alias("evidence"),
+    )
 
 
 @query("embed_text", "SELECT doc_id, 384::BIGINT AS dimension, 1.0::DOUBLE AS length FROM documents")
@@ -346,3 +354,18 @@ def search_nodes(spark, sf):
         "label", text.key_of("label", "ticker", "name").alias("key"), text.key_field("label").alias("key_field"), "search_text",
         text.entity_text("label", "name", "ticker", "description", "none", "none").alias("vector_text"),
     )
+
+
+@query(
+    "search_vectors",
+    f"""
+    WITH {SUPPLIER_CTE}, nodes AS (SELECT 'Company' AS label, ticker AS key FROM profiles UNION ALL SELECT 'Industry', n_name FROM nation
+      UNION ALL SELECT 'Sector', r_name FROM region UNION ALL SELECT DISTINCT 'Fund', p_name FROM part
+      UNION ALL SELECT 'News', CAST(doc_id AS STRING) FROM documents)
+    SELECT label, 384::BIGINT AS dimension, count(*) AS n FROM nodes GROUP BY 1
+    """,
+)
+def search_vectors(spark, sf):
+    """One vector table across labels; every vector has the same length."""
+    indexed = vectors.unit_vectors(hooks.text_vectors(search_nodes(spark, sf), "vector_text"))
+    return indexed.groupBy("label", F.size("vec").cast("bigint").alias("dimension")).agg(F.count("*").alias("n"))
