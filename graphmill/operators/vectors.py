@@ -157,8 +157,10 @@ def _assign(df: DataFrame, pivots: np.ndarray, radius: float | None, id_type: st
             if radius is None:
                 reach = np.zeros_like(square, dtype=bool)
             else:
-                between = np.maximum(apart[home], 1e-12)
-                reach = (square - nearest[:, None]) / (2 * between) <= radius + 1e-7
+                between = apart[home]
+                beyond = (square - nearest[:, None]) / (2 * np.maximum(between, 1e-6))
+                # Pivots that nearly coincide say nothing in floating point: visit both cells.
+                reach = (beyond <= radius + 1e-7) | (between < 1e-6)
                 if lower_only:
                     reach &= np.arange(len(pivots))[None, :] < home[:, None]
             reach[np.arange(len(home)), home] = True
@@ -191,7 +193,8 @@ def _block_join(
     self_join = same == "ordered"
     n_items = items.count()
     block = _block_rows(n_items, spark.sparkContext.defaultParallelism)
-    radius = None if bound is None or bound <= -1 else math.sqrt(max(0.0, 2 - 2 * bound))
+    # Scores are compared after rounding, so the radius allows for half a unit of the last digit.
+    radius = None if bound is None or bound <= -1 else math.sqrt(max(0.0, 2 - 2 * bound) + 10.0**-DIGITS)
     n_pivots = 1 if radius is None else min(MAX_PIVOTS, max(1, n_items // MAX_BLOCK))
     if not n_items:
         return spark.createDataFrame([], HIT.format(id=id_type))
@@ -301,7 +304,7 @@ def knn(
     """
     if scale not in ("index", "cosine"):
         raise ValueError(f"unknown score scale: {scale}")
-    bound = floor if floor is None or scale == "cosine" else 2 * floor - 1
+    bound = floor if floor is None or scale == "cosine" else round(2 * floor - 1, DIGITS)
     same = "other" if skip_self else None
     small = method == "broadcast" or (method == "auto" and _fits(items))
     queries, items = unit_vectors(queries), unit_vectors(items)

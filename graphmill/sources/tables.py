@@ -26,10 +26,14 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/edges")
 
 
+# A null is written as this mark, so that empty text stays empty text.
+NULL = {"nullValue": "\\N"}
+
+
 def write_rows(df: DataFrame, path: str) -> None:
-    """Question sets and results as delimited text with a header; empty text stays apart from null."""
-    df.write.mode("overwrite").options(header="true", quote='"', escape='"', emptyValue='""').csv(path)
+    """Question sets and results as delimited text with a header."""
+    df.write.mode("overwrite").options(header="true", quote='"', escape='"', **NULL).csv(path)
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(**TEXT_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**TEXT_OPTIONS, **NULL).csv(path)
