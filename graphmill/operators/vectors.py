@@ -315,7 +315,7 @@ def knn(
     nearest = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
     score = F.col("cos") if scale == "cosine" else index_score(F.col("cos"))
     ranked = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("q_id", "i_id", F.round(score, DIGITS).alias("score"), "rank")
+    return ranked.select("q_id", "i_id", score.alias("score"), "rank")
 
 
 def collapse_copies(items: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
