@@ -291,31 +291,35 @@ def words_of(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _phrase_key(words: Column) -> list[Column]:
+    """128 bits that stand for a run of words."""
+    return [F.xxhash64(words).alias("_h1"), F.xxhash64(F.lit(1), words).alias("_h2")]
+
+
 def gazetteer(
     texts: DataFrame, aliases: DataFrame, id_col: str, text: str = "text", alias: str = "alias"
 ) -> DataFrame:
     """Aliases that occur in the texts, whole words, any case: id, alias, first position, count.
 
-    Every text is read whole. Windows of as many words as some alias has are counted per text
-    before they meet the alias table, so a phrase repeated in a text is shuffled once.
+    Every text is read whole. Runs of as many words as some alias has are reduced to 128-bit keys
+    and counted per text before they meet the alias table, so a phrase repeated in a text is
+    shuffled once and long aliases cost no more than short ones.
     """
     known = aliases.select(alias, words_of(alias).alias("_w")).where(F.size("_w") > 0)
-    known = known.select(alias, F.size("_w").alias("_len"), F.array_join("_w", " ").alias("_gram"))
-    lengths = sorted(r["_len"] for r in known.select("_len").distinct().collect())
-    if not lengths:
-        lengths = [1]
+    lengths = sorted(r["_len"] for r in known.select(F.size("_w").alias("_len")).distinct().collect())
     words = F.col("_words")
+    nothing = F.array().cast("array<struct<pos:int,_h1:bigint,_h2:bigint>>")
 
-    def windows(length: int) -> Column:
+    def runs(length: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (length - 1))
-        grams = F.transform(
-            starts,
-            lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i, length), " ").alias("_gram")),
-        )
-        return F.when(F.size(words) >= length, grams).otherwise(F.array().cast("array<struct<pos:int,_gram:string>>"))
+        keyed = F.transform(starts, lambda i: F.struct(i.alias("pos"), *_phrase_key(F.slice(words, i, length))))
+        return F.when(F.size(words) >= length, keyed).otherwise(nothing)
 
     rows = texts.select(id_col, words_of(text).alias("_words")).select(
-        id_col, F.explode_outer(F.concat(*[windows(n) for n in lengths])).alias("_g")
+        id_col, F.explode_outer(F.concat(nothing, *[runs(n) for n in lengths])).alias("_g")
+    )
+    counted = rows.where("_g is not null").groupBy(id_col, "_g._h1", "_g._h2").agg(
+        F.min("_g.pos").alias("pos"), F.count("*").alias("n")
     )
-    counted = rows.where("_g is not null").groupBy(id_col, "_g._gram").agg(F.min("_g.pos").alias("pos"), F.count("*").alias("n"))
-    return counted.join(known.select(alias, "_gram"), "_gram").select(id_col, alias, "pos", "n")
+    keys = known.select(alias, *_phrase_key(F.col("_w")))
+    return counted.join(keys, ["_h1", "_h2"]).select(id_col, alias, "pos", "n")

@@ -23,6 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.session import fresh_dir
+
 # Tasks receive the helpers below with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,7 +32,7 @@ BROADCAST_BYTES = 64 << 20
 MAX_BLOCK = 8192
 MIN_BLOCK = 256
 MAX_PIVOTS = 256
-SLICE = 1024
+SLICE_SCORES = 4 << 20
 DIGITS = 9
 
 
@@ -102,16 +104,17 @@ def _hits(
     q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int | None,
     bound: float | None, strict: bool, same: str | None,
 ) -> Iterator[pd.DataFrame]:
-    """Hits of a block of queries in a block of items, a slice of queries at a time.
+    """Hits of a block of queries in a block of items, SLICE_SCORES scores at a time.
 
     ``same``: None for two tables, ``other`` to skip an id paired with itself, ``ordered`` to keep
     pairs with the lower id on the query side only.
     """
     by_id = np.argsort(i_ids, kind="stable")
     i_ids, items = i_ids[by_id], items[by_id]
-    for start in range(0, len(q_ids), SLICE):
-        ids = q_ids[start : start + SLICE]
-        scores = np.round(q[start : start + SLICE] @ items.T, DIGITS)
+    step = max(1, SLICE_SCORES // len(i_ids))
+    for start in range(0, len(q_ids), step):
+        ids = q_ids[start : start + step]
+        scores = np.round(q[start : start + step] @ items.T, DIGITS)
         if same == "other":
             scores[ids[:, None] == i_ids[None, :]] = -np.inf
         elif same == "ordered":
@@ -173,6 +176,14 @@ def _assign(df: DataFrame, pivots: np.ndarray, radius: float | None, id_type: st
     return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int, home boolean")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: the assignment is used several times,
+    and a lost executor must not cost more than its own tasks."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _cell_sizes(df: DataFrame) -> dict[int, int]:
     """Rows per cell; at most MAX_PIVOTS rows reach the driver."""
     return {row["cell"]: row["count"] for row in df.groupBy("cell").count().collect()}
@@ -206,8 +217,8 @@ def _block_join(
         query_blocks = item_blocks if self_join else _lookup({0: queries.count()}, block)
     else:
         pivots = _pivots(items, n_pivots)
-        homes = _assign(items, pivots, None, id_type, False).persist()
-        visits = _assign(queries, pivots, radius, id_type, self_join).persist()
+        homes = _stored(_assign(items, pivots, None, id_type, False), "homes")
+        visits = _stored(_assign(queries, pivots, radius, id_type, self_join), "visits")
         # Inside a cell of a self join the item table is the query table: same blocks.
         item_blocks = _lookup(_cell_sizes(homes), block)
         query_blocks = item_blocks if self_join else _lookup(_cell_sizes(visits), block)
