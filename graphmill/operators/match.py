@@ -301,25 +301,24 @@ def gazetteer(
 ) -> DataFrame:
     """Aliases that occur in the texts, whole words, any case: id, alias, first position, count.
 
-    Every text is read whole. Runs of as many words as some alias has are reduced to 128-bit keys
-    and counted per text before they meet the alias table, so a phrase repeated in a text is
-    shuffled once and long aliases cost no more than short ones.
+    Every text is read whole. Runs of as many words as some alias has are reduced to 128-bit keys,
+    so long aliases cost no more than short ones, and meet the alias table on them: in place where
+    the table is small enough to broadcast, by a shuffle of the keys where it is not.
     """
     known = aliases.select(alias, words_of(alias).alias("_w")).where(F.size("_w") > 0)
     lengths = sorted(r["_len"] for r in known.select(F.size("_w").alias("_len")).distinct().collect())
     words = F.col("_words")
-    nothing = F.array().cast("array<struct<pos:int,_h1:bigint,_h2:bigint>>")
+    nothing = F.array().cast("array<struct<pos:int,_run:array<string>>>")
 
     def runs(length: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (length - 1))
-        keyed = F.transform(starts, lambda i: F.struct(i.alias("pos"), *_phrase_key(F.slice(words, i, length))))
-        return F.when(F.size(words) >= length, keyed).otherwise(nothing)
+        cut = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.slice(words, i, length).alias("_run")))
+        return F.when(F.size(words) >= length, cut).otherwise(nothing)
 
     rows = texts.select(id_col, words_of(text).alias("_words")).select(
         id_col, F.explode_outer(F.concat(nothing, *[runs(n) for n in lengths])).alias("_g")
     )
-    counted = rows.where("_g is not null").groupBy(id_col, "_g._h1", "_g._h2").agg(
-        F.min("_g.pos").alias("pos"), F.count("*").alias("n")
-    )
+    keyed = rows.where("_g is not null").select(id_col, "_g.pos", *_phrase_key(F.col("_g._run")))
     keys = known.select(alias, *_phrase_key(F.col("_w")))
-    return counted.join(keys, ["_h1", "_h2"]).select(id_col, alias, "pos", "n")
+    found = keyed.join(keys, ["_h1", "_h2"])
+    return found.groupBy(id_col, alias).agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
