@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.clean import _col
+from graphmill.session import stored
 
 
 def exact(terms: DataFrame, dictionary: DataFrame, term: str = "term", alias: str = "alias") -> DataFrame:
@@ -235,7 +236,8 @@ def resolve_names(
 
     by_text = exact(terms, dictionary).withColumn("score", F.lit(100.0))
     rest = terms.join(dictionary.select(F.col("alias").alias("term")), "term", "left_anti")
-    near = fuzzy(rest, long_aliases, 1, floor)
+    # The fuzzy answers, one row per term, decide three further steps: computed once.
+    near = stored(fuzzy(rest, long_aliases, 1, floor), "near")
     rest = rest.join(near.select("term"), "term", "left_anti").where(F.length("term") > 2)
     named = rest.join(official, "term").where("official_name is not null")
     by_official = (

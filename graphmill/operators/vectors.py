@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.session import fresh_dir
+from graphmill.session import stored
 
 # Tasks receive the helpers below with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -176,14 +176,6 @@ def _assign(df: DataFrame, pivots: np.ndarray, radius: float | None, id_type: st
     return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int, home boolean")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: the assignment is used several times,
-    and a lost executor must not cost more than its own tasks."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _cell_sizes(df: DataFrame) -> dict[int, int]:
     """Rows per cell; at most MAX_PIVOTS rows reach the driver."""
     return {row["cell"]: row["count"] for row in df.groupBy("cell").count().collect()}
@@ -217,8 +209,8 @@ def _block_join(
         query_blocks = item_blocks if self_join else _lookup({0: queries.count()}, block)
     else:
         pivots = _pivots(items, n_pivots)
-        homes = _stored(_assign(items, pivots, None, id_type, False), "homes")
-        visits = _stored(_assign(queries, pivots, radius, id_type, self_join), "visits")
+        homes = stored(_assign(items, pivots, None, id_type, False), "homes")
+        visits = stored(_assign(queries, pivots, radius, id_type, self_join), "visits")
         # Inside a cell of a self join the item table is the query table: same blocks.
         item_blocks = _lookup(_cell_sizes(homes), block)
         query_blocks = item_blocks if self_join else _lookup(_cell_sizes(visits), block)
