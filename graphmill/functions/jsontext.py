@@ -78,11 +78,21 @@ def parse_response(c: Column | str, schema: T.StructType) -> Column:
     return F.when(_valid(body) & record.startswith("{"), F.from_json(record, schema))
 
 
+def with_record(df: DataFrame, response: str, schema: T.StructType, into: str = "parsed") -> DataFrame:
+    """``parse_response`` as a column, in steps so that no part is evaluated twice."""
+    staged = df.withColumn("_body", response_body(response)).withColumn("_json", F.try_parse_json("_body"))
+    first = F.when(F.col("_body").startswith("["), F.try_variant_get("_json", "$[0]", "string"))
+    staged = staged.withColumn("_record", F.coalesce(first, "_body"))
+    readable = F.col("_json").isNotNull() & F.col("_record").startswith("{")
+    parsed = F.when(readable, F.from_json("_record", schema))
+    return staged.withColumn(into, parsed).drop("_body", "_json", "_record")
+
+
 def split_responses(
     df: DataFrame, response: str, schema: T.StructType, into: str = "parsed"
 ) -> tuple[DataFrame, DataFrame]:
     """Readable responses with their record, and the rejected rows for a quarantine table."""
-    parsed = df.withColumn(into, parse_response(response, schema))
+    parsed = with_record(df, response, schema, into)
     return parsed.where(F.col(into).isNotNull()), parsed.where(F.col(into).isNull()).drop(into)
 
 

@@ -61,13 +61,13 @@ def index_score(cos: Column) -> Column:
 
 
 def unit_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """Double vectors of length one; rows without a direction are left out."""
-    doubles = df.withColumn(vec, as_doubles(vec)).withColumn("_norm", norm(vec))
-    return (
-        doubles.where(F.col("_norm") > 0)
-        .withColumn(vec, F.transform(F.col(vec), lambda v: v / F.col("_norm")))
-        .drop("_norm")
-    )
+    """Double vectors of length one; rows without a direction are left out.
+
+    The length enters as an array of its own: inside a lambda it would be computed per element.
+    """
+    doubles = df.withColumn(vec, as_doubles(vec)).withColumn("_norm", norm(vec)).where(F.col("_norm") > 0)
+    lengths = F.array_repeat("_norm", F.size(vec))
+    return doubles.withColumn(vec, F.zip_with(vec, lengths, lambda v, n: v / n)).drop("_norm")
 
 
 def dimension_check(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -114,7 +114,7 @@ def _hits(
     step = max(1, SLICE_SCORES // len(i_ids))
     for start in range(0, len(q_ids), step):
         ids = q_ids[start : start + step]
-        scores = np.round(q[start : start + step] @ items.T, DIGITS)
+        scores = np.round(q[start : start + step] @ items.T, DIGITS) + 0.0
         if same == "other":
             scores[ids[:, None] == i_ids[None, :]] = -np.inf
         elif same == "ordered":

@@ -158,19 +158,27 @@ def json_lists_and_repair(spark, sf):
         F.struct(F.array(F.col("o_custkey").cast("string")).alias("entities"), F.col("o_orderstatus").alias("sentiment"))
     )
     rows = table(spark, sf, "orders").withColumn("body", body).withColumn("response", F.expr(RESPONSE))
-    good, bad = jsontext.split_responses(rows, "response", schemas.NEWS_ANALYSIS)
-    out = ["o_orderkey", "readable", "first_entity", "sentiment", "repaired"]
-    read = good.select(
-        "o_orderkey", F.lit(True).alias("readable"), F.get("parsed.entities", F.lit(0)).alias("first_entity"),
-        F.col("parsed.sentiment").alias("sentiment"), F.lit(None).cast("string").alias("repaired"),
-    )
-    none = F.lit(None).cast("string")
-    repaired = jsontext.tolerant_json("response", schemas.NEWS_ANALYSIS)["sentiment"]
-    rest = bad.select(
-        "o_orderkey", F.lit(False).alias("readable"), none.alias("first_entity"), none.alias("sentiment"),
-        repaired.alias("repaired"),
-    )
-    return read.unionByName(rest).select(*out)
+    parsed = jsontext.with_record(rows, "response", schemas.NEWS_ANALYSIS)
+    unread = F.when(F.col("parsed").isNull(), F.col("response"))
+    return parsed.select(
+        "o_orderkey",
+        F.col("parsed").isNotNull().alias("readable"),
+        F.get("parsed.entities", F.lit(0)).alias("first_entity"),
+        F.col("parsed.sentiment").alias("sentiment"),
+        jsontext.tolerant_json(unread, schemas.NEWS_ANALYSIS)["sentiment"].alias("repaired"),
+    )
+
+
+@query(
+    "response_quarantine",
+    """
+    SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+    """,
+)
+def response_quarantine(spark, sf):
+    body = F.to_json(F.struct(F.array("o_orderstatus").alias("entities")))
+    rows = table(spark, sf, "orders").withColumn("body", body).withColumn("response", F.expr(RESPONSE))
+    return jsontext.split_responses(rows, "response", schemas.NEWS_ANALYSIS)[1].select("o_orderkey", "o_orderpriority")
 
 
 OFFICER_JSON = """[{"name":"VARCHAR","title":"VARCHAR","age":"INTEGER"}]"""
@@ -756,7 +764,7 @@ def section_keywords(spark, sf):
     "section_digest",
     rf"""
     WITH {PARAGRAPHS}, hits AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY sec_no) AS r FROM paragraphs WHERE {KEYWORD} AND length(body) > 0),
-    found AS (SELECT page_id, count(*) AS n, string_agg(concat('SECTION ''', upper(substring(body, 1, 20)), ''':', chr(10),
+    found AS (SELECT page_id, count(*) AS n, string_agg(concat('SECTION ''', replace(replace(upper(substring(body, 1, 20)), 'ß', 'SS'), 'ẞ', 'SS'), ''':', chr(10),
       substring(body, 1, 1500), chr(10), chr(10)), '' ORDER BY sec_no) AS text FROM hits WHERE r <= 2 GROUP BY 1),
     plain AS (SELECT page_id,
       trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS summary,

@@ -182,16 +182,16 @@ def _vectors(spark, sf):
     "vector_cosine",
     f"""
     WITH v AS ({VECTORS})
-    SELECT id, round(list_cosine_similarity(vec, [1.0::DOUBLE / i for i in generate_series(1, 64)]), 6) AS cos FROM v
+    SELECT id, round(list_cosine_similarity(vec, [1.0::DOUBLE / i for i in generate_series(1, 64)]), 6) + 0.0 AS cos FROM v
     """,
 )
 def vector_cosine(spark, sf):
     fixed = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lit(1.0) / i)
-    return _vectors(spark, sf).select("id", F.round(vectors.cosine(F.col("vec"), fixed), 6).alias("cos"))
+    return _vectors(spark, sf).select("id", (F.round(vectors.cosine(F.col("vec"), fixed), 6) + 0.0).alias("cos"))
 
 
 PAIRED = f"""v AS ({VECTORS}), pairs AS (SELECT q.id AS q_id, i.id AS i_id, q.label AS q_label, i.label AS i_label,
-  round(list_cosine_similarity(q.vec, i.vec), 9) AS cos FROM v q, v i WHERE q.id <> i.id),
+  round(list_cosine_similarity(q.vec, i.vec), 9) + 0.0 AS cos FROM v q, v i WHERE q.id <> i.id),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, i_id) AS rank FROM pairs)"""
 
 

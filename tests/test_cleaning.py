@@ -63,6 +63,10 @@ def test_responses(spark):
         assert one(spark, jsontext.parse_response("v", schemas.NEWS_ANALYSIS)["entities"], v=response) == ["A"]
     for response in ["", "no", "{", "[]", "[1]", None]:
         assert one(spark, jsontext.parse_response("v", schemas.NEWS_ANALYSIS), v=response) is None
+    rows = spark.createDataFrame([(r,) for r in [*good, "no", "[1]", None]], "v string")
+    read, rejected = jsontext.split_responses(rows, "v", schemas.NEWS_ANALYSIS)
+    assert [r.parsed.entities for r in read.collect()] == [["A"]] * len(good)
+    assert [r.v for r in rejected.collect()] == ["no", "[1]", None]
 
 
 def test_evidence_lists_take_records_and_bare_names(spark):
