@@ -14,20 +14,15 @@ blocks, so a cell that holds a third of all vectors becomes many tasks.
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.session import stored
 
-# Tasks receive the helpers below with the job, so executors need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BROADCAST_BYTES = 64 << 20
 MAX_BLOCK = 8192
 MIN_BLOCK = 256
