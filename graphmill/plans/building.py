@@ -9,7 +9,7 @@ from graphmill.functions import clean, jsontext, relations, text
 from graphmill.operators import build, digest, maintain, match, upsert
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import (
-    PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table,
+    PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table, texts,
 )
 from graphmill.session import fresh_dir
 from graphmill.sources import news as news_source
@@ -732,7 +732,7 @@ PAGE_WORDS = ["lich", "tion", "ment"]
 
 def _pages(spark, sf):
     """Page text as summary and content, its paragraphs as sections titled by their first words."""
-    raw = table(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)).alias("parts"), "html")
+    raw = texts(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)).alias("parts"), "html")
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
     sections = raw.select("page_id", F.posexplode("parts").alias("sec_no", "raw")).select(
         "page_id", "sec_no", plain(F.col("raw")).alias("body")

@@ -9,7 +9,7 @@ from graphmill.functions import clean, jsontext
 from graphmill.operators import enrich, hooks, linking, maintain, vectors
 from graphmill.plans.matching import PAIRED, _owned, _vectors
 from graphmill.plans.registry import Registry
-from graphmill.plans.standins import table
+from graphmill.plans.standins import table, texts
 from graphmill.session import fresh_dir
 from graphmill.sources import news as news_source
 from graphmill.streaming import ingest
@@ -389,7 +389,7 @@ def _letter_counter():
     """,
 )
 def embed_hook(spark, sf):
-    rows = hooks.embed(table(spark, sf, "documents").select("doc_id", "text"), _letter_counter)
+    rows = hooks.embed(texts(spark, sf, "documents").select("doc_id", "text"), _letter_counter)
     return rows.select("doc_id", F.col("vec")[0].alias("e"), F.col("vec")[2].alias("n"))
 
 

@@ -8,7 +8,7 @@ from graphmill.functions import text
 from graphmill.operators import enrich, evaluate, hooks, match, vectors
 from graphmill.operators.upsert import lookup_table
 from graphmill.plans.registry import Registry
-from graphmill.plans.standins import PART_NAMES, SUPPLIER_CTE, derive, duck, suppliers, table
+from graphmill.plans.standins import PART_NAMES, SUPPLIER_CTE, derive, duck, suppliers, table, texts
 
 query = Registry()
 
@@ -165,7 +165,7 @@ def mentions_gazetteer(spark, sf):
         F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice(F.col("w"), i, 5), " ")
     )
     phrases = words.select(F.explode_outer(runs).alias("alias")).distinct()
-    found = match.gazetteer(table(spark, sf, "documents"), phrases, "doc_id")
+    found = match.gazetteer(texts(spark, sf, "documents"), phrases, "doc_id")
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -281,7 +281,7 @@ def pair_evidence_shown(spark, sf):
 
 @query("embed_text", "SELECT doc_id, 384::BIGINT AS dimension, 1.0::DOUBLE AS length FROM documents")
 def embed_text(spark, sf):
-    rows = hooks.text_vectors(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = hooks.text_vectors(texts(spark, sf, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id", F.size("vec").cast("bigint").alias("dimension"), F.round(vectors.norm("vec"), 6).alias("length")
     )
@@ -339,7 +339,7 @@ def search_nodes(spark, sf):
         F.lit("Company").alias("label"), "name", "ticker", "description",
         text.company_search_text("name", "description").alias("search_text"),
     )
-    news = table(spark, sf, "documents").select(
+    news = texts(spark, sf, "documents").select(
         F.lit("News").alias("label"), F.col("doc_id").cast("string").alias("name"), none.alias("ticker"),
         none.alias("description"), text.news_search_text("lang", "source", "text").alias("search_text"),
     )

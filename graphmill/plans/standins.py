@@ -8,11 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphmill.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all cores if it comes in few splits."""
+    return spread(table(spark, sf, name))
+
+
 def derive(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
     """Run stand-in SQL over the named driver tables."""
     return spark.sql(sql, **{t: table(spark, sf, t) for t in tables})
