@@ -1,4 +1,4 @@
-"""Texts made from node and news columns."""
+"""Texts made from node and news columns. The wording is fixed: vectors and logs depend on it."""
 
 from __future__ import annotations
 

@@ -178,6 +178,10 @@ def holdings(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+# Source of extracted edges, evidence of a record without one.
+EXTRACTED = "LLM Extraction (News GDELT / Wiki / Description)"
+NO_EVIDENCE = "No evidence provided"
+
 # List field of a details record -> edge type and target label.
 LIST_RELATIONS = {
     "products": ("PRODUCES", "Product"),
@@ -220,11 +224,11 @@ def known_company_edges(mentions: DataFrame, resolved: DataFrame, as_of: str) ->
         .select(
             F.lit("Company").alias("src_label"), F.col("ticker").alias("src_key"), "rel",
             F.lit("Company").alias("dst_label"), F.col("match").alias("dst_key"),
-            F.coalesce("evidence", F.lit("No evidence provided")).alias("evidence"), "seq", "name",
+            F.coalesce("evidence", F.lit(NO_EVIDENCE)).alias("evidence"), "seq", "name",
         )
     )
     last = last_write(rows, EDGE_KEY, ["seq", "name"]).drop("seq", "name")
-    return last.withColumn("source", F.lit("LLM Extraction (News GDELT / Wiki / Description)")).withColumn(
+    return last.withColumn("source", F.lit(EXTRACTED)).withColumn(
         "last_updated", F.lit(as_of).cast("date")
     )
 

@@ -9,7 +9,9 @@ from graphmill.functions import relations, text
 from graphmill.operators.upsert import EDGE_KEY, append_absent, log_summary
 from graphmill.operators.vectors import collapse_copies, similar_pairs
 
+# Evidence items shown per pair, source of inferred edges.
 EVIDENCE_SHOWN = 10
+INFERRED = "Inference + Others"
 
 
 def _by_owner(pairs: DataFrame, side_a: DataFrame, side_b: DataFrame) -> DataFrame:
@@ -107,4 +109,4 @@ def inferred_edges(facts: DataFrame, stored_log: DataFrame | None = None) -> tup
     """Edges with their dates and source, and the evidence log as one row per edge and fact."""
     log = append_absent(facts, stored_log, EDGE_KEY, "fact", ["date", "entry"])
     edges = log_summary(log, EDGE_KEY, "date", ["date", "fact"])
-    return edges.withColumn("source", F.lit("Inference + Others")), log
+    return edges.withColumn("source", F.lit(INFERRED)), log

@@ -17,6 +17,13 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(sides).alias("_n")).select("_n.*").distinct()
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """Edges between nodes of one label with their ends in key order, each pair once."""
+    ends = {"a": F.least("src_key", "dst_key"), "b": F.greatest("src_key", "dst_key")}
+    same = edges.where(F.col("src_label") == F.col("dst_label"))
+    return same.select(F.col("src_label").alias("label"), "rel", *[c.alias(n) for n, c in ends.items()]).distinct()
+
+
 def orphans(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """Nodes of a label without an edge in either direction."""
     return nodes.where(F.col("label") == label).join(endpoints(edges), ["label", "key"], "left_anti")

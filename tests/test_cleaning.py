@@ -83,6 +83,19 @@ def test_relation_rules(spark):
     assert one(spark, relations.upper_snake("v"), v="joint venture") == "JOINT_VENTURE"
 
 
+def test_node_texts(spark):
+    node = {"l": "Company", "n": "Acme", "t": "ACM", "d": "Makes things", "x": None}
+    assert one(spark, text.company_text("n", "t", "d"), **node) == "Company: Acme (ACM). Description: Makes things"
+    assert one(spark, text.company_short_text("n", "t"), **node) == "Company: Acme, Ticker: ACM"
+    assert one(spark, text.labelled_text("l", "n", "x", "x"), **node) == "Company: Acme"
+    assert one(spark, text.industry_text("x", "x"), **node) == "Unknown: "
+    assert one(spark, text.entity_text("l", "n", "t", "x", "x", "x"), **node) == "Company: Acme (ACM). Info: "
+    person = {**node, "l": "Person"}
+    assert one(spark, text.entity_text("l", "n", "t", "d", "x", "x"), **person) == "Person: Acme. Position: Expert in S&P 500 context"
+    assert one(spark, text.key_of("l", "t", "n"), **person) == "Acme"
+    assert one(spark, text.company_search_text("n", "x"), **node) is None
+
+
 def test_halves_round_to_even(spark):
     assert one(spark, text.two_decimals(F.lit(0.125)), v="") == "0.12"
     assert one(spark, text.two_decimals(F.lit(0.8)), v="") == "0.80"

@@ -91,6 +91,12 @@ def test_inferred_edges_are_deleted_null_safe(spark):
     assert {r.key for r in maintain.delete_inferred(edges, keep_extracted=True).collect()} == {"a", "c", "d"}
 
 
+def test_undirected_view_joins_both_directions(spark):
+    columns = ", ".join(f"{c} string" for c in upsert.EDGE_KEY)
+    rows = [("Company", "b", "PARTNER_WITH", "Company", "a"), ("Company", "a", "PARTNER_WITH", "Company", "b"), ("Company", "a", "PRODUCES", "Product", "x")]
+    assert [tuple(r) for r in maintain.undirected(spark.createDataFrame(rows, columns)).collect()] == [("Company", "PARTNER_WITH", "a", "b")]
+
+
 def test_digest_cuts_at_the_limit_in_order_for_a_hot_group(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
