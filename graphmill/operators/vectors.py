@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphmill.session import stored
 
 BROADCAST_BYTES = 64 << 20
-MAX_BLOCK = 8192
+BLOCK_BYTES = 32 << 20
 MIN_BLOCK = 256
 MAX_PIVOTS = 256
 SLICE_SCORES = 4 << 20
@@ -74,10 +74,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64", copy=False)
 
 
-def _block_rows(rows: int, parallelism: int) -> int:
+def _shape(items: DataFrame) -> tuple[int, int]:
+    """Rows and vector length of a table."""
+    size = items.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("width")).first()
+    return size["rows"], size["width"] or 1
+
+
+def _block_rows(rows: int, largest: int, parallelism: int) -> int:
     """Large enough to keep copies few, small enough to give every core a block pair."""
     even = math.ceil(rows / max(1.0, math.sqrt(2 * parallelism)))
-    return max(MIN_BLOCK, min(MAX_BLOCK, even))
+    return max(MIN_BLOCK, min(largest, even))
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +195,12 @@ def _block_join(
     spark = items.sparkSession
     id_type = items.schema["id"].dataType.simpleString()
     self_join = same == "ordered"
-    n_items = items.count()
-    block = _block_rows(n_items, spark.sparkContext.defaultParallelism)
+    n_items, width = _shape(items)
+    largest = max(1, BLOCK_BYTES // (8 * width))
+    block = _block_rows(n_items, largest, spark.sparkContext.defaultParallelism)
     # Scores are compared after rounding, so the radius allows for half a unit of the last digit.
     radius = None if bound is None or bound <= -1 else math.sqrt(max(0.0, 2 - 2 * bound) + 10.0**-DIGITS)
-    n_pivots = 1 if radius is None else min(MAX_PIVOTS, max(1, n_items // MAX_BLOCK))
+    n_pivots = 1 if radius is None else min(MAX_PIVOTS, max(1, n_items // largest))
     if not n_items:
         return spark.createDataFrame([], HIT.format(id=id_type))
 
@@ -257,8 +264,8 @@ def _block_join(
 
 def _fits(items: DataFrame) -> bool:
     """Whether the item vectors stay below BROADCAST_BYTES, by their counted rows."""
-    size = items.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("width")).first()
-    return size["rows"] * (8 * (size["width"] or 0) + 16) <= BROADCAST_BYTES
+    rows, width = _shape(items)
+    return rows * (8 * width + 16) <= BROADCAST_BYTES
 
 
 def _broadcast_top(

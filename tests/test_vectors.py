@@ -9,7 +9,7 @@ from graphmill.operators import enrich, vectors
 @pytest.fixture
 def small_blocks(monkeypatch):
     """Many cells and blocks on few rows."""
-    monkeypatch.setattr(vectors, "MAX_BLOCK", 40)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 40 * 8 * 8)
     monkeypatch.setattr(vectors, "MIN_BLOCK", 10)
 
 
