@@ -24,3 +24,9 @@ def test_matches_sql(spark, con, name):
 
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_no_query_plans_a_cross_join(spark):
+    for name, fn in QUERIES.items():
+        plan = fn(spark, SF)._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
