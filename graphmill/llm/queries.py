@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import packing, simhash
+from graphmill.llm import license_scan, packing, quality_rules, simhash
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op2_license_scan", license_scan.duckdb_sql())
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf, "documents"))
+
+
+@query("op3_quality_rules", quality_rules.duckdb_sql())
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf, "documents"))
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
