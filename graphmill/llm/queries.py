@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import license_scan, packing, quality_rules, simhash
+from graphmill.llm import license_scan, packing, quality_rules, simhash, substring
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -34,3 +34,11 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents")).drop("ids")
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("keep.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
