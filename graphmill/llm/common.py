@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,8 +77,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def keep_types(batches: Iterator[pa.RecordBatch], fn) -> Iterator[pa.RecordBatch]:
-    """Applies ``fn`` to every batch that has rows."""
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``most`` bytes of text, one row at least, so that what is made of them stays small."""
     for batch in batches:
-        if batch.num_rows:
-            yield fn(batch)
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
+            yield batch.slice(int(a), int(b - a))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from graphmill.llm.common import text_bytes, write
+from graphmill.llm.common import slices, text_bytes, write
 from graphmill.llm.tokens import ChunkIds
 
 LENGTH, END = 4096, 2
@@ -36,7 +36,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, known = TaskContext.get().partitionId(), 0, ChunkIds(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [known.encode(text) + last for text in text_bytes(batch)]
             starts = []
             for x in ids:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import license_scan, packing, quality_rules, simhash, substring
+from graphmill.llm import decontamination, license_scan, packing, quality_rules, simhash, substring
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -36,6 +36,11 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents")).drop("ids")
 
 
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op7_substring_dedup")
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from graphmill.llm.common import drop, text_bytes, write
+from graphmill.llm.common import drop, slices, text_bytes, write
 from graphmill.llm.components import stars
 from graphmill.llm.grayindex import links
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     """doc_id and its fingerprint ``fp`` as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, words, seed) for t in text_bytes(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from graphmill.llm.common import grams, mixed, sliding, text_bytes, word_hashes, write
+from graphmill.llm.common import grams, mixed, sliding, slices, text_bytes, word_hashes, write
 
 LENGTH, ANCHOR = 35, 8
 BASE = 0xD6E8FEB86659FD93
@@ -76,7 +76,7 @@ def _places(rows: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row, text in enumerate(text_bytes(batch)):
                 words = text.split()
@@ -134,7 +134,7 @@ def _runs(rows: DataFrame, length: int, k: int) -> DataFrame:
     """Row key, start and 128-bit hash of the runs to be matched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row, text in enumerate(text_bytes(batch)):
                 pos, _, _, runs = _columns(batch, row)
@@ -165,7 +165,7 @@ def _cut(rows: DataFrame, length: int, k: int, keep: StructField, settle: bool)
     """The kept words of each row and how many went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
             has_marks, has_starts = batch.column("marks").is_valid(), batch.column("starts").is_valid()
             for row, text in enumerate(text_bytes(batch)):
