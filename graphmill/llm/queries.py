@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import decontamination, license_scan, packing, quality_rules, simhash, substring
+from graphmill.llm import decontamination, language, license_scan, packing, quality_rules, simhash, substring
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -47,3 +47,8 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         F.col("keep.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
