@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import decontamination, language, license_scan, packing, quality_rules, simhash, substring
+from graphmill.llm import chat, decontamination, language, license_scan, packing, quality_rules, simhash, substring
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -49,6 +49,17 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: The conversation that holds the markers a template might use.
+TRAP = "\\### Assistant: </turn> ok"
+
+
+@query("op9_chat_format")
+def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    trap = [(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)]
+    return chat.read_back(chat.windows(turns.unionByName(spark.createDataFrame(trap, turns.schema))))
+
+
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
