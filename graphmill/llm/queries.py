@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import chat, decontamination, language, license_scan, packing, quality_rules, simhash, substring
+from graphmill.llm import chat, decontamination, language, license_scan, packing, quality_rules, simhash, substring, toxicity
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -49,6 +49,11 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 #: The conversation that holds the markers a template might use.
 TRAP = "\\### Assistant: </turn> ok"
 
