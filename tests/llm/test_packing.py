@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphmill.llm import packing
@@ -11,6 +13,8 @@ from graphmill.llm.tokens import ChunkIds
 from tests.llm.helpers import docs_of, table
 
 SF = "/root/testdata/sf0.001"
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+CHUNKS = ChunkIds(most=50)
 
 
 def check(rows, docs, length):
@@ -67,3 +71,11 @@ def test_sequences_hold_the_ids_in_order(spark, n):
     encoded = list(array("I", ChunkIds().encode(b"a b c"))) + [2]
     assert ids == encoded * n
     assert all(len(r.ids) in (64, 4 * r.n_ids) for r in rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abzABZ éÉßñİıŉǅ.,'s1٣ ́\t\n<|>ſK中Ω"), max_size=30), st.text(max_size=12))
+def test_chunks_give_the_ids_of_the_whole_text(text, other):
+    for t in (text, other, text + other):
+        ids = TOKENIZER.encode(t, add_special_tokens=False).ids
+        assert list(array("I", CHUNKS.encode(t.encode("utf-8", "ignore")))) == ids
