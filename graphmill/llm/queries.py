@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import chat, decontamination, language, license_scan, packing, quality_rules, simhash, substring, toxicity
+import corpus_pipeline
+from graphmill.llm import (
+    chat,
+    decontamination,
+    language,
+    license_scan,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    substring,
+    toxicity,
+)
 from graphmill.plans.registry import Registry
 
 query = Registry()
@@ -15,6 +27,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    path = F.concat_ws("/", "source", "lang")
+    return quality_classifier.classify(docs, labels, F.col("source"), path).drop("k1", "k2")
+
+
 @query("op2_license_scan", license_scan.duckdb_sql())
 def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents"))
@@ -68,3 +87,6 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
