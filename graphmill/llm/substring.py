@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from graphmill.llm.common import grams, mixed, sliding, slices, text_bytes, word_hashes, write
+from graphmill.llm.common import drop, grams, mixed, sliding, slices, text_bytes, word_hashes, write
 
 LENGTH, ANCHOR = 35, 8
 BASE = 0xD6E8FEB86659FD93
@@ -107,17 +107,24 @@ def _places(rows: DataFrame, length: int, k: int) -> DataFrame:
     return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 int, pos int, high int, a long, c long")
 
 
-def _marks(places: DataFrame) -> DataFrame:
-    """Per row the places whose anchor repeats: whether all of the context does, and whether to extend by runs."""
-    spark = places.sparkSession
+def _stored(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    paths.append(write(df, name))
+    return df.sparkSession.read.parquet(paths[-1])
+
+
+def _marks(places: DataFrame, paths: list[str]) -> DataFrame:
+    """Per row the places whose anchor repeats: whether all of the context does, and whether to extend by runs.
+
+    What is counted is written before it is joined: adaptive execution can then split a hot anchor's places.
+    """
     met = places.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     met = met.where("n > 1").select("a", F.col("c0").eqNullSafe(F.col("c1")).alias("alike"))
-    seeds = spark.read.parquet(write(places.join(met, "a"), "seeds"))
+    seeds = _stored(places.join(_stored(met, "anchors", paths), "a"), "seeds", paths)
     alike = seeds.where("alike").select("k1", "k2", "pos", "high", F.lit(True).alias("whole"), F.lit(False).alias("runs"))
     others = seeds.where("not alike")
     place = F.struct("k1", "k2", "pos")
     classes = others.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    told = others.join(classes, ["a", "c"]).select(
+    told = others.join(_stored(classes, "contexts", paths), ["a", "c"]).select(
         "k1", "k2", "pos", "high", (F.col("n") > 1).alias("whole"), (place == F.col("first")).alias("runs")
     )
     both = alike.unionByName(told)
@@ -218,15 +225,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, settl
         F.xxhash64("doc_id", "text").alias("k1"),
         F.hash("text").alias("k2"),
     )
-    places = spark.read.parquet(write(_places(rows, length, k), "places"))
-    marks = spark.read.parquet(write(_marks(places), "marks"))
-    # Both uses of the texts need them by row key; they are shuffled once.
-    marked = rows.join(marks, ["k1", "k2"], "left")
-    extended = marked.where("exists(marks, m -> m.runs)").select("k1", "k2", "text", "keep", "marks")
-    runs = _runs(extended, length, k)
-    shared = runs.groupBy("h1", "h2").count().where("count > 1").drop("count")
+    used: list[str] = []
+    places = _stored(_places(rows, length, k), "places", used)
+    marks = spark.read.parquet(write(_marks(places, used), "marks"))
+    drop(spark, *used)
+    used = []
+    extended = rows.join(marks.where("exists(marks, m -> m.runs)"), ["k1", "k2"])
+    runs = _stored(_runs(extended, length, k), "runs", used)
+    shared = _stored(runs.groupBy("h1", "h2").count().where("count > 1").drop("count"), "shared", used)
     starts = runs.join(shared, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("s").alias("starts"))
-    ready = marked.join(starts, ["k1", "k2"], "left").select("keep", "text", "marks", "starts")
+    found = spark.read.parquet(write(marks.join(starts, ["k1", "k2"], "left"), "found"))
+    drop(spark, *used)
+    ready = rows.join(found, ["k1", "k2"], "left").select("keep", "text", "marks", "starts")
     return _cut(ready, length, k, rows.schema["keep"], settle)
 
 

@@ -68,14 +68,6 @@ def test_empty_table(spark):
     assert found(docs_of(spark, [])) == []
 
 
-def test_texts_are_shuffled_once(spark):
-    out = substring.remove_repeats(table(spark, SF, "documents"))
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("Initial Plan")[0]
-    assert "ReusedExchange" in final or "BroadcastHashJoin" in final
-
-
 def test_hash_is_of_kept_words(spark):
     from graphmill.llm.queries import query
 
