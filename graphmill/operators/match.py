@@ -99,43 +99,24 @@ def _all_tokens(names: DataFrame) -> DataFrame:
     return names.select("text", F.explode_outer("tokens").alias("token"))
 
 
-def _rare_tokens(names: DataFrame, needed: Column, rarity: DataFrame, pairs: bool = False) -> DataFrame:
+def _rare_tokens(names: DataFrame, needed: Column, rarity: DataFrame) -> DataFrame:
     """The rarest tokens of each name, as many as a partner must meet at least one of.
 
     A name with ``n`` tokens whose partners share at least ``o`` of them meets each partner
-    within its ``n - o + 1`` rarest ones, so frequent tokens stay out of the join. With ``pairs``
-    (``o`` at least two) the two rarest shared tokens lie within ``n - o + 2``, and pairs of those
-    are the tokens to meet on; far fewer names share two of them.
+    within its ``n - o + 1`` rarest ones, so the most frequent of its tokens stay out of the join.
     """
-    kept = F.size("tokens") - needed + (2 if pairs else 1)
+    kept = F.size("tokens") - needed + 1
     rows = names.select("text", kept.alias("_kept"), F.explode_outer("tokens").alias("token"))
     by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("_count", F.lit(0)).alias("_count"), "token")))
     rare = (
         rows.join(rarity, "token", "left").groupBy("text", "_kept").agg(by_rarity.alias("_all"))
         .select("text", F.slice("_all.token", 1, F.greatest("_kept", F.lit(0))).alias("tokens"))
     )
-    if pairs:
-        tokens = F.col("tokens")
-
-        def after(first: Column, i: Column) -> Column:
-            rest = F.slice(tokens, i + 2, F.size(tokens))
-            return F.transform(rest, lambda second: F.concat(first, F.lit("|"), second))
-
-        rare = rare.select("text", F.flatten(F.transform(tokens, after)).alias("tokens"))
     return _all_tokens(rare)
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Token rows over all cores by name and token. They are few and cheap to move, the pairs they
-    lead to are not, whichever side Spark streams; and a frequent token must not fill one task."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "text", "token")
-
-
-def _meet(
-    terms: DataFrame, names: DataFrame, needed: Column, full_names: bool = False, pairs: bool = False
-) -> DataFrame:
-    """Pairs of term and name that share a token, or a pair of tokens, of their rare ends.
+def _meet(terms: DataFrame, names: DataFrame, needed: Column, full_names: bool = False) -> DataFrame:
+    """Pairs of term and name that share a token of their rare ends.
 
     Both sides hold text and tokens. ``full_names`` compares the rare end of either side with all
     tokens of the other.
@@ -143,9 +124,9 @@ def _meet(
     rarity = _all_tokens(names).groupBy("token").agg(F.count("*").alias("_count"))
 
     def side(rows: DataFrame, into: str) -> DataFrame:
-        return _spread(rows).withColumnRenamed("text", into)
+        return rows.withColumnRenamed("text", into)
 
-    rare_terms, rare_names = (_rare_tokens(df, needed, rarity, pairs) for df in (terms, names))
+    rare_terms, rare_names = (_rare_tokens(df, needed, rarity) for df in (terms, names))
     rare_terms, rare_names = side(rare_terms, "term"), side(rare_names, "name")
     if not full_names:
         return rare_terms.join(rare_names, "token").select("term", "name")
@@ -156,19 +137,72 @@ def _meet(
     )
 
 
+def _most_edits(length: Column, share: float) -> Column:
+    """Edits between a name of this length and any partner whose edit similarity exceeds ``share``."""
+    longest = F.floor(length / share + 1e-9)
+    return F.floor((1 - share) * longest + 1e-9).cast("int")
+
+
+def _segment_start(length: Column, edits: Column, i: Column) -> Column:
+    """Where segment ``i`` of a name begins that is cut into ``edits + 1`` of about equal length."""
+    return F.floor(i * length / (edits + 1)).cast("int")
+
+
+def _segment_pairs(terms: DataFrame, names: DataFrame, share: float) -> DataFrame:
+    """Pairs of term and name that agree on a segment of the name, near its place.
+
+    A name with at most ``e`` edits to its partner is cut into ``e + 1`` segments; one of them stands
+    in the partner unchanged, moved by no more than the edits on either side of it allow. Length and
+    number of the segment are part of the key, so only names of fitting length meet.
+    """
+    length, edits = F.col("_length"), F.col("_edits")
+    i, at, size = F.col("_i"), F.col("_at"), F.col("_size")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_edits", _most_edits(length, share))
+        rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), edits)))
+        start = _segment_start(length, edits, i)
+        return rows.withColumn("_at", start).withColumn("_size", _segment_start(length, edits, i + 1) - start)
+
+    whole = names.select(F.col("text").alias("name"), F.length("text").alias("_length"))
+    segments = cut(whole).select("name", "_length", "_i", F.substr("name", at + 1, size).alias("_segment"))
+    own = F.length("term")
+    low, high = F.ceil(own * share - 1e-9).cast("int"), F.floor(own / share + 1e-9).cast("int")
+    fitting = terms.select(F.col("text").alias("term"))
+    fitting = cut(fitting.withColumn("_length", F.explode(F.sequence(low, high))))
+    moved = own - length
+    # Edits before the segment are at most its number, those behind it at most the rest.
+    first = F.greatest(at - i, at + moved - (edits - i), F.lit(0))
+    last = F.least(at + i, at + moved + (edits - i), own - size)
+    places = fitting.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    places = places.withColumn("_place", F.explode(F.sequence("_first", "_last")))
+    parts = places.select("term", "_length", "_i", F.substr("term", F.col("_place") + 1, size).alias("_segment"))
+    key = ["_length", "_i", "_segment"]
+    # Both sides by the key they meet on, over all cores: the rows are small, the pairs are the work.
+    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        parts.repartition(tasks, *key).distinct().join(segments.repartition(tasks, *key), key).select("term", "name")
+    )
+
+
 def _edit_pairs(terms: DataFrame, names: DataFrame, form: Column, share: float) -> DataFrame:
     """Every pair whose edit similarity on ``form`` exceeds ``share`` (at least one half).
 
-    With ``n`` the longer length, similarity above ``share`` means fewer than ``(1 - share) n``
-    edits; an edit touches two of the ``n + 1`` padded bigrams, so more than
-    ``1 + (2 share - 1) n`` of them are shared. Distinct forms meet, not texts, and the bounded
-    edit distance gives up on a pair as soon as it is too far apart.
+    From three quarters up, pairs meet on a segment of the name (``_segment_pairs``). Below, segments
+    would be too short to tell names apart: with ``n`` the longer length, similarity above ``share``
+    means fewer than ``(1 - share) n`` edits; an edit touches two of the ``n + 1`` padded bigrams, so
+    more than ``1 + (2 share - 1) n`` of them are shared. Distinct forms meet, not texts. Few pairs meet
+    twice, so they are measured where they meet, by a bounded edit distance that gives up on a pair as
+    soon as it is too far apart; only those that are near are shuffled.
     """
     text = F.col("text")
-    needed = (F.floor(1 + (2 * share - 1) * F.length(text)) + 1).cast("int")
     sides = [df.select(form.alias("text"), F.col("text").alias("_own")) for df in (terms, names)]
-    # Rare ends grow as the share falls; past three quarters of it their pairs would be too many.
-    pairs = _meet(*[_with_bigrams(side.select("text").distinct()) for side in sides], needed, pairs=share >= 0.75)
+    forms = [side.select("text").distinct() for side in sides]
+    if share >= 0.75:
+        pairs = _segment_pairs(*forms, share)
+    else:
+        needed = (F.floor(1 + (2 * share - 1) * F.length(text)) + 1).cast("int")
+        pairs = _meet(*[_with_bigrams(rows) for rows in forms], needed)
     shorter, longer = F.least(F.length("term"), F.length("name")), F.greatest(F.length("term"), F.length("name"))
     edits = F.floor((1 - share) * longer + 1e-9).cast("int")
     near = (

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from graphmill.operators import match
+from graphmill.plans import matching as plans
 
 
 def table(spark, values, name):
@@ -91,3 +92,14 @@ def test_decisions_apply_only_to_offered_names(spark):
     decisions = spark.createDataFrame([("Alphabit", "GOOG"), ("Zzz", "META"), ("Metal", None)], "name string, match_ticker string")
     rows = match.decide_matches(table(spark, ["Meta", "Alphabit", "Zzz", "Metal"], "name"), dictionary, decisions).collect()
     assert {(r.name, r.match, r.stage) for r in rows} == {("Meta", "META", "exact"), ("Alphabit", "GOOG", "decided")}
+
+
+def test_share_of_names_that_meet_falls_with_scale(spark):
+    shares = []
+    for sf in ("0.001", "0.01", "0.1"):
+        path = f"/root/testdata/sf{sf}"
+        terms = plans.derive(spark, path, plans.TYPOS, "part").select(match.folded("term").alias("text")).distinct()
+        names = plans.derive(spark, path, plans.PART_NAMES, "part").select(match.folded("alias").alias("text")).distinct()
+        met = match._segment_pairs(terms, names, 0.9).count()
+        shares.append(met / (terms.count() * names.count()))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.06
