@@ -11,6 +11,7 @@ subsequences, without visiting the landmarks.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -63,39 +64,61 @@ def self_kernel(codes: np.ndarray, length: int = LENGTH, gap: float = GAP) -> np
     return gap * gap * (same * before[:, :-1, :-1]).sum(axis=(1, 2))
 
 
-def weighted(codes: np.ndarray, table: np.ndarray, base: int, gap: float = GAP) -> np.ndarray:
-    """For each row, the sum over its subsequences of their gap weight times their entry in the table."""
+class Weights:
+    """Values (one or a row of them) of triples of letters; triples without one share a row of zeros."""
+
+    def __init__(self, values: np.ndarray, index: np.ndarray | None = None) -> None:
+        self.values, self.index = values, index
+
+    def of(self, triples: np.ndarray) -> np.ndarray:
+        return self.values[triples if self.index is None else self.index[triples]]
+
+
+def weighted(codes: np.ndarray, weights: Weights, base: int, gap: float = GAP) -> np.ndarray:
+    """For each row, the sum over its subsequences of their gap weight times their value."""
     n, size = codes.shape
-    out = np.zeros((n, *table.shape[1:]))
+    out = np.zeros((n, *weights.values.shape[1:]))
     for i, j in combinations(range(size), 2):
         head = (codes[:, i] * base + codes[:, j]) * base
         for k in range(j + 1, size):
-            out += gap ** (k - i + 1) * table[head + codes[:, k]]
+            out += gap ** (k - i + 1) * weights.of(head + codes[:, k])
     return out
 
 
-def subsequences(word: str, alphabet: Alphabet) -> np.ndarray:
-    """The normalised feature vector of one word, over all triples of letters."""
-    out = np.zeros(alphabet.size**LENGTH)
+def subsequences(word: str, alphabet: Alphabet) -> dict[int, float]:
+    """The normalised features of one word: its triples of letters and their gap weights."""
+    out: dict[int, float] = defaultdict(float)
     for _, codes in alphabet.rows([word[:WIDTH]]).values():
         for i, j, k in combinations(range(codes.shape[1]), LENGTH):
             a, b, c = codes[0, i], codes[0, j], codes[0, k]
             if a and b and c:
-                out[(a * alphabet.size + b) * alphabet.size + c] += GAP ** (k - i + 1)
-    norm = np.linalg.norm(out)
-    return out / norm if norm else out
-
-
-def kernels(words: list[str], table: np.ndarray, alphabet: Alphabet, step: int = 1 << 13) -> np.ndarray:
-    """What the table (triples by columns) gives for each word, normalised; the largest of a long word's windows."""
-    out = np.full((len(words), *table.shape[1:]), -np.inf)
+                out[int((a * alphabet.size + b) * alphabet.size + c)] += GAP ** (k - i + 1)
+    norm = sum(v * v for v in out.values()) ** 0.5
+    return {triple: v / norm for triple, v in out.items()}
+
+
+def marked(words: list[str], alphabet: Alphabet) -> Weights:
+    """One column of features for each word; only triples that occur take a row."""
+    columns = [subsequences(w, alphabet) for w in words]
+    known = sorted({t for c in columns for t in c})
+    index = np.zeros(alphabet.size**LENGTH, np.int32)
+    index[known] = np.arange(1, len(known) + 1)
+    values = np.zeros((len(known) + 1, len(words)))
+    for n, column in enumerate(columns):
+        values[index[list(column)], n] = list(column.values())
+    return Weights(values, index)
+
+
+def kernels(words: list[str], weights: Weights, alphabet: Alphabet, step: int = 1 << 12) -> np.ndarray:
+    """What the weights give for each word, normalised; the largest of a long word's windows."""
+    out = np.full((len(words), *weights.values.shape[1:]), -np.inf)
     for size, (places, rows) in alphabet.rows(words).items():
         if size < LENGTH:
             continue
         for at in range(0, len(places), step):
             place, codes = places[at : at + step], rows[at : at + step]
-            norm = np.sqrt(self_kernel(codes)).reshape(-1, *[1] * (table.ndim - 1))
-            found = weighted(codes, table, alphabet.size) / np.where(norm > 0, norm, 1)
+            norm = np.sqrt(self_kernel(codes)).reshape(-1, *[1] * (out.ndim - 1))
+            found = weighted(codes, weights, alphabet.size) / np.where(norm > 0, norm, 1)
             np.maximum.at(out, place, found)
     out[np.isneginf(out)] = 0
     return out
@@ -123,14 +146,14 @@ class Machine:
     """The decision on words: above 0 like the positive ones, below like the others."""
 
     def __init__(self, alphabet: Alphabet, landmarks: list[str], words: list[str], y: np.ndarray, weight: np.ndarray) -> None:
-        marks = np.stack([subsequences(w, alphabet) for w in landmarks], axis=1)
-        values, vectors = np.linalg.eigh(marks.T @ marks)
+        marks = marked(landmarks, alphabet)
+        values, vectors = np.linalg.eigh(marks.values.T @ marks.values)
         kept = values > 1e-6 * values.max()
         white = vectors[:, kept] / np.sqrt(values[kept])  # Nyström: kernels to landmarks become coordinates
         x = kernels(words, marks, alphabet) @ white
         w = squared_hinge(x, y, weight)
         self.alphabet, self.bias = alphabet, float(w[-1])
-        self.table = marks @ (white @ w[:-1])
+        self.weights = Weights((marks.values @ (white @ w[:-1]))[marks.index])
 
     def judge(self, words: list[str]) -> np.ndarray:
-        return kernels(words, self.table, self.alphabet) + self.bias
+        return kernels(words, self.weights, self.alphabet) + self.bias
