@@ -70,12 +70,31 @@ def response_body(c: Column | str) -> Column:
     return F.when(bare.startswith("["), bare).when(braces != "", braces).otherwise(bare)
 
 
+def _loose(schema: T.StructType) -> T.StructType:
+    """The schema with lists of names read as text."""
+    return T.StructType(
+        [T.StructField(f.name, T.StringType() if f.dataType == schemas.STRINGS else f.dataType) for f in schema]
+    )
+
+
+def _names(text: Column) -> Column:
+    """A list of names, also where a response gives one bare name in place of a list."""
+    return F.when(text.startswith("["), F.from_json(text, schemas.STRINGS)).when(F.length(text) > 0, F.array(text))
+
+
+def _strict(record: Column, schema: T.StructType) -> Column:
+    fields = [
+        (_names(record[f.name]) if f.dataType == schemas.STRINGS else record[f.name]).alias(f.name) for f in schema
+    ]
+    return F.when(record.isNotNull(), F.struct(*fields))
+
+
 def parse_response(c: Column | str, schema: T.StructType) -> Column:
     """A response to ``schema``, the first item of a list, or null when unreadable."""
     body = response_body(c)
     first = F.try_variant_get(F.try_parse_json(body), "$[0]", "string")
     record = F.when(body.startswith("["), first).otherwise(body)
-    return F.when(_valid(body) & record.startswith("{"), F.from_json(record, schema))
+    return _strict(F.when(_valid(body) & record.startswith("{"), F.from_json(record, _loose(schema))), schema)
 
 
 def with_record(df: DataFrame, response: str, schema: T.StructType, into: str = "parsed") -> DataFrame:
@@ -84,8 +103,8 @@ def with_record(df: DataFrame, response: str, schema: T.StructType, into: str =
     first = F.when(F.col("_body").startswith("["), F.try_variant_get("_json", "$[0]", "string"))
     staged = staged.withColumn("_record", F.coalesce(first, "_body"))
     readable = F.col("_json").isNotNull() & F.col("_record").startswith("{")
-    parsed = F.when(readable, F.from_json("_record", schema))
-    return staged.withColumn(into, parsed).drop("_body", "_json", "_record")
+    staged = staged.withColumn("_read", F.when(readable, F.from_json("_record", _loose(schema))))
+    return staged.withColumn(into, _strict(F.col("_read"), schema)).drop("_body", "_json", "_record", "_read")
 
 
 def split_responses(

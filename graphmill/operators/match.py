@@ -8,12 +8,15 @@ size check; large ones are shuffled.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.functions.clean import _col
+from graphmill import schemas
+from graphmill.functions import jsontext
+from graphmill.functions.clean import _col, clean_name
+from graphmill.operators import hooks
 from graphmill.session import stored
 
 
@@ -257,9 +260,13 @@ def resolve_names(
 
     Stages: exact, fuzzy, exact on the official name, fuzzy on the official name. ``dictionary``
     holds alias, label, key; ``official`` holds term, official_name, given from outside. Aliases
-    up to ``min_length`` characters take no part in fuzzy stages. Returns term, stage, score,
-    label, key.
+    up to ``min_length`` characters take no part in fuzzy stages. Terms are looked up without
+    honorifics and legal forms. Returns term, stage, score, label, key, with terms as given.
     """
+    given = terms.select("term", clean_name("term").alias("_clean")).distinct()
+    official = official.join(given, "term").select(F.col("_clean").alias("term"), "official_name")
+    official = official.groupBy("term").agg(F.min("official_name").alias("official_name"))
+    terms = given.select(F.col("_clean").alias("term")).where("term <> ''").distinct()
     long_aliases = dictionary.where(F.length("alias") > min_length).select("alias")
 
     def stage(rows: DataFrame, name: str) -> DataFrame:
@@ -282,12 +289,13 @@ def resolve_names(
     near_official = fuzzy(
         left.select("official_name").distinct(), long_aliases, 1, floor, term="official_name"
     ).join(left, "official_name")
-    return (
+    settled = (
         stage(by_text, "exact")
         .unionByName(stage(best(near), "fuzzy"))
         .unionByName(stage(by_official, "official_exact"))
         .unionByName(stage(best(near_official), "official_fuzzy"))
     )
+    return given.join(settled.withColumnRenamed("term", "_clean"), "_clean").drop("_clean")
 
 
 def exact_then_vector(terms: DataFrame, nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -302,23 +310,36 @@ def exact_then_vector(terms: DataFrame, nodes: DataFrame, neighbours: DataFrame)
     )
 
 
+def candidates(
+    names: DataFrame, dictionary: DataFrame, k: int = 5, floor: float = 50.0
+) -> DataFrame:
+    """The dictionary entries offered for each name: name, rank, alias, ticker, score."""
+    near = fuzzy(names, dictionary.select("alias"), k, floor, term="name")
+    return near.join(dictionary.select("alias", "ticker"), "alias").select("name", "rank", "alias", "ticker", "score")
+
+
 def decide_matches(
-    names: DataFrame, dictionary: DataFrame, decisions: DataFrame, k: int = 5, floor: float = 50.0
+    names: DataFrame, dictionary: DataFrame, load: Callable, k: int = 5, floor: float = 50.0
 ) -> DataFrame:
-    """Ticker of each company name: exact, else what was decided among its fuzzy candidates.
+    """Ticker of each company name: exact, else what is decided among its fuzzy candidates.
 
-    ``names``: name. ``dictionary``: alias, ticker. ``decisions``: name, match_ticker, from the
-    decision hook or a finished table. Returns name, match, stage.
+    ``names``: name. ``dictionary``: alias, ticker. ``load`` opens a decision function as for
+    ``hooks.decide``; it sees name and ``offered`` (rank, alias, ticker, score, best first) and
+    answers with a response that holds ``match_ticker``. Answers that are not among the tickers
+    offered are dropped, as are unreadable ones. Returns name, match, stage.
     """
     by_text = names.join(dictionary.withColumnRenamed("alias", "name"), "name").select(
         "name", F.col("ticker").alias("match"), F.lit("exact").alias("stage")
     )
     rest = names.join(by_text.select("name"), "name", "left_anti")
-    offered = fuzzy(rest, dictionary.select("alias"), k, floor, term="name").select("name").distinct()
-    decided = (
-        decisions.where("match_ticker is not null").join(offered, "name", "left_semi")
-        .select("name", F.col("match_ticker").alias("match"), F.lit("decided").alias("stage"))
-    )
+    offered = candidates(rest, dictionary, k, floor).groupBy("name").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "alias", "ticker", "score"))).alias("offered")
+    )
+    answered = jsontext.with_record(hooks.decide(offered, load), "response", schemas.CANDIDATE_MATCH)
+    chosen = F.col("parsed.match_ticker")
+    decided = answered.where(F.array_contains("offered.ticker", chosen)).select(
+        "name", chosen.alias("match"), F.lit("decided").alias("stage")
+    )
     return by_text.unionByName(decided)
 
 

@@ -154,8 +154,10 @@ RESPONSE = """CASE o_orderpriority
     """,
 )
 def json_lists_and_repair(spark, sf):
-    body = F.to_json(
-        F.struct(F.array(F.col("o_custkey").cast("string")).alias("entities"), F.col("o_orderstatus").alias("sentiment"))
+    entity, sentiment = F.col("o_custkey").cast("string"), F.col("o_orderstatus").alias("sentiment")
+    # One name comes as a list or, in every other status, as a bare string.
+    body = F.when(F.col("o_orderstatus") == "F", F.to_json(F.struct(entity.alias("entities"), sentiment))).otherwise(
+        F.to_json(F.struct(F.array(entity).alias("entities"), sentiment))
     )
     rows = table(spark, sf, "orders").withColumn("body", body).withColumn("response", F.expr(RESPONSE))
     parsed = jsontext.with_record(rows, "response", schemas.NEWS_ANALYSIS)
@@ -400,6 +402,19 @@ def extraction_tables(spark, sf):
     )
 
 
+def _same_number():
+    """Takes the candidate whose number is the name's, if there is one."""
+
+    def answer(batch):
+        out = []
+        for name, offered in zip(batch["name"], batch["offered"], strict=True):
+            same = [c["ticker"] for c in offered if c["alias"][-9:] == name[-9:]]
+            out.append('{"match_ticker": %s}' % (f'"{same[0]}"' if same else "null"))
+        return out
+
+    return answer
+
+
 @query(
     "known_company_edges",
     f"""
@@ -419,12 +434,12 @@ def known_company_edges(spark, sf):
     mentions = items.select(
         F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("ticker"),
         F.when(F.col("l_returnflag") == "R", "COMPETES_WITH").otherwise("PARTNER_WITH").alias("rel"),
-        F.concat(F.lit("Supplier#"), F.lpad(target.cast("string"), 9, "0")).alias("name"),
+        # A third of the names are misspelt.
+        F.concat(F.when(F.col("l_returnflag") == "A", "Supplier ").otherwise("Supplier#"), F.lpad(target.cast("string"), 9, "0")).alias("name"),
         F.col("p_brand").alias("evidence"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
-    names = mentions.select("name").distinct()
-    resolved = match.exact(names, known, term="name").select("name", F.col("ticker").alias("match"))
+    resolved = match.decide_matches(mentions.select("name").distinct(), known, _same_number, floor=90.0)
     return build.known_company_edges(mentions, resolved, AS_OF).drop("source", "last_updated")
 
 
@@ -731,13 +746,13 @@ PAGE_WORDS = ["lich", "tion", "ment"]
 
 
 def _pages(spark, sf):
-    """Page text as summary and content, its paragraphs as sections titled by their first words."""
+    """Page text as summary and content, its paragraphs as sections that are their own titles."""
     raw = texts(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)).alias("parts"), "html")
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
     sections = raw.select("page_id", F.posexplode("parts").alias("sec_no", "raw")).select(
         "page_id", "sec_no", plain(F.col("raw")).alias("body")
     )
-    sections = sections.withColumn("title", F.substring("body", 1, 20))
+    sections = sections.withColumn("title", F.col("body"))
     pages = raw.select(
         "page_id", plain(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("summary"),
         plain(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)).alias("content"),
@@ -745,7 +760,7 @@ def _pages(spark, sf):
     return pages, sections
 
 
-KEYWORD = "(lower(substring(body, 1, 20)) LIKE '%lich%' OR lower(substring(body, 1, 20)) LIKE '%tion%' OR lower(substring(body, 1, 20)) LIKE '%ment%')"
+KEYWORD = "(lower(body) LIKE '%lich%' OR lower(body) LIKE '%tion%' OR lower(body) LIKE '%ment%')"
 
 
 @query(
@@ -764,7 +779,7 @@ def section_keywords(spark, sf):
     "section_digest",
     rf"""
     WITH {PARAGRAPHS}, hits AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY sec_no) AS r FROM paragraphs WHERE {KEYWORD} AND length(body) > 0),
-    found AS (SELECT page_id, count(*) AS n, string_agg(concat('SECTION ''', replace(replace(upper(substring(body, 1, 20)), 'ß', 'SS'), 'ẞ', 'SS'), ''':', chr(10),
+    found AS (SELECT page_id, count(*) AS n, string_agg(concat('SECTION ''', replace(replace(upper(body), 'ß', 'SS'), 'ẞ', 'SS'), ''':', chr(10),
       substring(body, 1, 1500), chr(10), chr(10)), '' ORDER BY sec_no) AS text FROM hits WHERE r <= 2 GROUP BY 1),
     plain AS (SELECT page_id,
       trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS summary,

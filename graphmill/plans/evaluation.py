@@ -68,7 +68,7 @@ def question_roundtrip(spark, sf):
     )
 
 
-ANSWERS = """answers AS (SELECT d.doc_id, source AS question, lang AS ground_truth, CASE WHEN n_chars > 100 THEN substring(text, 1, 50) END AS prediction,
+ANSWERS = """answers AS (SELECT d.doc_id, source AS question, lang AS ground_truth, CASE WHEN n_chars > 100 THEN text END AS prediction,
   CASE WHEN quality = 1 THEN ' true, it is' WHEN toxic = 1 THEN 'FALSE' WHEN quality = 0 THEN 'untrue' END AS judgement, CASE WHEN lang <> 'de' THEN lang END AS question_type
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
   results AS (SELECT doc_id, question, ground_truth, coalesce(prediction, 'ERROR: timeout') AS prediction, prediction IS NOT NULL AND coalesce(upper(judgement) LIKE '%TRUE%', FALSE) AS is_correct,
@@ -78,7 +78,7 @@ ANSWERS = """answers AS (SELECT d.doc_id, source AS question, lang AS ground_tru
 def _answers(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
         "doc_id", F.col("source").alias("question"), F.col("lang").alias("ground_truth"),
-        F.when(F.col("n_chars") > 100, F.substring("text", 1, 50)).alias("prediction"),
+        F.when(F.col("n_chars") > 100, F.col("text")).alias("prediction"),
         F.when(F.col("quality") == 1, " true, it is").when(F.col("toxic") == 1, "FALSE").when(F.col("quality") == 0, "untrue").alias("judgement"),
         F.when(F.col("lang") != "de", F.col("lang")).alias("question_type"), F.lit("timeout").alias("error"),
         F.lit(None).cast("string").alias("retrieved_context"), F.lit(1.2345).alias("time_sec"),

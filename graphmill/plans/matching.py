@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphmill.functions import text
+from graphmill.functions import clean, text
 from graphmill.operators import enrich, evaluate, hooks, match, vectors
 from graphmill.operators.upsert import lookup_table
 from graphmill.plans.registry import Registry
@@ -101,10 +101,18 @@ STAGED_TERMS = f"""SELECT term FROM ({TYPOS}) AS t UNION SELECT alias FROM ({PAR
 TYPED_NAMES = """SELECT concat(p_name, ' ', p_type, ' ', p_brand) AS alias, 'Product' AS label, min(p_partkey) AS key FROM {part} GROUP BY 1"""
 
 
+# Terms as found in news: some carry a title or a legal form that the dictionary lacks.
+DRESSED_TERMS = f"""SELECT CASE WHEN length(term) % 3 = 0 THEN concat('Mr.', term) WHEN length(term) % 3 = 1 THEN concat(term, ' plc') ELSE term END AS term
+  FROM ({STAGED_TERMS}) AS s"""
+CLEANED = r"trim(regexp_replace(term, '\b(Mr\.|Mrs\.|Ms\.|Dr\.|Inc\.|Corp\.|plc|Ltd\.)\b', '', 'gi'))"
+
+
 @query(
     "resolve_cascade",
     f"""
-    WITH dictionary AS ({duck(TYPED_NAMES)}), official AS ({duck(OFFICIAL)}), all_terms AS ({duck(STAGED_TERMS)}),
+    WITH dictionary AS ({duck(TYPED_NAMES)}), dressed AS ({duck(DRESSED_TERMS)}),
+    given AS (SELECT DISTINCT term, {CLEANED} AS cleaned FROM dressed), official AS ({duck(OFFICIAL)}),
+    all_terms AS (SELECT DISTINCT cleaned AS term FROM given WHERE cleaned <> ''),
     s1 AS (SELECT term, 'exact' AS stage, 100.0::DOUBLE AS score, label, key FROM all_terms JOIN dictionary ON term = alias),
     {_fuzzy_sql("SELECT term FROM all_terms WHERE term NOT IN (SELECT term FROM s1)", "SELECT alias FROM dictionary WHERE length(alias) > 3", 1, 90)},
     s2 AS (SELECT term, 'fuzzy' AS stage, score, label, key FROM near JOIN dictionary USING (alias)),
@@ -116,14 +124,31 @@ TYPED_NAMES = """SELECT concat(p_name, ' ', p_type, ' ', p_brand) AS alias, 'Pro
       .replace("terms AS", "terms4 AS").replace("FROM terms)", "FROM terms4)").replace("dict AS", "dict4 AS").replace("FROM dict)", "FROM dict4)")
       .replace("ta AS", "ta4 AS").replace("db AS", "db4 AS").replace("FROM ta, db", "FROM ta4, db4").replace("scored AS", "scored4 AS")
       .replace("FROM scored", "FROM scored4").replace("near AS", "near4 AS")},
-    s4 AS (SELECT l.term, 'official_fuzzy' AS stage, score, label, key FROM left3 l JOIN near4 n ON l.official_name = n.term JOIN dictionary USING (alias))
-    SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4
+    s4 AS (SELECT l.term, 'official_fuzzy' AS stage, score, label, key FROM left3 l JOIN near4 n ON l.official_name = n.term JOIN dictionary USING (alias)),
+    settled AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4)
+    SELECT g.term, stage, score, label, key FROM given g JOIN settled s ON g.cleaned = s.term
     """,
 )
 def resolve_cascade(spark, sf):
-    return match.resolve_names(
-        derive(spark, sf, STAGED_TERMS, "part"), derive(spark, sf, TYPED_NAMES, "part"), derive(spark, sf, OFFICIAL, "part")
+    terms = derive(spark, sf, DRESSED_TERMS, "part")
+    # Official names are known by the bare term; every spelling of it may ask for them.
+    official = terms.select("term", clean.clean_name("term").alias("bare")).join(
+        derive(spark, sf, OFFICIAL, "part").withColumnRenamed("term", "bare"), "bare"
     )
+    return match.resolve_names(terms, derive(spark, sf, TYPED_NAMES, "part"), official.select("term", "official_name"))
+
+
+def _second_choice():
+    """Takes the second of several candidates; a third of the names get a ticker that nobody offered."""
+
+    def answer(batch):
+        out = []
+        for name, offered in zip(batch["name"], batch["offered"], strict=True):
+            ticker = "ZZZ" if len(name) % 3 == 0 else offered[min(1, len(offered) - 1)]["ticker"]
+            out.append('```json\n{"match_ticker": "%s"}\n```' % ticker)
+        return out
+
+    return answer
 
 
 @query(
@@ -131,16 +156,15 @@ def resolve_cascade(spark, sf):
     f"""
     WITH dictionary AS ({duck(SHORT_NAMES)}), all_terms AS ({duck(SHORT_TYPOS)} UNION SELECT alias FROM dictionary),
     s1 AS (SELECT term AS name, upper(term) AS match, 'exact' AS stage FROM all_terms JOIN dictionary ON term = alias),
-    {_fuzzy_sql("SELECT term FROM all_terms WHERE term NOT IN (SELECT name FROM s1)", "SELECT alias FROM dictionary", 5, 50)}
-    SELECT * FROM s1 UNION ALL SELECT DISTINCT term, 'DECIDED', 'decided' FROM near WHERE length(term) < 12
+    {_fuzzy_sql("SELECT term FROM all_terms WHERE term NOT IN (SELECT name FROM s1)", "SELECT alias FROM dictionary", 5, 50)},
+    counted AS (SELECT *, count(*) OVER (PARTITION BY term) AS n FROM near)
+    SELECT * FROM s1 UNION ALL SELECT term, upper(alias), 'decided' FROM counted WHERE rank = least(2, n) AND length(term) % 3 <> 0
     """,
 )
 def decided_matches(spark, sf):
     dictionary = derive(spark, sf, SHORT_NAMES, "part").withColumn("ticker", F.upper("alias"))
     names = derive(spark, sf, SHORT_TYPOS, "part").union(dictionary.select("alias")).distinct()
-    names = names.withColumnRenamed("term", "name")
-    decisions = names.select("name", F.when(F.length("name") < 12, "DECIDED").alias("match_ticker"))
-    return match.decide_matches(names, dictionary, decisions)
+    return match.decide_matches(names.withColumnRenamed("term", "name"), dictionary, _second_choice)
 
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"

@@ -111,3 +111,9 @@ def test_verdicts(spark):
     for said, loose, strict in [(" true.", True, True), ("UNTRUE", True, False), ("FALSE", False, False), (None, False, False)]:
         assert one(spark, evaluate.verdict("v"), v=said) is loose
         assert one(spark, evaluate.verdict("v", strict=True), v=said) is strict
+
+
+def test_one_bare_name_is_a_list_of_one(spark):
+    for response, wanted in (('{"entities":"Apple"}', ["Apple"]), ('{"entities":["A","B"]}', ["A", "B"]), ('{"entities":[]}', []),
+                             ('{"entities":""}', None), ('{"sentiment":"x"}', None)):
+        assert one(spark, jsontext.parse_response("v", schemas.NEWS_ANALYSIS)["entities"], v=response) == wanted

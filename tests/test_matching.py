@@ -87,11 +87,34 @@ def test_gazetteer_reads_whole_texts_and_whole_words(spark):
     assert {(r.doc_id, r.alias, r.pos, r.n) for r in found.collect()} == {(1, "General Electric", 30001, 2), (1, "again", 30006, 1)}
 
 
-def test_decisions_apply_only_to_offered_names(spark):
-    dictionary = spark.createDataFrame([("Alphabet", "GOOG"), ("Meta", "META")], "alias string, ticker string")
-    decisions = spark.createDataFrame([("Alphabit", "GOOG"), ("Zzz", "META"), ("Metal", None)], "name string, match_ticker string")
-    rows = match.decide_matches(table(spark, ["Meta", "Alphabit", "Zzz", "Metal"], "name"), dictionary, decisions).collect()
+def test_decisions_choose_among_what_is_offered(spark):
+    dictionary = spark.createDataFrame(
+        [("Alphabet", "GOOG"), ("Meta", "META"), ("Apple Inc", "AAPL")], "alias string, ticker string"
+    )
+
+    def load():
+        answers = {"Alphabit": "GOOG", "appel inc": "ZZZ", "Metal": None}
+
+        def answer(batch):
+            assert all(list(o)[0]["rank"] == 1 for o in batch["offered"])
+            return ["{\"match_ticker\": %s}" % (f'"{answers[n]}"' if answers.get(n) else "null") for n in batch["name"]]
+
+        return answer
+
+    names = table(spark, ["Meta", "Alphabit", "Zzz", "Metal", "appel inc"], "name")
+    rows = match.decide_matches(names, dictionary, load).collect()
     assert {(r.name, r.match, r.stage) for r in rows} == {("Meta", "META", "exact"), ("Alphabit", "GOOG", "decided")}
+    offered = match.candidates(table(spark, ["appel inc"], "name"), dictionary).collect()
+    assert [(r["rank"], r.alias, r.ticker) for r in offered] == [(1, "Apple Inc", "AAPL")]
+
+
+def test_terms_are_cleaned_before_they_are_looked_up(spark):
+    dictionary = spark.createDataFrame([("Acme", "Company", "ACM")], "alias string, label string, key string")
+    official = spark.createDataFrame([("Mr.Road", "Acme")], "term string, official_name string")
+    rows = match.resolve_names(table(spark, ["Acme plc", "Mr.Acme", "Mr.Road", "plc"], "term"), dictionary, official).collect()
+    assert {(r.term, r.stage, r.key) for r in rows} == {
+        ("Acme plc", "exact", "ACM"), ("Mr.Acme", "exact", "ACM"), ("Mr.Road", "official_exact", "ACM"),
+    }
 
 
 def test_share_of_names_that_meet_falls_with_scale(spark):
