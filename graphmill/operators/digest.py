@@ -1,8 +1,10 @@
 """Digests: lines of group members joined into one text of bounded length.
 
-A digest shows a fixed number of characters, so only the lines that can reach into them are
-gathered. ``row_number`` with an upper bound lets Spark keep that many rows per map task before
-the shuffle; a group with a third of all members costs no more than a small one.
+A digest shows a fixed number of characters, so only the lines that can reach into them matter.
+They are found on narrow rows, order and length of each line, in two steps: a group's lines are
+dealt to ``PARTS`` parts, and a line whose part alone fills the digest before it cannot be shown;
+what is left, little more than the digest's lines times the parts, is summed up once more by group.
+Only then are the texts of the lines that do reach in fetched.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.clean import DIGEST
+from graphmill.session import stored
+
+#: Parts in which the lines of a group are looked at first.
+PARTS = 1024
 
 
 def member_line(name: str, description: str, kind: str = "") -> Column:
@@ -22,6 +28,12 @@ def member_line(name: str, description: str, kind: str = "") -> Column:
     )
 
 
+def _reaching(rows: DataFrame, parts: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """The rows before which less than ``limit`` characters stand in their part."""
+    before = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).where(F.col("_start") < limit)
+
+
 def digest(
     lines: DataFrame,
     group: Sequence[str],
@@ -33,26 +45,29 @@ def digest(
 ) -> DataFrame:
     """The first ``limit`` characters of the lines of a group, joined in ``order``.
 
-    Exact: a line takes at least the separator and its lead, so the cut falls within the first
-    ``limit / (len(separator) + 1)`` lines.
+    Lines of equal order are told apart by a hash of their text; equal ones are counted and repeated.
     """
-    reach = limit // (len(separator) + 1) + 1
-    by_order = Window.partitionBy(*group).orderBy(*order)
-    ranked = (
-        lines.where(F.length(line) > 0)
-        .select(*group, *order, F.substring(line, 1, limit).alias("_line"))
-        .withColumn("_rank", F.row_number().over(by_order))
-        .where(F.col("_rank") <= reach)
-    )
-    before = F.sum(F.length("_line") + len(separator)).over(
-        by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    kept = ranked.withColumn("_start", before - F.length("_line") - len(separator)).where(
-        F.col("_start") < limit
+    shown = F.substring(line, 1, limit)
+    rows = lines.where(F.length(line) > 0).select(*group, *order, shown.alias("_line")).withColumn("_h", F.xxhash64("_line"))
+    keys = [*group, *order, "_h"]
+    # More copies of a line than fill the digest are never shown.
+    copies = F.least(F.count("*"), F.lit(limit + 1))
+    narrow = rows.groupBy(*keys).agg(copies.alias("_n"), F.max(F.length("_line")).alias("_length"))
+    narrow = narrow.withColumn("_size", F.col("_n") * (F.col("_length") + len(separator)))
+    narrow = narrow.withColumn("_part", F.pmod(F.xxhash64(*order, "_h"), F.lit(PARTS)))
+    first = _reaching(narrow, [*group, "_part"], [*order, "_h"], limit).drop("_start", "_part")
+    kept = _reaching(first, group, [*order, "_h"], limit).withColumn(
+        "_n", F.least("_n", F.ceil((limit - F.col("_start")) / (F.col("_length") + len(separator))).cast("bigint"))
     )
-    in_order = F.array_sort(F.collect_list(F.struct("_rank", "_line")))
+    # Few narrow rows, written, so that Spark knows how few when it joins them with the texts.
+    kept = stored(kept.select(*keys, "_start", "_n"), "digest-lines")
+    same = [rows[c].eqNullSafe(kept[c]) for c in keys]
+    fetched = rows.join(kept, same).select(*[rows[c] for c in keys], "_start", "_n", "_line")
+    fetched = fetched.groupBy(*keys, "_start", "_n").agg(F.min("_line").alias("_line"))
+    repeated = F.array_repeat("_line", F.col("_n").cast("int"))
+    in_order = F.array_sort(F.collect_list(F.struct("_start", F.array_join(repeated, separator).alias("_line"))))
     return (
-        kept.groupBy(*group)
+        fetched.groupBy(*group)
         .agg(in_order.alias("_lines"))
         .select(*group, F.substring(F.array_join("_lines._line", separator), 1, limit).alias(into))
     )

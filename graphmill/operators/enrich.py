@@ -61,21 +61,53 @@ def owner_evidence(items: DataFrame, threshold: float, strict: bool = True) -> t
 
 
 def company_pairs(companies: DataFrame, threshold: float, same_group: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Pairs of alike company descriptions: a, b, score, evidence; and the groups of copies.
+    """Pairs of alike company descriptions: a, b, score of different vectors or of one held twice; and who holds them.
 
-    ``companies``: id, vec, industry. All industries are compared unless ``same_group``.
-    Companies with one and the same vector form a group, led by its lowest id; pairs are between
-    leaders, and the second table (rep, id, industry) names the companies behind each.
+    ``companies``: id, vec, industry. All industries are compared unless ``same_group``. Companies
+    with one and the same vector are held together by its lowest id; the second table (rep, id,
+    industry) names the companies behind each. A vector that several companies hold is a pair with
+    itself, with score 1. ``listed`` and ``counted`` give company pairs and their counts.
     """
     reps, members = collapse_copies(companies, ("industry",))
-    leaders = members.where("rep = id").groupBy("id").agg(F.min("industry").alias("industry"))
-    first = leaders.select(F.col("id").alias("a"), F.col("industry").alias("industry_a"))
-    second = leaders.select(F.col("id").alias("b"), F.col("industry").alias("industry_b"))
-    pairs = similar_pairs(reps, threshold).join(first, "a").join(second, "b")
+    held = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+    same = held.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
+    pairs = similar_pairs(reps, threshold).select("a", "b", "score")
     if same_group:
-        pairs = pairs.where("industry_a = industry_b")
-    evidence = text.company_evidence("score", "industry_a")
-    return pairs.select("a", "b", "score", evidence.alias("evidence")), members
+        groups = members.groupBy("rep").agg(F.collect_set("industry").alias("industries"))
+        first, second = (groups.select(F.col("rep").alias(c), F.col("industries").alias(f"_{c}")) for c in "ab")
+        pairs = pairs.join(first, "a").join(second, "b").where("arrays_overlap(_a, _b)").select("a", "b", "score")
+    return (pairs.unionByName(same) if threshold < 1 else pairs), members
+
+
+def _sides(pairs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
+
+    return (
+        pairs.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "score")
+        .join(side(first, "a"), "rep_a").join(side(second, "b"), "rep_b")
+    )
+
+
+def listed(pairs: DataFrame, members: DataFrame, same_group: bool = False) -> DataFrame:
+    """All pairs of companies behind ``company_pairs``: a < b, score, evidence. As many rows as there are pairs."""
+    rows = _sides(pairs, members, members).where("rep_a <> rep_b or id_a < id_b")
+    if same_group:
+        rows = rows.where("industry_a = industry_b")
+    industry = F.when(F.col("id_a") < F.col("id_b"), F.col("industry_a")).otherwise(F.col("industry_b"))
+    rows = rows.select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "score", industry.alias("industry")
+    )
+    return rows.select("a", "b", "score", text.company_evidence("score", "industry").alias("evidence"))
+
+
+def counted(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Company pairs between different industries (a < b), counted by multiplying copies, not by listing them."""
+    held = members.groupBy("rep", "industry").agg(F.count("*").alias("n"))
+    rows = _sides(pairs, held, held).where("industry_a <> industry_b and (rep_a <> rep_b or industry_a < industry_b)")
+    return rows.groupBy(
+        F.least("industry_a", "industry_b").alias("a"), F.greatest("industry_a", "industry_b").alias("b")
+    ).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n_evidence"))
 
 
 def combine_candidates(*counted: DataFrame) -> DataFrame:

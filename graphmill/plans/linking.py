@@ -10,7 +10,7 @@ from graphmill.operators import enrich, hooks, linking, maintain, vectors
 from graphmill.plans.matching import PAIRED, _owned, _vectors
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import table, texts
-from graphmill.session import fresh_dir
+from graphmill.session import fresh_dir, stored
 from graphmill.sources import news as news_source
 from graphmill.streaming import ingest
 
@@ -283,41 +283,41 @@ def news_outcomes(spark, sf):
 # ---------------------------------------------------------------- inferred edges
 
 
+# Companies: every vector, and for three labels a second company with the very same description.
+COMPANIES = f"""{PAIRED}, companies AS (SELECT id, vec, label AS industry FROM v
+    UNION ALL SELECT id + 1000000, vec, (label + 1) % 10 FROM v WHERE label < 3),
+  alike AS (SELECT p.id AS a, q.id AS b, p.industry AS ia, q.industry AS ib, round(list_cosine_similarity(p.vec, q.vec), 9) + 0.0 AS cos
+    FROM companies p JOIN companies q ON p.id < q.id)"""
+
+
 def _company_pairs(spark, sf):
     companies = _vectors(spark, sf).withColumnRenamed("label", "industry")
-    return enrich.company_pairs(companies, 0.38)
+    twins = companies.where("industry < 3").select(
+        (F.col("id") + 1000000).alias("id"), "vec", ((F.col("industry") + 1) % 10).alias("industry")
+    )
+    return enrich.company_pairs(companies.unionByName(twins), 0.38)
 
 
 @query(
     "company_pairs",
     f"""
-    WITH {PAIRED} SELECT q_id AS a, i_id AS b, round(cos, 6) AS score, concat('High business description similarity (',
-      CAST(CAST(round_even(cos, 2) AS DECIMAL(18, 2)) AS STRING), ') in sector ', CAST(q_label AS STRING)) AS evidence
-    FROM pairs WHERE q_id < i_id AND cos > 0.38 AND q_id IN (SELECT min(id) FROM v GROUP BY vec) AND i_id IN (SELECT min(id) FROM v GROUP BY vec)
+    WITH {COMPANIES} SELECT a, b, round(cos, 6) AS score, concat('High business description similarity (',
+      CAST(CAST(round_even(cos, 2) AS DECIMAL(18, 2)) AS STRING), ') in sector ', CAST(ia AS STRING)) AS evidence
+    FROM alike WHERE cos > 0.38
     """,
 )
 def company_pairs(spark, sf):
-    return _company_pairs(spark, sf)[0].withColumn("score", F.round("score", 6))
+    return enrich.listed(*_company_pairs(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-CANDIDATES = f"""{PAIRED}, counted AS (
+CANDIDATES = f"""{COMPANIES}, counted AS (
   SELECT least(q_label, i_label) AS a, greatest(q_label, i_label) AS b, count(*) AS n FROM pairs WHERE q_id < i_id AND cos > 0.35 AND q_label <> i_label GROUP BY 1, 2
-  UNION ALL SELECT least(q_label, i_label), greatest(q_label, i_label), count(*) FROM pairs WHERE q_id < i_id AND cos > 0.38 AND q_label <> i_label
-    AND q_id IN (SELECT min(id) FROM v GROUP BY vec) AND i_id IN (SELECT min(id) FROM v GROUP BY vec) GROUP BY 1, 2),
+  UNION ALL SELECT least(ia, ib), greatest(ia, ib), count(*) FROM alike WHERE cos > 0.38 AND ia <> ib GROUP BY 1, 2),
   candidates AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n_evidence FROM counted GROUP BY 1, 2)"""
 
 
 def _candidates(spark, sf):
-    labels = _vectors(spark, sf).select("id", "label")
-    pairs = _company_pairs(spark, sf)[0]
-    by_company = (
-        pairs.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
-        .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-        .where("la <> lb")
-        .groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-        .agg(F.count("*").alias("n_evidence"))
-    )
-    return enrich.combine_candidates(_owned(spark, sf)[0], by_company)
+    return enrich.combine_candidates(_owned(spark, sf)[0], enrich.counted(*_company_pairs(spark, sf)))
 
 
 @query("candidate_pairs", f"WITH {CANDIDATES} SELECT a, b, n_evidence FROM candidates")
@@ -338,7 +338,8 @@ def _judge():
 
 def _decisions(spark, sf):
     """Responses of the decision hook, parsed into one row per claimed relation."""
-    answered = hooks.decide(_candidates(spark, sf), _judge)
+    # Decided once: the candidates cost two searches, and the decisions are read twice.
+    answered = stored(hooks.decide(_candidates(spark, sf), _judge), "decisions")
     parsed = jsontext.split_responses(answered, "response", schemas.PAIR_DECISION)[0]
     return parsed.select("a", "b", F.inline("parsed.relationships"))
 
@@ -351,10 +352,10 @@ def _decisions(spark, sf):
     """,
 )
 def inferred_edges(spark, sf):
-    facts = enrich.inferred_facts(_decisions(spark, sf), AS_OF)
-    first, log = enrich.inferred_edges(facts)
+    decisions = _decisions(spark, sf)
+    first, log = enrich.inferred_edges(enrich.inferred_facts(decisions, AS_OF))
     # A second run on a later day finds the same facts and adds nothing.
-    again = enrich.inferred_facts(_decisions(spark, sf), "2024-02-29")
+    again = enrich.inferred_facts(decisions, "2024-02-29")
     edges, _ = enrich.inferred_edges(again, log)
     dates = [F.col(c).cast("string").alias(c) for c in ("created", "updated")]
     return edges.select("src_key", "rel", "dst_key", "n_entries", *dates)

@@ -108,8 +108,16 @@ def test_owner_counts_with_a_hot_group_of_copies(spark, small_blocks):
     assert dict(got) == {k: [(a, b) for _, a, b in sorted(v)[:10]] for k, v in listed.items()}
 
 
-def test_copies_of_a_description_form_one_group(spark):
-    matrix = np.array([[1.0, 0.0], [1.0, 0.0], [0.99, 0.05], [0.0, 1.0]])
-    pairs, members = enrich.company_pairs(frame(spark, matrix, industry=[7, 7, 7, 8]), 0.9)
-    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 2)]
-    assert {(r.rep, r.id) for r in members.collect()} == {(0, 0), (0, 1), (2, 2), (3, 3)}
+def test_companies_of_one_description_are_pairs_too(spark):
+    matrix = np.array([[1.0, 0.0], [1.0, 0.0], [0.99, 0.05], [0.0, 1.0], [1.0, 0.0]])
+    industry = [7, 8, 7, 8, 9]
+    pairs, members = enrich.company_pairs(frame(spark, matrix, industry=industry), 0.9)
+    alike = {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)}
+    assert {(r.a, r.b) for r in enrich.listed(pairs, members).collect()} == alike
+    counts = collections.Counter()
+    for a, b in alike:
+        if industry[a] != industry[b]:
+            counts[tuple(sorted((industry[a], industry[b])))] += 1
+    assert {(r.a, r.b): r.n_evidence for r in enrich.counted(pairs, members).collect()} == dict(counts)
+    pairs, members = enrich.company_pairs(frame(spark, matrix, industry=industry), 0.9, same_group=True)
+    assert {(r.a, r.b) for r in enrich.listed(pairs, members, same_group=True).collect()} == {(0, 2)}
