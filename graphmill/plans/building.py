@@ -874,7 +874,7 @@ def profile_scan(spark, sf):
     path = fresh_dir(spark, "profiles")
     header = {ours: theirs for theirs, ours in schemas.PROFILE_COLUMNS.items()}
     made.withColumnsRenamed(header).write.options(header="true", sep=";", quote='"', escape='"').csv(path)
-    read = profile_source.read_profiles(spark, path)
+    read = profile_source.read_profiles(spark, path, multi_line=True)
     read = profile_source.blank_placeholders(read, ["sector", "industry", "employees", "website"])
     read = profile_source.fill_unknown(read, {"sector": "Unknown"})
     return read.select(
@@ -908,14 +908,19 @@ def news_scan_aliases(spark, sf):
         F.concat_ws(" ;; ", "lang", "source").alias("GICS_Subsectors_Mapped"),
     )
 
-    def read(rows, name):
-        got = news_source.normalise_news(rows, AS_OF)
+    # The second spelling comes from delimited text on storage.
+    path = fresh_dir(spark, "news")
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    second.write.options(header="true", sep=";", quote='"', escape='"', **keep).csv(path)
+    stored = news_source.read_news(spark, path, AS_OF, multi_line=True).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+    def read(got, name):
         return got.select(
             F.lit(name).alias("spelling"), "doc_id", "headline", "body", F.col("date").cast("string").alias("date"),
             F.size("categories").cast("bigint").alias("n_categories"),
         )
 
-    return read(first, "first").unionByName(read(second, "second"))
+    return read(news_source.normalise_news(first, AS_OF), "first").unionByName(read(stored, "second"))
 
 
 @query(
@@ -923,13 +928,13 @@ def news_scan_aliases(spark, sf):
     f"""
     WITH {SUPPLIER_CTE}
     SELECT DISTINCT s.ticker, s.name AS company, p_name AS product FROM profiles s
-    JOIN lineitem ON s.seq = l_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'
+    JOIN lineitem ON s.seq = l_suppkey JOIN part ON l_partkey = p_partkey
     """,
 )
 def graph_roundtrip(spark, sf):
     companies = suppliers(spark, sf).select(F.lit("Company").alias("label"), F.col("ticker").alias("key"), "name")
     sold = (
-        table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+        table(spark, sf, "lineitem")
         .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("ticker"), F.array("p_name").alias("products"))
     )
@@ -937,6 +942,8 @@ def graph_roundtrip(spark, sf):
     hierarchy = build.hierarchy_edges(suppliers(spark, sf))
     path = fresh_dir(spark, "graph")
     nodes = companies.unionByName(build.edge_targets(made)).unionByName(build.edge_targets(hierarchy))
+    # An older graph stands at the path and is replaced.
+    tables.write_graph(companies.withColumn("name", F.lit("old")), hierarchy, path)
     tables.write_graph(upsert.upsert_edges(nodes, identity=["label", "key"]), made.unionByName(hierarchy), path)
     stored = maintain.with_labels(tables.read_nodes(spark, path).where("name is not null"), ["Company", "Product"])
     return maintain.produced_by(stored, tables.read_edges(spark, path))

@@ -120,3 +120,27 @@ def wrong_answers(spark, sf):
         "doc_id", "question", "ground_truth",
         F.coalesce("prediction", F.concat(F.lit("ERROR: "), "error")).alias("prediction"),
     )
+
+
+@query(
+    "results_roundtrip",
+    f"""
+    WITH {ANSWERS} SELECT question_type, count(*) AS n, count(*) FILTER (is_correct) AS n_correct, CAST(sum(length(prediction)) AS BIGINT) AS answer_length,
+      round(sum(time_sec), 2) AS seconds FROM results GROUP BY 1
+    """,
+)
+def results_roundtrip(spark, sf):
+    """Result rows, whole predictions with their line ends, written as text and read again."""
+    path = fresh_dir(spark, "results")
+    made = evaluate.results(_answers(spark, sf))
+    tables.write_rows(made, path)
+    schema = made.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    return tables.read_rows(spark, path, schema, multi_line=True).groupBy("question_type").agg(
+        F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"),
+        F.sum(F.length("prediction")).alias("answer_length"), F.round(F.sum("time_sec"), 2).alias("seconds"),
+    )
+
+
+@query("question_preview", f"WITH {QUESTIONS} SELECT * FROM questions ORDER BY question, ticker LIMIT 5")
+def question_preview(spark, sf):
+    return evaluate.first_questions(evaluate.questions(profiles(spark, sf)))

@@ -9,6 +9,7 @@ from graphmill.operators import enrich, evaluate, hooks, match, vectors
 from graphmill.operators.upsert import lookup_table
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import PART_NAMES, SUPPLIER_CTE, derive, duck, suppliers, table, texts
+from graphmill.session import stored
 
 query = Registry()
 
@@ -247,21 +248,29 @@ def knn_blocks(spark, sf):
     return nearest.select("q_id", "i_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(
-    "knn_top5_context",
-    f"""
-    WITH {PAIRED}
-    SELECT q_id, string_agg(concat('Type: Topic', chr(10), 'Name: v', CAST(i_id AS STRING), chr(10), 'Info: label ', CAST(i_label AS STRING), chr(10)),
-      concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY 1
-    """,
-)
+CONTEXTS = {"labelled": "\n---\n", "lines": "\n\n", "bars": " || "}
+
+
+def _context_sql(kind: str, separator: str) -> str:
+    info = "concat('label ', CAST(i_label AS STRING))"
+    part = f"concat('Type: Topic', chr(10), 'Name: v', CAST(i_id AS STRING), chr(10), 'Info: ', {info}, chr(10))"
+    quoted = "concat(" + ", ".join("chr(10)" if c == "\n" else f"'{c}'" for c in separator) + ")"
+    return f"SELECT '{kind}' AS form, q_id, string_agg({part if kind == 'labelled' else info}, {quoted} ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY 2"
+
+
+@query("knn_top5_context", f"WITH {PAIRED} " + " UNION ALL ".join(_context_sql(k, v) for k, v in CONTEXTS.items()))
 def knn_top5_context(spark, sf):
     items = _vectors(spark, sf)
     nodes = items.select(
         "id", F.lit("Topic").alias("label"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"),
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("description"),
     )
-    return evaluate.context_text(vectors.knn(items, items, 5, skip_self=True), nodes)
+    near = stored(vectors.knn(items, items, 5, skip_self=True), "near")
+    forms = [
+        evaluate.context_text(near, nodes, separator, form == "labelled").withColumn("form", F.lit(form))
+        for form, separator in CONTEXTS.items()
+    ]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
 
 
 @query(
@@ -303,12 +312,32 @@ def pair_evidence_shown(spark, sf):
     )
 
 
-@query("embed_text", "SELECT doc_id, 384::BIGINT AS dimension, 1.0::DOUBLE AS length FROM documents")
+@query(
+    "embed_text",
+    """
+    SELECT doc_id, 384::BIGINT AS dimension, 1.0::DOUBLE AS length, TRUE AS same_words_alike, TRUE AS other_words_differ,
+      min(doc_id) OVER (PARTITION BY text) AS first_copy FROM documents
+    """,
+)
 def embed_text(spark, sf):
-    rows = hooks.text_vectors(texts(spark, sf, "documents").select("doc_id", "text"))
-    return rows.select(
-        "doc_id", F.size("vec").cast("bigint").alias("dimension"), F.round(vectors.norm("vec"), 6).alias("length")
+    """Vectors of the texts, of the same words in another order, and of the texts with one word more."""
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
+    other = F.array_join(F.reverse(F.split("text", " ")), " ")
+    variants = [F.col("text"), other, F.concat("text", F.lit(" moreover"))]
+    forms = F.array(*[F.struct(F.lit(i).alias("form"), v.alias("words")) for i, v in enumerate(variants)])
+    rows = hooks.text_vectors(docs.select("doc_id", "text", F.explode(forms).alias("f")).select("doc_id", "text", "f.*"), "words")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), "form", "vec")
+    by_form = rows.groupBy("doc_id", "copy").agg(
+        *[F.max(F.when(F.col("form") == i, F.col("vec"))).alias(f"v{i}") for i in range(3)]
     )
+    like = lambda a, b: F.coalesce(vectors.cosine(a, b), F.lit(0.0)) > 1 - 1e-9
+    # Copies of a text must share one vector.
+    copies = by_form.groupBy("copy").agg(F.min("doc_id").alias("first_copy"), F.count_distinct("v0").alias("vectors"))
+    return by_form.join(copies.where("vectors = 1"), "copy").select(
+        "doc_id", F.size("v0").cast("bigint").alias("dimension"), F.round(vectors.norm("v0"), 6).alias("length"),
+        like(F.col("v0"), F.col("v1")).alias("same_words_alike"), (~like(F.col("v0"), F.col("v2"))).alias("other_words_differ"),
+        "first_copy",
+    )
 
 
 @query(
@@ -390,6 +419,29 @@ def search_nodes(spark, sf):
     """,
 )
 def search_vectors(spark, sf):
-    """One vector table across labels; every vector has the same length."""
-    indexed = vectors.unit_vectors(hooks.text_vectors(search_nodes(spark, sf), "vector_text"))
+    """One vector table across labels, news by their whole text; every vector has the same length."""
+    whole = F.when(F.col("label").isin("Company", "News"), F.col("search_text")).otherwise(F.col("vector_text"))
+    nodes = search_nodes(spark, sf).withColumn("indexed_text", whole)
+    indexed = vectors.unit_vectors(hooks.text_vectors(nodes, "indexed_text"))
     return indexed.groupBy("label", F.size("vec").cast("bigint").alias("dimension")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "node_texts",
+    """
+    SELECT c_custkey AS id, concat('Person: ', c_name, '. Position: ', CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'Expert' END, ' in ',
+        CASE WHEN c_nationkey > 5 THEN n_name ELSE 'S&P 500 context' END) AS person,
+      concat('Company: ', c_name, ', Ticker: ', c_mktsegment) AS short, concat(CASE WHEN c_nationkey > 5 THEN n_name ELSE 'Unknown' END, ': ', c_mktsegment) AS industry
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
+    """,
+)
+def node_texts(spark, sf):
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(
+        "c_custkey", "c_name", "c_mktsegment", F.lit("Person").alias("label"), F.lit(None).cast("string").alias("none"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("title"), F.when(F.col("c_nationkey") > 5, F.col("n_name")).alias("place"),
+    )
+    return rows.select(
+        F.col("c_custkey").alias("id"), text.entity_text("label", "c_name", "none", "none", "title", "place").alias("person"),
+        text.company_short_text("c_name", "c_mktsegment").alias("short"), text.industry_text("place", "c_mktsegment").alias("industry"),
+    )

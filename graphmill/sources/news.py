@@ -35,8 +35,10 @@ def normalise_news(raw: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def read_news(spark: SparkSession, path: str, as_of: str, sep: str | None = None) -> DataFrame:
-    return normalise_news(read_delimited(spark, path, sep), as_of)
+def read_news(
+    spark: SparkSession, path: str, as_of: str, sep: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    return normalise_news(read_delimited(spark, path, sep, multi_line), as_of)
 
 
 def category_rows(news: DataFrame) -> DataFrame:

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from graphmill.functions import clean, jsontext
 from graphmill.schemas import PROFILE_COLUMNS
 
-TEXT_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+TEXT_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+
+
+def text_options(multi_line: bool) -> dict[str, str]:
+    """Options of delimited text. Fields that hold line ends need ``multi_line``, and then one task reads a whole file."""
+    return TEXT_OPTIONS | {"multiLine": str(multi_line).lower()}
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
@@ -18,17 +23,17 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return ";" if header.count(";") >= header.count(",") else ","
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
     """Delimited text with a header, every column a string."""
-    return spark.read.options(**TEXT_OPTIONS, sep=sep or detect_separator(spark, path)).csv(path)
+    return spark.read.options(**text_options(multi_line), sep=sep or detect_separator(spark, path)).csv(path)
 
 
-def read_profiles(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_profiles(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
     """Profile rows under our column names; columns the file lacks are null."""
     if path.rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(path)
     else:
-        raw = read_delimited(spark, path, sep)
+        raw = read_delimited(spark, path, sep, multi_line)
     return rename_columns(raw)
 
 

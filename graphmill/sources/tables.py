@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.sources.profiles import TEXT_OPTIONS
+from graphmill.sources.profiles import text_options
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -28,12 +28,14 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 # A null is written as this mark, so that empty text stays empty text.
 NULL = {"nullValue": "\\N"}
+# Blanks at either end of a text belong to it.
+KEPT = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_rows(df: DataFrame, path: str) -> None:
     """Question sets and results as delimited text with a header."""
-    df.write.mode("overwrite").options(header="true", quote='"', escape='"', **NULL).csv(path)
+    df.write.mode("overwrite").options(header="true", quote='"', escape='"', **KEPT, **NULL).csv(path)
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(**TEXT_OPTIONS, **NULL).csv(path)
+def read_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    return spark.read.schema(schema).options(**text_options(multi_line), **KEPT, **NULL).csv(path)

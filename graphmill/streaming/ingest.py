@@ -1,28 +1,31 @@
 """News ingest in micro-batches, with the batch operators inside ``foreachBatch``.
 
-Each batch writes its own ``batch=<id>`` folder in overwrite mode, so a batch that is run again
-after a lost executor or a restart replaces its own output. Late repeats of a news key are dropped
-within the watermark; older repeats are dropped against what is stored, reading only the dates of
-the batch at hand.
+Links are stored by day and, within a day, by batch, and a batch replaces its own folders only, so one
+that runs again after a lost executor or a restart replaces its own output. Late repeats of a news key
+are dropped within the watermark; older repeats are dropped against what is stored, reading only the
+days of the batch at hand. ``compact`` rewrites the many small files of a long run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from graphmill.operators.linking import IDENTITY, news_key
 
 
-def _stored(batch: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The links below ``path`` in a new folder ``target``, with few files per day; run between batches."""
+    links = spark.read.parquet(f"{path}/links").withColumn("batch", F.lit(-1))
+    links.hint("rebalance", "day").write.partitionBy("day", "batch").parquet(f"{target}/links")
 
 
 def ingest_news(
@@ -44,14 +47,17 @@ def ingest_news(
     fresh = keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["news_key"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        dates = batch.select(F.col("date").alias("day")).distinct()
-        stored = _stored(batch, f"{path}/links")
-        if stored is not None:
-            seen = stored.where(F.col("batch") != batch_id).join(dates, "day", "left_semi")
-            batch = batch.join(seen.select("news_key").distinct(), "news_key", "left_anti")
-        links = link(batch)
-        target = f"{path}/links/batch={batch_id}"
-        links.write.mode("overwrite").partitionBy("day").parquet(target)
+        spark, target = batch.sparkSession, f"{path}/links"
+        batch = batch.persist()  # its days and its rows: the stateful part of the plan runs once
+        rows = batch
+        if _exists(spark, target):
+            days = batch.select(F.col("date").alias("day")).distinct()
+            seen = spark.read.parquet(target).where(F.col("batch") != batch_id).join(days, "day", "left_semi")
+            rows = batch.join(seen.select("news_key").distinct(), "news_key", "left_anti")
+        links = link(rows).withColumn("batch", F.lit(batch_id))
+        writer = links.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(target)
+        batch.unpersist()
 
     return (
         fresh.writeStream.foreachBatch(run)

@@ -158,7 +158,7 @@ def test_separator_is_read_off_the_header(spark, tmp_path):
     for sep in ";", ",":
         path = tmp_path / f"p{ord(sep)}.csv"
         path.write_text(sep.join(["Ticker", "Name", "Description"]) + "\n" + sep.join(["T", '"a ""b"""', '"x\ny;z, "']) + "\n")
-        row = profile_source.read_profiles(spark, str(path)).first()
+        row = profile_source.read_profiles(spark, str(path), multi_line=True).first()
         assert (row.ticker, row.name, row.description, row.sector) == ("T", 'a "b"', "x\ny;z, ", None)
 
 
@@ -171,7 +171,7 @@ def test_news_spellings(spark):
 def test_rows_survive_a_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a;b", 'say "x"\nnow', None), ("c", "", "z")], "q string, a string, b string")
     tables.write_rows(rows, str(tmp_path / "rows"))
-    assert {tuple(r) for r in tables.read_rows(spark, str(tmp_path / "rows"), "q string, a string, b string").collect()} == {tuple(r) for r in rows.collect()}
+    assert {tuple(r) for r in tables.read_rows(spark, str(tmp_path / "rows"), "q string, a string, b string", multi_line=True).collect()} == {tuple(r) for r in rows.collect()}
 
 
 def test_questions_give_whole_numbers_and_skip_missing_answers(spark):
