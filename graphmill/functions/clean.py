@@ -12,10 +12,7 @@ NAME_TOKENS = [r"Mr\.", r"Mrs\.", r"Ms\.", r"Dr\.", r"Inc\.", r"Corp\.", r"plc",
 
 # Prefix lengths by use.
 NODE_DESCRIPTION = 500
-PROMPT_DESCRIPTION = 800
-LONG_DESCRIPTION = 1500
 VECTOR_DESCRIPTION = 1000
-NEWS_BODY = 2000
 DIGEST = 10000
 LABEL_INFO = 300
 COMPANY_INFO = 400
@@ -81,7 +78,3 @@ def split_list(c: Column | str, separator: str = ";") -> Column:
 def present(c: Column | str) -> Column:
     """True for text that is neither null, empty nor a placeholder."""
     return F.coalesce(blank_to_null(c).isNotNull(), F.lit(False))
-
-
-def longer_than(c: Column | str, length: int) -> Column:
-    return F.coalesce(F.length(_col(c)) > length, F.lit(False))

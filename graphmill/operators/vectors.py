@@ -1,14 +1,15 @@
 """Vectors: cosine, nearest neighbours, pairs above a threshold. All results are exact.
 
-Both searches run as block products. Vectors are spread over blocks of bounded size, one task
-multiplies one block of queries with one block of items, and only the hits leave the task: the
-best ``k`` per query, or the pairs above the threshold. No pair table is ever formed.
-
-A threshold allows pruning. Items are assigned to the nearest of a few pivots. For unit vectors,
-cosine at least ``t`` means distance at most ``r = sqrt(2 - 2t)``, and a query farther than ``r``
-from the plane half way between its own pivot and another one cannot match an item of that other
-cell. A query therefore visits only the cells it can match in. Cells of any size are cut into
-blocks, so a cell that holds a third of all vectors becomes many tasks.
+Both searches run as block products over cells. Items belong to the nearest of a few pivots, as many as
+the square root of the table's rows, so that cells grow slower than the table. For unit vectors, cosine
+at least ``t`` means distance at most ``r = sqrt(2 - 2t)``, and a query farther than ``r`` from the plane
+half way between its own pivot and another one cannot match an item of that other cell. A query visits only
+the cells it can match in. Where no threshold is given, each query finds its ``k`` best in its own cell first,
+and the last of these is its threshold for the others.
+
+Cells of any size are cut into blocks of ``BLOCK`` rows, so a cell that holds a third of all vectors becomes
+many tasks. One task multiplies one block of queries with one block of items, and only the hits leave it:
+the best ``k`` per query, or the pairs above the threshold, at most ``BLOCK`` squared. No pair table is formed.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 
 from graphmill.session import stored
 
+#: Largest item table that ``method="broadcast"`` accepts.
 BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 32 << 20
-MIN_BLOCK = 256
-MAX_PIVOTS = 256
+BLOCK = 2048
 SLICE_SCORES = 4 << 20
 DIGITS = 9
 
@@ -65,11 +65,6 @@ def unit_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
     return doubles.withColumn(vec, F.zip_with(vec, lengths, lambda v, n: v / n)).drop("_norm")
 
 
-def dimension_check(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """Vector lengths that occur with their counts; a searchable table has one."""
-    return df.groupBy(F.size(vec).alias("dimension")).agg(F.count("*").alias("n"))
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64", copy=False)
 
@@ -80,12 +75,6 @@ def _shape(items: DataFrame) -> tuple[int, int]:
     return size["rows"], size["width"] or 1
 
 
-def _block_rows(rows: int, largest: int, parallelism: int) -> int:
-    """Large enough to keep copies few, small enough to give every core a block pair."""
-    even = math.ceil(rows / max(1.0, math.sqrt(2 * parallelism)))
-    return max(MIN_BLOCK, min(largest, even))
-
-
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the ``k`` best scores per row, the leftmost column first among equals."""
     width = scores.shape[1]
@@ -137,131 +126,135 @@ NO_HITS = pd.DataFrame({"q_id": [], "i_id": [], "cos": []})
 
 
 def _pivots(items: DataFrame, count: int) -> np.ndarray:
-    """A fixed choice of ``count`` item vectors (at most MAX_PIVOTS rows reach the driver)."""
+    """A fixed choice of ``count`` item vectors, the square root of the table's rows."""
     rows = items.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(count).collect()
     return np.unique(np.array([row.vec for row in rows], dtype="float64"), axis=0)
 
 
-def _assign(df: DataFrame, pivots: np.ndarray, radius: float | None, id_type: str, lower_only: bool) -> DataFrame:
-    """Cells per vector: its own one, and with a radius every other one it can match in.
+def _radius(cos: Column | float) -> Column:
+    """Distance within which vectors of at least this cosine lie; half a unit of the last digit is allowed for."""
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.lit(cos) if isinstance(cos, float) else cos)) + 10.0**-DIGITS)
+
+
+def _homes(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
+    """The cell of each vector: that of its nearest pivot."""
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield batch.assign(cell=(_matrix(batch["vec"]) @ pivots.T).argmax(axis=1).astype("int32"))
+
+    return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int")
+
+
+def visits(df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = False) -> DataFrame:
+    """Rows of id, vec, cell and whether it is home, for every cell that a vector can match in.
 
-    ``lower_only`` restricts the other cells to lower numbers, which leaves each pair of a self
-    join in exactly one cell.
+    ``df``: id, vec, cell (its own) and ``radius``. ``lower_only`` restricts the other cells to lower
+    numbers, which leaves each pair of a self join in exactly one cell.
     """
-    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, SLICE_SCORES // len(pivots))
         for batch in batches:
-            if batch.empty:
-                continue
-            vectors = _matrix(batch["vec"])
-            square = np.maximum(2 - 2 * vectors @ pivots.T, 0)
-            home = square.argmin(axis=1)
-            nearest = square[np.arange(len(home)), home]
-            if radius is None:
-                reach = np.zeros_like(square, dtype=bool)
-            else:
-                between = apart[home]
-                beyond = (square - nearest[:, None]) / (2 * np.maximum(between, 1e-6))
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
+                home, radius = part["cell"].to_numpy(), part["radius"].to_numpy()[:, None]
+                square = np.maximum(2 - 2 * _matrix(part["vec"]) @ pivots.T, 0)
+                own = square[np.arange(len(home)), home][:, None]
+                between = np.sqrt(np.maximum(2 - 2 * pivots[home] @ pivots.T, 0))
+                beyond = (square - own) / (2 * np.maximum(between, 1e-6))
                 # Pivots that nearly coincide say nothing in floating point: visit both cells.
-                reach = (beyond <= radius + 1e-7) | (between < 1e-6)
+                reach = (beyond <= radius + 1e-7) | (between < 1e-5)
                 if lower_only:
                     reach &= np.arange(len(pivots))[None, :] < home[:, None]
-            reach[np.arange(len(home)), home] = True
-            rows, cols = np.nonzero(reach)
-            out = batch.iloc[rows].copy()
-            out["cell"] = cols.astype("int32")
-            out["home"] = cols == home[rows]
-            yield out[["id", "vec", "cell", "home"]]
-
-    return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int, home boolean")
-
+                reach[np.arange(len(home)), home] = True
+                rows, cols = np.nonzero(reach)
+                out = part.iloc[rows][["id", "vec"]].copy()
+                out["cell"] = cols.astype("int32")
+                out["home"] = cols == home[rows]
+                yield out
 
-def _cell_sizes(df: DataFrame) -> dict[int, int]:
-    """Rows per cell; at most MAX_PIVOTS rows reach the driver."""
-    return {row["cell"]: row["count"] for row in df.groupBy("cell").count().collect()}
+    rows = df.select("id", "vec", "cell", "radius")
+    return rows.mapInPandas(cells, f"id {id_type}, vec array<double>, cell int, home boolean")
 
 
-def _lookup(counts: dict[int, int], block: int) -> Column:
-    """Number of blocks of a cell, zero where the cell has no rows."""
-    pairs = [F.lit(x) for cell, n in counts.items() for x in (cell, math.ceil(n / block))]
-    return F.coalesce(F.create_map(*pairs)[F.col("cell")], F.lit(0)) if pairs else F.lit(0)
+def _blocks(df: DataFrame, into: str) -> DataFrame:
+    """Blocks of each cell, as a stored table of one narrow row per cell."""
+    sizes = df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(into))
+    return stored(sizes, "cells")
 
 
-def _block_join(
-    queries: DataFrame, items: DataFrame, *, bound: float | None, strict: bool, k: int | None, same: str | None
+def _products(
+    q: DataFrame, items: DataFrame, id_type: str, *, bound: float | None, strict: bool, k: int | None, same: str | None
 ) -> DataFrame:
-    """Hits (q_id, i_id, cos) of unit vectors, by block products over cells."""
-    spark = items.sparkSession
-    id_type = items.schema["id"].dataType.simpleString()
+    """Hits (q_id, i_id, cos) of visiting vectors (id, vec, cell, home) in the items' cells (id, vec, cell)."""
     self_join = same == "ordered"
-    n_items, width = _shape(items)
-    largest = max(1, BLOCK_BYTES // (8 * width))
-    block = _block_rows(n_items, largest, spark.sparkContext.defaultParallelism)
-    # Scores are compared after rounding, so the radius allows for half a unit of the last digit.
-    radius = None if bound is None or bound <= -1 else math.sqrt(max(0.0, 2 - 2 * bound) + 10.0**-DIGITS)
-    n_pivots = 1 if radius is None else min(MAX_PIVOTS, max(1, n_items // largest))
-    if not n_items:
-        return spark.createDataFrame([], HIT.format(id=id_type))
-
-    if n_pivots == 1:
-        homes = items.select("id", "vec", F.lit(0).alias("cell"), F.lit(True).alias("home"))
-        visits = queries.select("id", "vec", F.lit(0).alias("cell"), F.lit(True).alias("home"))
-        item_blocks = _lookup({0: n_items}, block)
-        query_blocks = item_blocks if self_join else _lookup({0: queries.count()}, block)
-    else:
-        pivots = _pivots(items, n_pivots)
-        homes = stored(_assign(items, pivots, None, id_type, False), "homes")
-        visits = stored(_assign(queries, pivots, radius, id_type, self_join), "visits")
-        # Inside a cell of a self join the item table is the query table: same blocks.
-        item_blocks = _lookup(_cell_sizes(homes), block)
-        query_blocks = item_blocks if self_join else _lookup(_cell_sizes(visits), block)
-
-    def place(blocks: Column) -> Column:
-        return F.pmod(F.xxhash64("id"), F.greatest(blocks, F.lit(1))).cast("int")
-
+    blocks = _blocks(items, "ni")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda first, n: F.explode(F.sequence(first, F.greatest(F.col(n) - 1, first)))
     if self_join:
-        own = F.col("home")
-        q_place = place(item_blocks)
-        first = F.when(own, q_place).otherwise(F.lit(0))
-        q_side = visits.withColumn("qb", q_place).withColumn(
-            "ib", F.explode(F.sequence(first, F.greatest(item_blocks - 1, first)))
-        )
-        q_side = q_side.where(F.col("ib") < item_blocks)
-        i_side = homes.withColumn("ib", place(item_blocks)).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.greatest(item_blocks, F.lit(1)) - 1))
-        )
+        # Inside a cell of a self join the item table is the query table: same blocks, each pair of them once.
+        q_side = q.join(blocks, "cell").withColumn("qb", place("ni"))
+        q_side = q_side.withColumn("ib", upto(F.when(F.col("home"), F.col("qb")).otherwise(F.lit(0)), "ni"))
+        i_side = items.join(blocks, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "ni"))
     else:
-        q_side = visits.withColumn("qb", place(query_blocks)).where(item_blocks > 0).withColumn(
-            "ib", F.explode(F.sequence(F.lit(0), F.greatest(item_blocks, F.lit(1)) - 1))
-        )
-        i_side = homes.where(query_blocks > 0).withColumn("ib", place(item_blocks)).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.greatest(query_blocks, F.lit(1)) - 1))
-        )
+        both = stored(blocks.join(_blocks(q, "nq"), "cell"), "cells")
+        q_side = q.join(both, "cell").withColumn("qb", place("nq")).withColumn("ib", upto(F.lit(0), "ni"))
+        i_side = items.join(both, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "nq"))
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return NO_HITS
-        i_ids, vectors = right["item"].to_numpy(), _matrix(right["item_vec"])
+        i_ids, matrix = right["item"].to_numpy(), _matrix(right["item_vec"])
         parts = []
         if not self_join:
-            parts += _hits(left["id"].to_numpy(), _matrix(left["vec"]), i_ids, vectors, k, bound, strict, same)
+            parts += _hits(left["id"].to_numpy(), _matrix(left["vec"]), i_ids, matrix, k, bound, strict, same)
         else:
             diagonal = left["qb"].iloc[0] == left["ib"].iloc[0]
             for home, rows in left.groupby("home"):
                 rule = "ordered" if home and diagonal else None
-                parts += _hits(rows["id"].to_numpy(), _matrix(rows["vec"]), i_ids, vectors, None, bound, strict, rule)
+                parts += _hits(rows["id"].to_numpy(), _matrix(rows["vec"]), i_ids, matrix, None, bound, strict, rule)
         return pd.concat(parts) if parts else NO_HITS
 
     unit = ["cell", "qb", "ib"]
-    columns = ["id", "vec", "home", *unit] if self_join else ["id", "vec", *unit]
     return (
-        q_side.select(*columns).groupBy(*unit)
+        q_side.select("id", "vec", "home", *unit).groupBy(*unit)
         .cogroup(i_side.select(F.col("id").alias("item"), F.col("vec").alias("item_vec"), *unit).groupBy(*unit))
         .applyInPandas(multiply, HIT.format(id=id_type))
     )
 
 
+def _block_join(
+    queries: DataFrame, items: DataFrame, *, bound: float | None, strict: bool, k: int | None, same: str | None
+) -> DataFrame:
+    """Hits (q_id, i_id, cos) of unit vectors, by block products over the cells that can hold them."""
+    spark = items.sparkSession
+    id_type = items.schema["id"].dataType.simpleString()
+    n_items, _ = _shape(items)
+    if not n_items:
+        return spark.createDataFrame([], HIT.format(id=id_type))
+    pivots = _pivots(items, math.ceil(math.sqrt(n_items)))
+    homes = stored(_homes(items, pivots, id_type), "homes")
+    rule = {"bound": bound, "strict": strict, "k": k, "same": same}
+    if same == "ordered":
+        placed = homes.withColumn("radius", _radius(float(bound)))
+        return _products(visits(placed, pivots, id_type, True), homes, id_type, **rule)
+    placed = stored(_homes(queries, pivots, id_type), "queries")
+    if bound is not None and bound > -1:
+        placed = placed.withColumn("radius", _radius(float(bound)))
+    else:
+        own = _products(placed.withColumn("home", F.lit(True)), homes, id_type, **rule)
+        best = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
+        last = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
+        last = stored(last.select(F.col("q_id").alias("id"), F.col("cos").alias("_last")), "bounds")
+        # A query whose own cell holds fewer than k items may have to visit all.
+        placed = placed.join(last, "id", "left").withColumn(
+            "radius", F.when(F.col("_last").isNotNull(), _radius(F.col("_last"))).otherwise(F.lit(4.0))
+        )
+    return _products(visits(placed, pivots, id_type), homes, id_type, **rule)
+
+
 def _fits(items: DataFrame) -> bool:
     """Whether the item vectors stay below BROADCAST_BYTES, by their counted rows."""
     rows, width = _shape(items)
@@ -298,22 +291,26 @@ def knn(
     strict: bool = False,
     scale: str = "index",
     skip_self: bool = False,
-    method: str = "auto",
+    method: str = "blocks",
 ) -> DataFrame:
     """The ``k`` nearest items of each query: q_id, i_id, score, rank.
 
     Both tables hold ``id`` and ``vec``. ``floor`` applies after the best ``k`` are chosen; since
     it only removes the tail of a ranking, it may as well be applied inside the search.
     ``scale`` is ``index`` for 0..1 scores or ``cosine``. Equal scores rank by item id.
-    ``method`` is ``broadcast``, ``blocks`` or ``auto``, which counts the items first.
+    ``method`` is ``blocks``, or ``broadcast`` for an item table of less than 64 MB that every
+    executor holds; a larger one is refused.
     """
     if scale not in ("index", "cosine"):
         raise ValueError(f"unknown score scale: {scale}")
     bound = floor if floor is None or scale == "cosine" else round(2 * floor - 1, DIGITS)
     same = "other" if skip_self else None
-    small = method == "broadcast" or (method == "auto" and _fits(items))
+    if method not in ("blocks", "broadcast"):
+        raise ValueError(f"unknown method: {method}")
+    if method == "broadcast" and not _fits(items):
+        raise ValueError("too many items to hold on every executor; use blocks")
     queries, items = unit_vectors(queries), unit_vectors(items)
-    if small:
+    if method == "broadcast":
         hits = _broadcast_top(queries, items, k, bound, strict, same)
     else:
         hits = _block_join(queries, items, bound=bound, strict=strict, k=k, same=same)

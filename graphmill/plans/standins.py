@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.session import spread
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of long texts, spread over all cores if it comes in few splits."""
-    return spread(table(spark, sf, name))
+    """A table of long texts, dealt over the shuffle partitions: cutting texts up costs more than moving them."""
+    return table(spark, sf, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def derive(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:

@@ -9,8 +9,7 @@ from graphmill.operators import enrich, vectors
 @pytest.fixture
 def small_blocks(monkeypatch):
     """Many cells and blocks on few rows."""
-    monkeypatch.setattr(vectors, "BLOCK_BYTES", 40 * 8 * 8)
-    monkeypatch.setattr(vectors, "MIN_BLOCK", 10)
+    monkeypatch.setattr(vectors, "BLOCK", 10)
 
 
 def clustered(rows, seed, dim=8):
@@ -81,11 +80,28 @@ def test_empty_items(spark):
     assert vectors.similar_pairs(none, 0.5).count() == 0
 
 
-def test_items_too_large_to_hold_go_to_blocks(spark, monkeypatch):
+def test_items_too_large_to_hold_are_refused(spark, monkeypatch):
     items = frame(spark, clustered(60, 1))
-    assert vectors._fits(items)
+    assert vectors.knn(items, items, 1, method="broadcast").count() == 60
     monkeypatch.setattr(vectors, "BROADCAST_BYTES", 100)
-    assert not vectors._fits(items)
+    with pytest.raises(ValueError):
+        vectors.knn(items, items, 1, method="broadcast")
+
+
+def test_visits_per_vector_fall_with_the_threshold_and_grow_slower_than_the_table(spark):
+    """Clustered vectors: a query meets few cells, and cells grow with the square root of the table."""
+    seen = {}
+    for rows in (400, 1600):
+        draw = np.random.default_rng(4)
+        centres = draw.normal(size=(40, 16))
+        matrix = centres[draw.integers(0, 40, rows)] + 0.1 * draw.normal(size=(rows, 16))
+        items = vectors.unit_vectors(frame(spark, matrix))
+        pivots = vectors._pivots(items, int(np.ceil(np.sqrt(rows))))
+        for threshold in (0.5, 0.95):
+            placed = vectors._homes(items, pivots, "bigint").withColumn("radius", vectors._radius(threshold))
+            seen[rows, threshold] = vectors.visits(placed, pivots, "bigint").count() / rows / len(pivots)
+    print("share of cells visited:", seen)
+    assert seen[400, 0.95] < seen[400, 0.5] and seen[1600, 0.95] < 0.25
 
 
 def test_owner_counts_with_a_hot_group_of_copies(spark, small_blocks):
