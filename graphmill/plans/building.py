@@ -464,14 +464,15 @@ def node_upsert_last_wins(spark, sf):
       FROM orders WHERE o_orderstatus = 'F')
     SELECT 'Company' AS label, c_custkey AS key, coalesce(o_orderpriority, c_mktsegment) AS name
     FROM customer LEFT JOIN last ON c_custkey = o_custkey AND r = 1
+    UNION ALL SELECT 'Visitor', o_custkey, arg_max(o_orderpriority, o_orderkey) FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey
     """,
 )
 def node_merge_stored(spark, sf):
     stored = table(spark, sf, "customer").select(
         F.lit("Company").alias("label"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("name")
     )
-    new = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(
-        F.lit("Company").alias("label"), F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("name"),
+    new = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", "Company").otherwise("Visitor").alias("label"), F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("name"),
         F.col("o_orderkey").alias("seq"),
     )
     return upsert.upsert_nodes(new, stored, ["label", "key"]).drop("seq")
@@ -585,9 +586,11 @@ def unlinked_antijoin(spark, sf):
 def _part_graph(spark, sf):
     nodes = table(spark, sf, "part").select(F.lit("Product").alias("label"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
     companies = table(spark, sf, "supplier").select(F.lit("Company").alias("label"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
-    sold = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(
+    # Every row is an edge; some lead to bundles, which leaves products without one.
+    target = F.when(F.expr("l_returnflag = 'R' and l_quantity > 45"), "Product").otherwise("Bundle")
+    sold = table(spark, sf, "lineitem").select(
         F.lit("Company").alias("src_label"), F.col("l_suppkey").alias("src_key"), F.lit("PRODUCES").alias("rel"),
-        F.lit("Product").alias("dst_label"), F.col("l_partkey").alias("dst_key"),
+        target.alias("dst_label"), F.col("l_partkey").alias("dst_key"),
     )
     return nodes.unionByName(companies), upsert.upsert_edges(sold)
 
@@ -616,6 +619,7 @@ def orphan_delete_counts(spark, sf):
     """
     SELECT 'node' AS kind, 'Company' AS name, count(*) AS n FROM supplier
     UNION ALL SELECT 'edge', 'LOCATED_IN', count(*) FROM supplier
+    UNION ALL SELECT 'edge', 'PRODUCES', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_quantity > 45)
     """,
 )
 def detach_delete(spark, sf):

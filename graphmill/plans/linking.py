@@ -160,7 +160,7 @@ def run_counters(spark, sf):
     "category_mapping",
     """
     WITH c AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS category FROM part),
-    mapping AS (SELECT category, min(p_type) AS industry FROM c JOIN part USING (p_partkey) WHERE p_size > 49 GROUP BY 1)
+    mapping AS (SELECT category, min(p_type) FILTER (p_size > 49) AS industry FROM c JOIN part USING (p_partkey) GROUP BY 1 HAVING industry IS NOT NULL)
     SELECT CAST(p_partkey AS STRING) AS src_key, 'RELATES_TO_INDUSTRY' AS rel, industry AS dst_key
     FROM (SELECT DISTINCT p_partkey, industry FROM c JOIN mapping USING (category))
     """,
@@ -172,8 +172,8 @@ def category_mapping(spark, sf):
     )
     categories = news_source.category_rows(news)
     mapping = (
-        news.where("p_size > 49").select(F.explode("categories").alias("category"), "p_type")
-        .groupBy("category").agg(F.min("p_type").alias("industry"))
+        news.select(F.explode("categories").alias("category"), F.when(F.col("p_size") > 49, F.col("p_type")).alias("p_type"))
+        .groupBy("category").agg(F.min("p_type").alias("industry")).where("industry is not null")
     )
     edges = linking.industry_edges(linking.industry_links(categories, mapping))
     return edges.select("src_key", "rel", "dst_key")
@@ -183,11 +183,11 @@ def category_mapping(spark, sf):
 
 CLAIMS = f"""{FOUND}, ranked AS (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY pos, label, key) AS r FROM found),
   pair AS (SELECT a.news_id, a.label AS l1, a.key AS k1, b.label AS l2, b.key AS k2 FROM ranked a JOIN ranked b ON a.news_id = b.news_id AND a.r = 1 AND b.r = 2),
-  turns AS (SELECT news_id, pos, term, length(text) AS n FROM terms),
-  claims AS (SELECT a.news_id, a.term AS source, b.term AS target,
-    CASE WHEN a.n > b.n THEN 'big partnership' WHEN a.n > 100 THEN 'dispute over' WHEN a.n > 50 THEN 'investment' ELSE 'other thing' END AS relation,
-    CASE WHEN a.n > 80 THEN concat('sum ', CAST(a.n AS STRING)) END AS summary
-    FROM turns a JOIN turns b ON a.news_id = b.news_id AND a.pos = 0 AND b.pos = 1),
+  turns AS (SELECT news_id, arg_min(term, pos) AS source, arg_max(term, pos) AS target, coalesce(sum(length(text)) FILTER (pos % 2 = 0), 0) AS n,
+    coalesce(sum(length(text)) FILTER (pos % 2 = 1), 0) AS m FROM terms GROUP BY 1 HAVING count(*) > 1),
+  claims AS (SELECT news_id, source, target,
+    CASE WHEN n * 3 > m THEN 'big partnership' WHEN n > 100 THEN 'dispute over' WHEN n > 50 THEN 'investment' ELSE 'other thing' END AS relation,
+    CASE WHEN n > 80 THEN concat('sum ', CAST(n AS STRING)) END AS summary FROM turns),
   news AS (SELECT news_id, CAST(max(pos) AS BIGINT) AS n_turns, CASE WHEN max(pos) > 3 THEN 'POSITIVE' END AS sentiment FROM terms GROUP BY 1),
   ends AS (SELECT c.*, coalesce(s.label, {{l1}}) AS src_label, coalesce(s.key, {{k1}}) AS src_key, coalesce(t.label, {{l2}}) AS dst_label, coalesce(t.key, {{k2}}) AS dst_key
     FROM claims c JOIN pair USING (news_id) LEFT JOIN resolved s ON c.source = s.term LEFT JOIN resolved t ON c.target = t.term),
@@ -203,12 +203,15 @@ BOTH_KNOWN = CLAIMS.format(l1="NULL", k1="NULL", l2="NULL", k2="NULL")
 
 def _interactions(spark, sf, **options):
     terms = _terms(spark, sf)
-    turns = terms.select("news_id", "pos", "term", F.length("text").alias("n"))
-    first = turns.where("pos = 0").select("news_id", F.col("term").alias("source"), "n")
-    second = turns.where("pos = 1").select("news_id", F.col("term").alias("target"), F.col("n").alias("m"))
-    claims = first.join(second, "news_id").select(
+    # A claim from all turns: first and last name, and how much either side says.
+    even = lambda r: F.coalesce(F.sum(F.when(F.col("pos") % 2 == r, F.length("text"))), F.lit(0))
+    turns = terms.groupBy("news_id").agg(
+        F.min_by("term", "pos").alias("source"), F.max_by("term", "pos").alias("target"), even(0).alias("n"), even(1).alias("m"),
+        F.count("*").alias("turns"),
+    )
+    claims = turns.where("turns > 1").select(
         "news_id", "source", "target",
-        F.when(F.col("n") > F.col("m"), "big partnership").when(F.col("n") > 100, "dispute over")
+        F.when(F.col("n") * 3 > F.col("m"), "big partnership").when(F.col("n") > 100, "dispute over")
         .when(F.col("n") > 50, "investment").otherwise("other thing").alias("relation"),
         F.when(F.col("n") > 80, F.concat(F.lit("sum "), F.col("n").cast("string"))).alias("summary"),
     )
