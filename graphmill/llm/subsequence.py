@@ -19,6 +19,8 @@ import numpy as np
 LENGTH, GAP = 3, 0.7
 #: Longer words are read in overlapping windows of this many signs, half of it apart.
 WIDTH = 24
+#: Words that are compared with the landmarks at a time.
+ROWS = 1 << 12
 
 
 class Alphabet:
@@ -109,7 +111,7 @@ def marked(words: list[str], alphabet: Alphabet) -> Weights:
     return Weights(values, index)
 
 
-def kernels(words: list[str], weights: Weights, alphabet: Alphabet, step: int = 1 << 12) -> np.ndarray:
+def kernels(words: list[str], weights: Weights, alphabet: Alphabet, step: int = ROWS) -> np.ndarray:
     """What the weights give for each word, normalised; the largest of a long word's windows."""
     out = np.full((len(words), *weights.values.shape[1:]), -np.inf)
     for size, (places, rows) in alphabet.rows(words).items():
@@ -125,17 +127,20 @@ def kernels(words: list[str], weights: Weights, alphabet: Alphabet, step: int =
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 30) -> np.ndarray:
-    """Weights and bias (last) of a linear machine with squared hinge loss, by Newton's method; y is 1 or -1."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Weights of a linear machine with squared hinge loss, by Newton's method; y is 1 or -1, the last column is the bias."""
     w, weight = np.zeros(x.shape[1]), weight / weight.sum()
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-8
     for _ in range(steps):
         slack = 1 - y * (x @ w)
-        on = slack > 0
-        part = x[on] * weight[on, None]
-        gradient = penalty * w - part.T @ (y[on] * slack[on])
-        step = np.linalg.solve(part.T @ x[on] + np.diag(penalty), gradient)
+        on = np.flatnonzero(slack > 0)
+        square, pull = np.diag(penalty), np.zeros(len(w))
+        for at in range(0, len(on), ROWS):
+            rows = on[at : at + ROWS]
+            part = x[rows].astype(float)
+            square = square + (part * weight[rows, None]).T @ part
+            pull = pull + part.T @ (weight[rows] * y[rows] * slack[rows])
+        step = np.linalg.solve(square, penalty * w - pull)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -150,7 +155,9 @@ class Machine:
         values, vectors = np.linalg.eigh(marks.values.T @ marks.values)
         kept = values > 1e-6 * values.max()
         white = vectors[:, kept] / np.sqrt(values[kept])  # Nyström: kernels to landmarks become coordinates
-        x = kernels(words, marks, alphabet) @ white
+        x = np.ones((len(words), int(kept.sum()) + 1), np.float32)
+        for at in range(0, len(words), ROWS):
+            x[at : at + ROWS, :-1] = kernels(words[at : at + ROWS], marks, alphabet) @ white
         w = squared_hinge(x, y, weight)
         self.alphabet, self.bias = alphabet, float(w[-1])
         self.weights = Weights((marks.values @ (white @ w[:-1]))[marks.index])

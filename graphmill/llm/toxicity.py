@@ -33,7 +33,7 @@ from graphmill.llm.subsequence import LENGTH, Alphabet, Machine
 
 FOLDS, HELD_OUT = 5, 0
 #: Learning documents of each label; sentences of each label; landmarks from toxic and from clean words.
-DOCS, SENTENCES, TOXIC_MARKS, CLEAN_MARKS = 10_000, 20_000, 96, 32
+DOCS, SENTENCES, TOXIC_MARKS, CLEAN_MARKS = 10_000, 10_000, 96, 32
 #: A telling word is in at least so many toxic documents, and so much more often than in clean ones.
 LEAST, RATIO = 3, 10.0
 #: Hard clean words that are gathered between rounds of training.
