@@ -1,7 +1,8 @@
 """Vectors: cosine, nearest neighbours, pairs above a threshold. All results are exact.
 
 Both searches run as block products over cells. Items belong to the nearest of a few pivots, as many as
-the square root of the table's rows, so that cells grow slower than the table. For unit vectors, cosine
+the square root of the table's rows but no more than leave ``CELL`` rows to a cell, so that cells grow slower
+than the table. For unit vectors, cosine
 at least ``t`` means distance at most ``r = sqrt(2 - 2t)``, and a query farther than ``r`` from the plane
 half way between its own pivot and another one cannot match an item of that other cell. A query visits only
 the cells it can match in. Where no threshold is given, each query finds its ``k`` best in its own cell first,
@@ -27,6 +28,7 @@ from graphmill.session import stored
 #: Largest item table that ``method="broadcast"`` accepts.
 BROADCAST_BYTES = 64 << 20
 BLOCK = 2048
+CELL = 128
 SLICE_SCORES = 4 << 20
 DIGITS = 9
 
@@ -126,7 +128,7 @@ NO_HITS = pd.DataFrame({"q_id": [], "i_id": [], "cos": []})
 
 
 def _pivots(items: DataFrame, count: int) -> np.ndarray:
-    """A fixed choice of ``count`` item vectors, the square root of the table's rows."""
+    """A fixed choice of ``count`` item vectors."""
     rows = items.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(count).collect()
     return np.unique(np.array([row.vec for row in rows], dtype="float64"), axis=0)
 
@@ -147,11 +149,14 @@ def _homes(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
     return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int")
 
 
-def visits(df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = False) -> DataFrame:
+def visits(
+    df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = False, count_only: bool = False
+) -> DataFrame:
     """Rows of id, vec, cell and whether it is home, for every cell that a vector can match in.
 
     ``df``: id, vec, cell (its own) and ``radius``. ``lower_only`` restricts the other cells to lower
-    numbers, which leaves each pair of a self join in exactly one cell.
+    numbers, which leaves each pair of a self join in exactly one cell. ``count_only`` gives cell and n
+    instead, without carrying vectors.
     """
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,6 +174,9 @@ def visits(df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = F
                 if lower_only:
                     reach &= np.arange(len(pivots))[None, :] < home[:, None]
                 reach[np.arange(len(home)), home] = True
+                if count_only:
+                    yield pd.DataFrame({"cell": np.arange(len(pivots), dtype="int32"), "n": reach.sum(axis=0)})
+                    continue
                 rows, cols = np.nonzero(reach)
                 out = part.iloc[rows][["id", "vec"]].copy()
                 out["cell"] = cols.astype("int32")
@@ -176,21 +184,27 @@ def visits(df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = F
                 yield out
 
     rows = df.select("id", "vec", "cell", "radius")
-    return rows.mapInPandas(cells, f"id {id_type}, vec array<double>, cell int, home boolean")
+    kind = "cell int, n long" if count_only else f"id {id_type}, vec array<double>, cell int, home boolean"
+    return rows.mapInPandas(cells, kind)
 
 
-def _blocks(df: DataFrame, into: str) -> DataFrame:
-    """Blocks of each cell, as a stored table of one narrow row per cell."""
-    sizes = df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(into))
-    return stored(sizes, "cells")
+def _blocks(sizes: DataFrame, into: str) -> DataFrame:
+    """Blocks of each cell, one narrow row per cell, from rows of cell and ``n``."""
+    total = sizes.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0")
+    return total.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias(into))
 
 
 def _products(
-    q: DataFrame, items: DataFrame, id_type: str, *, bound: float | None, strict: bool, k: int | None, same: str | None
-) -> DataFrame:
-    """Hits (q_id, i_id, cos) of visiting vectors (id, vec, cell, home) in the items' cells (id, vec, cell)."""
+    q: DataFrame, sizes: DataFrame | None, items: DataFrame, id_type: str, *, bound: float | None, strict: bool,
+    k: int | None, same: str | None,
+) -> DataFrame:
+    """Hits (q_id, i_id, cos) of visiting vectors (id, vec, cell, home) in the items' cells (id, vec, cell).
+
+    ``sizes``: cell and n of the visiting vectors; a self join has none.
+    """
     self_join = same == "ordered"
-    blocks = _blocks(items, "ni")
+    blocks = _blocks(items.select("cell", F.lit(1).alias("n")), "ni")
+    blocks = stored(blocks if self_join else blocks.join(_blocks(sizes, "nq"), "cell"), "cells")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda first, n: F.explode(F.sequence(first, F.greatest(F.col(n) - 1, first)))
     if self_join:
@@ -199,9 +213,8 @@ def _products(
         q_side = q_side.withColumn("ib", upto(F.when(F.col("home"), F.col("qb")).otherwise(F.lit(0)), "ni"))
         i_side = items.join(blocks, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "ni"))
     else:
-        both = stored(blocks.join(_blocks(q, "nq"), "cell"), "cells")
-        q_side = q.join(both, "cell").withColumn("qb", place("nq")).withColumn("ib", upto(F.lit(0), "ni"))
-        i_side = items.join(both, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "nq"))
+        q_side = q.join(blocks, "cell").withColumn("qb", place("nq")).withColumn("ib", upto(F.lit(0), "ni"))
+        i_side = items.join(blocks, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "nq"))
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -234,17 +247,18 @@ def _block_join(
     n_items, _ = _shape(items)
     if not n_items:
         return spark.createDataFrame([], HIT.format(id=id_type))
-    pivots = _pivots(items, math.ceil(math.sqrt(n_items)))
+    pivots = _pivots(items, math.ceil(min(math.sqrt(n_items), n_items / CELL)))
     homes = stored(_homes(items, pivots, id_type), "homes")
     rule = {"bound": bound, "strict": strict, "k": k, "same": same}
     if same == "ordered":
         placed = homes.withColumn("radius", _radius(float(bound)))
-        return _products(visits(placed, pivots, id_type, True), homes, id_type, **rule)
+        return _products(visits(placed, pivots, id_type, True), None, homes, id_type, **rule)
     placed = stored(_homes(queries, pivots, id_type), "queries")
     if bound is not None and bound > -1:
         placed = placed.withColumn("radius", _radius(float(bound)))
     else:
-        own = _products(placed.withColumn("home", F.lit(True)), homes, id_type, **rule)
+        at_home = placed.withColumn("home", F.lit(True))
+        own = _products(at_home, placed.select("cell", F.lit(1).alias("n")), homes, id_type, **rule)
         best = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
         last = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
         last = stored(last.select(F.col("q_id").alias("id"), F.col("cos").alias("_last")), "bounds")
@@ -252,7 +266,8 @@ def _block_join(
         placed = placed.join(last, "id", "left").withColumn(
             "radius", F.when(F.col("_last").isNotNull(), _radius(F.col("_last"))).otherwise(F.lit(4.0))
         )
-    return _products(visits(placed, pivots, id_type), homes, id_type, **rule)
+    counts = visits(placed, pivots, id_type, count_only=True)
+    return _products(visits(placed, pivots, id_type), counts, homes, id_type, **rule)
 
 
 def _fits(items: DataFrame) -> bool:

@@ -10,6 +10,7 @@ from graphmill.operators import enrich, vectors
 def small_blocks(monkeypatch):
     """Many cells and blocks on few rows."""
     monkeypatch.setattr(vectors, "BLOCK", 10)
+    monkeypatch.setattr(vectors, "CELL", 1)
 
 
 def clustered(rows, seed, dim=8):
