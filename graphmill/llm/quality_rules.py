@@ -29,7 +29,7 @@ RULES = (
     ("n_letter_words / n_words", 0.7, None),
     ("n_bullet_lines / n_lines", None, 0.9),
     ("n_ellipsis_lines / n_lines", None, 0.3),
-    ("n_dup_lines / n_lines", None, 0.3),
+    ("n_dup_lines / n_lines", None, 0.5),
     ("n_repeat_words / n_words", None, 0.5),
 )
 SPACE = r"\\x20\\x09-\\x0D"
@@ -73,7 +73,9 @@ def measured(docs: DataFrame, carry: list[str] = ("doc_id",)) -> DataFrame:
         "n_bullet_lines": r"size(filter(lines, l -> l rlike '^\\s*[-*•]'))",
         "n_ellipsis_lines": r"size(filter(lines, l -> l rlike '(\\.\\.\\.|…)\\s*$'))",
     }
-    return rows.select("keep.*", *[F.expr(f"cast({e} as bigint)").alias(name) for name, e in counts.items()])
+    made = F.struct(*[F.expr(f"cast({e} as bigint)").alias(name) for name, e in counts.items()])
+    # A generator keeps filters on the counts above them; pushed below, they would count everything again.
+    return rows.select("keep", F.explode_outer(F.array(made)).alias("made")).select("keep.*", "made.*")
 
 
 def verdict(rules=RULES) -> str:
