@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions import relations, text
@@ -25,14 +25,14 @@ def owner_evidence(items: DataFrame, threshold: float, strict: bool = True) -> t
     computed once per distinct vector and item pairs are counted by multiplying the number of
     copies each owner holds; the item pairs themselves are never formed. Returns (a, b,
     n_evidence) and the first ten per owner pair (a, b, rank, score, item_a, item_b), best score
-    first. Ten copies per owner are enough to fill ten places, so the listing is exact.
+    first. Ten vector pairs and ten copies per owner are enough to fill ten places, so the listing is exact.
     """
     reps, members = collapse_copies(items, ("owner",))
     alike = similar_pairs(reps, threshold, strict=strict).select(
         F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "score"
     )
     same = reps.select(F.col("id").alias("rep_a"), F.col("id").alias("rep_b"), F.lit(1.0).alias("score"))
-    held = members.groupBy("rep", "owner").agg(F.count("*").alias("n"))
+    held = members.groupBy("rep", "owner").agg(F.count("*").alias("n"), F.min("id").alias("least"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
@@ -40,24 +40,31 @@ def owner_evidence(items: DataFrame, threshold: float, strict: bool = True) -> t
     # Copies of one vector meet once per owner pair, different vectors once per vector pair.
     alike, same = alike.withColumn("_same", F.lit(False)), same.withColumn("_same", F.lit(True))
     pairs = alike.unionByName(same)
-    once = ~F.col("_same") | (F.col("owner_a") < F.col("owner_b"))
-    ordered = [F.least("owner_a", "owner_b").alias("a"), F.greatest("owner_a", "owner_b").alias("b")]
-    counts = (
-        _by_owner(pairs, side(held, "a"), side(held, "b")).where(once)
-        .groupBy(*ordered).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n_evidence"))
+    met = _by_owner(pairs, side(held, "a"), side(held, "b")).where(~F.col("_same") | (F.col("owner_a") < F.col("owner_b")))
+    lower = F.col("owner_a") < F.col("owner_b")
+
+    def of(name: str, first: str, second: str) -> Column:
+        return F.when(lower, F.col(f"{name}_{first}")).otherwise(F.col(f"{name}_{second}"))
+
+    met = met.select(
+        of("owner", "a", "b").alias("a"), of("owner", "b", "a").alias("b"), "score",
+        of("rep", "a", "b").alias("_ra"), of("rep", "b", "a").alias("_rb"),
+        of("least", "a", "b").alias("_la"), of("least", "b", "a").alias("_lb"),
+        (F.col("n_a") * F.col("n_b")).alias("_n"),
     )
+    counts = met.groupBy("a", "b").agg(F.sum("_n").alias("n_evidence"))
+    # A vector pair's first item pair comes before all its others, so ten vector pairs hold the ten to show.
+    first = Window.partitionBy("a", "b").orderBy(F.desc("score"), "_la", "_lb")
+    top = met.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= EVIDENCE_SHOWN)
     by_id = Window.partitionBy("rep", "owner").orderBy("id")
-    few = members.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= EVIDENCE_SHOWN).drop("_r")
-    shown = (
-        _by_owner(pairs, side(few, "a"), side(few, "b")).where(once)
-        .select(
-            *ordered, "score",
-            F.when(F.col("owner_a") < F.col("owner_b"), F.col("id_a")).otherwise(F.col("id_b")).alias("item_a"),
-            F.when(F.col("owner_a") < F.col("owner_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("item_b"),
-        )
-    )
+    few = members.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= EVIDENCE_SHOWN)
+    few_a, few_b = (
+        few.select(F.col("rep").alias(f"_r{c}"), F.col("owner").alias(c), F.col("id").alias(f"item_{c}")) for c in "ab"
+    )
+    shown = top.select("a", "b", "score", "_ra", "_rb").join(few_a, ["_ra", "a"]).join(few_b, ["_rb", "b"])
     best = Window.partitionBy("a", "b").orderBy(F.desc("score"), "item_a", "item_b")
-    return counts, shown.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= EVIDENCE_SHOWN)
+    shown = shown.select("a", "b", "score", "item_a", "item_b").withColumn("rank", F.row_number().over(best))
+    return counts, shown.where(F.col("rank") <= EVIDENCE_SHOWN)
 
 
 def company_pairs(companies: DataFrame, threshold: float, same_group: bool = False) -> tuple[DataFrame, DataFrame]:
