@@ -74,32 +74,43 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _met_by(log: DataFrame, new: DataFrame, part: str | None) -> DataFrame:
+    """The part of a log that new rows can meet; with ``part`` Spark reads only the folders that occur in them."""
+    return log if part is None else log.join(new.select(part).distinct(), part, "left_semi")
+
+
 def append_absent(
     new: DataFrame,
     log: DataFrame | None,
     edge: Sequence[str],
     fact: str,
     order: Sequence[str],
+    part: str | None = None,
 ) -> DataFrame:
     """Evidence log as long rows: a fact enters an edge once, at its earliest position.
 
-    Entries already in ``log`` stay as they are; only facts the log lacks are added.
+    Entries already in ``log`` stay as they are; only facts the log lacks are added. ``part`` names
+    a column that follows from edge and fact, such as a bucket of their hash, by which a stored log
+    is split: the comparison then reads only the parts that new rows fall in.
     """
     fresh = first_write(new, [*edge, fact], order)
     if log is None:
         return fresh
-    added = fresh.join(log.select(*edge, fact), [*edge, fact], "left_anti")
+    added = fresh.join(_met_by(log, fresh, part).select(*edge, fact), [*edge, fact], "left_anti")
     return log.unionByName(added, allowMissingColumns=True)
 
 
 def append_events(
-    new: DataFrame, log: DataFrame | None, edge: Sequence[str], event: Sequence[str]
+    new: DataFrame, log: DataFrame | None, edge: Sequence[str], event: Sequence[str], part: str | None = None
 ) -> DataFrame:
-    """News history as long rows: every event is appended, a rerun of the same event is not."""
+    """News history as long rows: every event is appended, a rerun of the same event is not.
+
+    ``part`` as in ``append_absent``; the day of an event serves as well.
+    """
     fresh = new.dropDuplicates([*edge, *event])
     if log is None:
         return fresh
-    added = fresh.join(log.select(*edge, *event), [*edge, *event], "left_anti")
+    added = fresh.join(_met_by(log, fresh, part).select(*edge, *event), [*edge, *event], "left_anti")
     return log.unionByName(added, allowMissingColumns=True)
 
 

@@ -188,3 +188,14 @@ def test_failed_answers_count_as_wrong(spark):
     rows = evaluate.results(answers)
     assert {(r.question, r.is_correct, r.prediction) for r in rows.collect()} == {("q1", True, "p"), ("q2", False, "ERROR: timeout"), ("q3", False, "p")}
     assert round(evaluate.accuracy(rows).first().accuracy, 6) == round(100 / 3, 6)
+
+
+def test_append_reads_only_the_parts_that_new_rows_fall_in(spark, tmp_path):
+    columns = "e string, f string, day string"
+    old = spark.createDataFrame([("a", "1", "d1"), ("b", "2", "d2"), ("c", "3", "d3")], columns)
+    old.write.partitionBy("day").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    new = spark.createDataFrame([("a", "1", "d1"), ("a", "9", "d1"), ("b", "8", "d2")], columns)
+    wanted = sorted([("a", "1", "d1"), ("b", "2", "d2"), ("c", "3", "d3"), ("a", "9", "d1"), ("b", "8", "d2")])
+    for out in (upsert.append_events(new, log, ["e"], ["f"], part="day"), upsert.append_absent(new, log, ["e"], "f", ["day"], part="day")):
+        assert sorted((r.e, r.f, str(r.day)) for r in out.collect()) == wanted
