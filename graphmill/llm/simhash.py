@@ -31,7 +31,7 @@ from graphmill.llm.grayindex import links
 
 WORDS, SEED, MOST = 3, 42, 3
 #: Fingerprints of one bit pattern that are searched together; larger groups are dealt again.
-GROUP = 1 << 17
+GROUP = 1 << 15
 #: Free bits at which a group is searched whatever it holds.
 FEW = 21
 

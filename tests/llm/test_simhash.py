@@ -62,7 +62,7 @@ def test_groups_are_kept_apart():
     assert len(x) == 2 and all(group[x] == group[y])
 
 
-@pytest.mark.parametrize("limit", [1 << 17, 4])
+@pytest.mark.parametrize("limit", [1 << 15, 4])
 def test_links_through_all_levels(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "GROUP", limit)  # small groups force further levels
     codes = clustered(np.random.default_rng(7), 400, 3)
