@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a notice in known words. A template matches a block that
-holds at least ``CONTAINMENT`` of its distinct words, in any order. Only words of some template can
+A block is a line of a text with the words that follow it, as many as the longest template has and
+a share of others (``_span``): a notice is found on one line and wrapped over lines of any length,
+with or without blank or comment signs between them. A template is a notice in known words, and
+matches a block that holds at least ``CONTAINMENT`` of its distinct words, in any order. Only words of some template can
 match, so blocks are reduced to these. Their corpus-wide counts, taken over all texts, order them
 from rare to frequent. Of a template that needs ``a`` words, a matching block must hold one of the
 ``size - a + 1`` rarest (prefix), must have ``a`` words itself (length), and its first common word
@@ -27,6 +29,8 @@ from graphmill.llm.common import write
 
 CONTAINMENT = 0.9
 WORD = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: A line end with all that is no word behind it.
+LINE_END = r"\\n[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases of the base labels.
@@ -92,6 +96,23 @@ def _starts() -> str:
     return f"concat({', '.join(found)})"
 
 
+def _span(templates, containment: float) -> int:
+    """Words in which a notice stands: those of the longest template, and others as far as the containment allows."""
+    return math.ceil(max((len(text.split()) for _, text in templates), default=1) / containment)
+
+
+def _blocks(known: list[str], span: int) -> str:
+    """The known words of each line and of the ``span - 1`` words behind it."""
+    ends = r"concat(array(-1), filter(transform(ws, (w, i) -> if(startswith(w, '\n'), i, -1)), i -> i >= 0))"
+    line = "slice(ws, e + 2, coalesce(get(ends, k + 1), size(ws)) - e - 1)"
+    # A line end stands before each of these words at most.
+    more = f"slice(ws, coalesce(get(ends, k + 1), size(ws)) + 1, {2 * (span - 1)})"
+    more = rf"slice(filter({more}, w -> not startswith(w, '\n')), 1, {span - 1})"
+    block = f"array_distinct(filter(concat({line}, {more}), w -> w in ({_listed(known)})))"
+    blocks = f"get(transform(array({ends}), ends -> transform(ends, (e, k) -> {block})), 0)"
+    return f"get(transform(array(regexp_extract_all(low, '{LINE_END}|{WORD}', 0)), ws -> {blocks}), 0)"
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: base places and labels, all labels, and the best containment as score."""
     spark = docs.sparkSession
@@ -108,9 +129,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
     heads = spark.createDataFrame(prefixes, "template int, label string, tokens array<string>, need int, w string, i int")
 
     # Blocks with a rare word, each as its distinct template words; other texts are done after this step.
-    block = f"array_distinct(filter(regexp_extract_all(l, '{WORD}', 0), w -> w in ({_listed(known)})))"
-    blocks = f"""if(arrays_overlap(words, array({_listed(rare)})), filter(transform(split(low, '\\n'), l -> {block}),
-        b -> size(b) >= {least} and arrays_overlap(b, array({_listed(rare)}))), array())"""
+    blocks = f"""if(arrays_overlap(words, array({_listed(rare)})),
+        array_distinct(filter({_blocks(known, _span(templates, containment))},
+        b -> size(b) >= {least} and arrays_overlap(b, array({_listed(rare)})))), array())"""
     rows = _words(docs).select(
         "doc_id",
         "t",
@@ -150,7 +171,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
 
 def duckdb_sql(templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
-    """The same result by comparing every line with every template."""
+    """Every line compared with every template: the same result where no notice is wrapped over lines."""
     rows = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(templates))
     bases = " UNION ALL ".join(
         f"SELECT r, i, '{label}' AS label FROM w WHERE "
