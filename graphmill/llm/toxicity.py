@@ -1,9 +1,14 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
-Learning takes labelled documents that are not held out, at most ``DOCS`` of each label, in order of a hash
-of their id (``sampled``; the only bound there is, and a parameter). Counts of words over these documents
-find words that toxic ones use far more often; the strongest become landmarks, next to words of clean
-sentences. Sentences of toxic documents that hold such a word are positive, sentences of clean documents
+Learning takes labelled documents that are not held out, in order of a hash of their id (``sampled``). Its
+bounds, all parameters of ``score``: ``DOCS`` ids of each label; ``SENTENCES`` sentences of each label;
+``TOXIC_MARKS`` landmarks from telling words and ``CLEAN_MARKS`` from clean ones, and of hard words twice as many
+as the latter a round; ``HARD`` hard words a round; ``ROUNDS`` rounds. Fixed: telling words are ten times
+``TOXIC_MARKS`` at most, in ``LEAST`` toxic documents and ``RATIO`` times as frequent there; the alphabet has 62
+letters and digits; landmarks are read to ``subsequence.WIDTH`` signs. Every document is scored.
+
+Counts of words over the learning documents find words that toxic ones use far more often; the strongest become
+landmarks, next to words of clean sentences. Sentences of toxic documents that hold such a word are positive, sentences of clean documents
 negative. A sentence is as toxic as its worst word: the machine is trained on one word of each, the most
 telling one for a positive and the worst one so far for a negative sentence, twice over. Gaps and inserted
 signs inside a word cost the kernel little; letters set apart by blanks are read as one word.
@@ -33,7 +38,7 @@ from graphmill.llm.subsequence import LENGTH, Alphabet, Machine
 
 FOLDS, HELD_OUT = 5, 0
 #: Learning documents of each label; sentences of each label; landmarks from toxic and from clean words.
-DOCS, SENTENCES, TOXIC_MARKS, CLEAN_MARKS = 10_000, 10_000, 96, 32
+DOCS, SENTENCES, TOXIC_MARKS, CLEAN_MARKS = 10_000, 20_000, 96, 32
 #: A telling word is in at least so many toxic documents, and so much more often than in clean ones.
 LEAST, RATIO = 3, 10.0
 #: Hard clean words that are gathered between rounds of training.
@@ -134,7 +139,7 @@ def _alphabet(words: list[str]) -> Alphabet:
     return Alphabet(EDGE + "".join(sorted(sorted(counts, key=lambda s: (-counts[s], s))[:62])))
 
 
-def _hard(sample: DataFrame, machine, telling: dict[str, float]) -> dict[str, int]:
+def _hard(sample: DataFrame, machine, telling: dict[str, float], most: int = HARD) -> dict[str, int]:
     """Words of clean documents that the machine takes for toxic or nearly so, and in how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +150,18 @@ def _hard(sample: DataFrame, machine, telling: dict[str, float]) -> dict[str, in
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
     words = sample.where("toxic = 0").mapInArrow(run, "word string").groupBy("word").count()
-    rows = words.orderBy(F.desc("count"), "word").limit(HARD).collect()
+    rows = words.orderBy(F.desc("count"), "word").limit(most).collect()
     return {r["word"]: r["count"] for r in rows}
 
 
-def learn(sample: DataFrame, sentences: int = SENTENCES, toxic_marks: int = TOXIC_MARKS, clean_marks: int = CLEAN_MARKS):
+def learn(
+    sample: DataFrame,
+    sentences: int = SENTENCES,
+    toxic_marks: int = TOXIC_MARKS,
+    clean_marks: int = CLEAN_MARKS,
+    hard_words: int = HARD,
+    rounds: int = ROUNDS,
+):
     """The machine, or None where a label or all telling words are missing."""
     context = sample.sparkSession.sparkContext
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -173,15 +185,15 @@ def learn(sample: DataFrame, sentences: int = SENTENCES, toxic_marks: int = TOXI
     alphabet = _alphabet([*negative, *telling])
     toxic_words = list(telling)[:toxic_marks]
     marks = toxic_words + sorted(negative, key=lambda w: (-negative[w], w))[:clean_marks]
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         words = [*positive, *negative]
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         weight = np.r_[
             np.array(list(positive.values())) / positive.total(), np.array(list(negative.values())) / negative.total()
         ]
         machine = Machine(alphabet, [edged(w) for w in marks], [edged(w) for w in words], y, np.sqrt(weight))
-        if turn + 1 < ROUNDS:
-            hard = _hard(sample, context.broadcast(machine), telling)
+        if turn + 1 < rounds:
+            hard = _hard(sample, context.broadcast(machine), telling, hard_words)
             negative.update({w: 5 * n for w, n in hard.items()})
             marks += [w for w in sorted(hard, key=lambda w: (-hard[w], w)) if w not in marks][: 2 * clean_marks]
     return machine
@@ -245,12 +257,21 @@ def _features(sample: DataFrame, machine) -> tuple[np.ndarray, np.ndarray]:
     return rows[list("abcd")].to_numpy(float), rows["toxic"].to_numpy(float)
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> DataFrame:
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    most: int = DOCS,
+    sentences: int = SENTENCES,
+    toxic_marks: int = TOXIC_MARKS,
+    clean_marks: int = CLEAN_MARKS,
+    hard_words: int = HARD,
+    rounds: int = ROUNDS,
+) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
     path = write(sampled(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), most), "labelled")
     sample = spark.read.parquet(path)
-    machine, fit = learn(sample), None
+    machine, fit = learn(sample, sentences, toxic_marks, clean_marks, hard_words, rounds), None
     if machine is not None:
         machine = spark.sparkContext.broadcast(machine)
         fit = logistic(*_features(sample, machine))
