@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from graphmill.llm import (
     language,
     license_scan,
     packing,
+    periodic,
     quality_classifier,
     quality_rules,
     simhash,
@@ -89,4 +92,33 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
 
+def planted(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of a text, which in a tenth of the documents repeat with a period from some word on."""
+    h = crc32(b"" if doc_id is None else str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    block = words[a : a + p]
+    return words[:a] + (block * ((n - a) // p + 1))[: n - a]
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf, "documents"), change=planted)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = periodic.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
