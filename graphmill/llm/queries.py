@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graphmill.llm import (
     chat,
+    collocations,
     decontamination,
     language,
     license_scan,
@@ -20,6 +21,7 @@ from graphmill.llm import (
     simhash,
     substring,
     toxicity,
+    winnowing,
 )
 from graphmill.plans.registry import Registry
 
@@ -121,4 +123,14 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return winnowing.compared(table(spark, sf, "documents"))
+
+
+@query("op13_collocations", collocations.duckdb_sql())
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
