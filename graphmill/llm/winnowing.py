@@ -149,27 +149,33 @@ def _ordered(ids: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, the text's edited form ``edited``, both fingerprints and that of the next document."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("print", fingerprint(F.col("text")))
+    # A struct is never null, so ids that are null meet like others. Both joins read the same columns by the
+    # same key: the texts are shuffled once.
+    rows = docs.select(F.struct("doc_id").alias("at"), text.alias("text"))
     lengths = docs.select("doc_id", F.length(text).alias("n"), F.xxhash64(text).alias("h"))
     ids = lengths.groupBy("doc_id").agg(F.max("n").alias("longest"), F.min("h").alias("rep"))
     order = docs.sparkSession.read.parquet(write(_ordered(ids), "order"))
     # What the row before wants of a document: as many signs of it as a third of that row has.
     wanted = order.select(
-        F.col("next.doc_id").alias("from_id"),
+        F.struct("next.doc_id").alias("from"),
         F.col("next.rep").alias("rep"),
-        F.col("doc_id").alias("for_id"),
+        F.struct("doc_id").alias("for"),
         F.floor(F.col("longest") / 3).cast("int").alias("signs"),
     )
-    given = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["from_id"]))
-    given = given.where(F.xxhash64("text") == F.col("rep")).select(
-        "for_id", F.substring("text", F.lit(1), F.col("signs")).alias("ahead"), F.col("print.hashes").alias("next_hashes")
+    given = rows.join(wanted, F.col("at") == F.col("from"))
+    # No text of an id has a smaller hash than ``rep``; an equality would become a second key of the join.
+    given = given.where(F.xxhash64("text") <= F.col("rep")).select(
+        F.col("for").alias("at"),
+        F.substring("text", F.lit(1), F.col("signs")).alias("ahead"),
+        fingerprint(F.col("text"))["hashes"].alias("next_hashes"),
     )
-    given = given.groupBy("for_id").agg(F.min(F.struct("ahead", "next_hashes")).alias("given"))
-    joined = rows.join(given, rows["doc_id"].eqNullSafe(given["for_id"]), "left")
+    given = given.groupBy("at").agg(F.min(F.struct("ahead", "next_hashes")).alias("given"))
+    joined = rows.join(given, "at", "left").withColumn("doc_id", F.col("at.doc_id"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     changed = F.concat(F.substring("text", F.lit(1), n - third), F.substring("given.ahead", F.lit(1), third))
-    out = joined.select("doc_id", n.cast("bigint").alias("n_chars"), changed.alias("edited"), "print", "given.next_hashes")
+    own = fingerprint(F.col("text")).alias("print")
+    out = joined.select("doc_id", n.cast("bigint").alias("n_chars"), changed.alias("edited"), own, "given.next_hashes")
     return out.withColumn("edited_print", fingerprint(F.col("edited")))
 
 
