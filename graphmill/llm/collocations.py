@@ -4,7 +4,7 @@ Texts are split into pieces at ``PIECES`` and those into words at blanks and tab
 case. Everything is counted per language (null: ``und``).
 
 * Prefix polynomials over the word hashes of many texts at once give a fingerprint of every run of n
-  words that crosses no piece. Equal ones are added up in the task, then by Spark, one n after the other.
+  words that crosses no piece. Equal ones are added up in the task, then by Spark, one n after the other (from four on together).
   A phrase can only be frequent if the phrases without its last and without its first word are, so a
   run goes to the shuffle only if both are in a bit map of the frequent ones (``BITS``, of fixed size).
 * The map may let through more than it should, never less; when it fills up, more rows are shuffled and
@@ -37,13 +37,15 @@ from pyspark.sql.window import Window
 
 from graphmill.llm.common import drop, mixed, slices, text_bytes, word_hashes, write
 from graphmill.llm.decontamination import bit_map
-from graphmill.llm.substring import Powers, run_hashes
+from graphmill.llm.substring import BASE, Powers
 
 MOST_WORDS, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Bits of the map of frequent phrases, as a power of two: 16 MB on every executor.
 BITS = 27
 #: Bytes of text that a task counts at once before it hands its sums on.
 SLICE = 1 << 23
+#: Phrases whose counts a task holds over its slices before it hands them on.
+HELD = 1 << 18
 NO_LANGUAGE = "und"
 #: The signs that end a piece.
 PIECES = b".,;:!?\n\x0b\x0c\r"
@@ -70,9 +72,12 @@ class Slice:
         langs = [(x if x is not None else NO_LANGUAGE).encode() for x in batch.column("lang").to_pylist()]
         self.langs = langs
         self.salt = mixed(word_hashes(langs), 7)[self.row]
-        self.hashes = word_hashes(self.words)
-        self.ends = np.flatnonzero(self.hashes == word_hashes([BREAK])[0])
-        self.powers = powers
+        hashes = word_hashes(self.words)
+        self.ends = np.flatnonzero(hashes == word_hashes([BREAK])[0])
+        up, self.down = powers.get(len(hashes) + 1)
+        #: Values at 0 of the polynomials of all beginnings; a run's is a difference, moved to its start.
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mixed(hashes, BASE) * up[: len(hashes)], out=self.sums[1:])
 
     def number(self) -> None:
         """Numbers that are equal for equal words, and for equal languages, only."""
@@ -89,7 +94,7 @@ class Slice:
         return np.flatnonzero(free)
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
-        return mixed(run_hashes(self.hashes, at, at + n, self.powers) ^ self.salt[at], n)
+        return mixed((self.sums[at + n] - self.sums[at]) * self.down[at] ^ self.salt[at], n)
 
 
 def held(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -98,21 +103,33 @@ def held(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _counts(docs: DataFrame, n: int, shorter) -> DataFrame:
-    """Fingerprint and count, per slice, of the runs of n words whose shorter runs are frequent."""
+def _counts(docs: DataFrame, sizes: range, shorter) -> DataFrame:
+    """Fingerprint, number of words and count, per slice, of the runs whose shorter runs are frequent.
+
+    The map holds runs of one word less than the first of ``sizes``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, most=SLICE):
             part = Slice(batch, powers)
-            at = part.starts(n)
+            base = sizes[0] - 1
             if shorter is not None:
-                at = at[held(shorter.value, part.fingerprints(at, n - 1))]
-                at = at[held(shorter.value, part.fingerprints(at + 1, n - 1))]
-            found, counts = np.unique(part.fingerprints(at, n), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["seed", "n"])
+                known = np.zeros(len(part.words) + 1, bool)
+                at = part.starts(base)
+                known[at] = held(shorter.value, part.fingerprints(at, base))
+            for n in sizes:
+                at = part.starts(n)
+                if shorter is not None:
+                    for i in range(n - base + 1):
+                        at = at[known[at + i]]
+                found, counts = np.unique(part.fingerprints(at, n), return_counts=True)
+                size = pa.array(np.full(len(found), n, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), size, pa.array(counts)], names=["seed", "size", "n"]
+                )
 
-    return docs.select("lang", "text").mapInArrow(run, "seed long, n long")
+    return docs.select("lang", "text").mapInArrow(run, "seed long, size int, n long")
 
 
 def alike_runs(part: Slice, at: np.ndarray, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,31 +147,49 @@ def alike_runs(part: Slice, at: np.ndarray, prints: np.ndarray, n: int) -> tuple
 
 
 def _phrases(docs: DataFrame, most_words: int, frequent) -> DataFrame:
-    """lang, phrase, its count and smallest doc_id per slice; the row without a phrase counts all words."""
+    """lang, phrase, its count and smallest doc_id, summed over slices; the row without a phrase counts all words."""
+
+    names = ["lang", "phrase", "n", "doc_id"]
+
+    def handed(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
+        langs, phrases = zip(*sums, strict=True)
+        counts, ids = zip(*sums.values(), strict=True)
+        texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (langs, phrases)]
+        return pa.RecordBatch.from_arrays([*texts, pa.array(counts, pa.int64()), pa.array(ids, kind)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
+        sums: dict[tuple, tuple] = {}
+
+        def add(key: tuple, n: int, doc_id: object) -> None:
+            if (old := sums.get(key)) is not None:
+                n += old[0]
+                if doc_id is None or old[1] is not None and old[1] < doc_id:
+                    doc_id = old[1]
+            sums[key] = n, doc_id
+
+        kind = pa.null()
         for batch in slices(batches, most=SLICE):
+            kind = batch.column("doc_id").type
             batch = batch.take(pc.sort_indices(batch.column("doc_id")))  # the first place has the smallest id
             part = Slice(batch, powers)
             part.number()
-            langs = pa.array(part.langs, pa.binary()).cast(pa.string())
-            words = np.bincount(part.row, minlength=len(langs)) - np.bincount(part.row[part.ends], minlength=len(langs))
-            none = pa.nulls(len(langs), pa.string())
-            ids = batch.column("doc_id")
-            names = ["lang", "phrase", "n", "doc_id"]
-            yield pa.RecordBatch.from_arrays([langs, none, pa.array(words, pa.int64()), ids], names=names)
+            ids = batch.column("doc_id").to_pylist()
+            words = np.bincount(part.row, minlength=len(ids)) - np.bincount(part.row[part.ends], minlength=len(ids))
+            for lang, n in zip(part.langs, words.tolist(), strict=True):
+                add((lang, None), n, None)
             for n in range(1, most_words + 1):
                 at = part.starts(n)
                 prints = part.fingerprints(at, n)
                 known = held(frequent.value, prints)
                 at, counts = alike_runs(part, at[known], prints[known], n)
-                texts = [b" ".join(part.words[a : a + n]) for a in at.tolist()]
-                row = pa.array(part.row[at])
-                phrases = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(row), phrases, pa.array(counts, pa.int64()), ids.take(row)], names=names
-                )
+                for a, row, count in zip(at.tolist(), part.row[at].tolist(), counts.tolist(), strict=True):
+                    add((part.langs[row], b" ".join(part.words[a : a + n])), count, ids[row])
+            if len(sums) > HELD:
+                yield handed(sums, kind)
+                sums.clear()
+        if sums:
+            yield handed(sums, kind)
 
     narrow = docs.select("doc_id", "lang", "text")
     kind = StructField("doc_id", narrow.schema["doc_id"].dataType)
@@ -168,13 +203,16 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     The row of a language without a phrase holds the number of all its words.
     """
     spark = docs.sparkSession
-    paths, shorter = [], None
-    for n in range(1, most_words + 1):
-        counts = _counts(docs, n, shorter).groupBy("seed").agg(F.sum("n").alias("n"))
+    paths, shorter, n = [], None, 1
+    while n <= most_words:
+        # Few runs of four words are left whose shorter ones are frequent, so longer ones go with them.
+        sizes = range(n, n + 1 if n < 4 else most_words + 1)
+        counts = _counts(docs, sizes, shorter).groupBy("seed", "size").agg(F.sum("n").alias("n"))
         paths.append(write(counts.where(F.col("n") >= least).select("seed"), "frequent"))
         if shorter is not None:
             shorter.unpersist()
         shorter = spark.sparkContext.broadcast(bit_map(spark.read.parquet(paths[-1]), bits))
+        n = sizes[-1] + 1
     frequent = spark.sparkContext.broadcast(bit_map(spark.read.parquet(*paths), bits))
     counted = _phrases(docs, most_words, frequent).groupBy("lang", "phrase")
     counted = counted.agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
