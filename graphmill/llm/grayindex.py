@@ -48,14 +48,19 @@ class Labels:
                 of[:] = up
 
 
-def links(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links(
+    group: np.ndarray, codes: np.ndarray, most: int, more: tuple[np.ndarray, int] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the rows and a spanning forest: in each group, rows (x, y) linked by chains of close codes.
 
     Returns ``order`` and index arrays ``x``, ``y`` into the ordered rows, one pair for each row
-    that is not the first of its component.
+    that is not the first of its component. ``more`` holds further bits of each row (64 a column) and how
+    many of them may differ in a link.
     """
     order = np.lexsort((gray_rank(codes), group))
     group, codes = group[order], codes[order]
+    if more:
+        more = more[0][order], more[1]
     n = len(codes)
     labels = Labels(n)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -85,6 +90,8 @@ def links(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray,
         a, b = a[differ <= most], b[differ <= most]
         vary = np.bitwise_count((some[a] | some[b]) & ~(every[a] & every[b]))
         alike = vary <= most
+        if more:
+            alike[:] = False
         if alike.any():
             for i, j in zip(a[alike], b[alike], strict=True):
                 rows = np.r_[begin[i] : ends[depth][i], begin[j] : ends[depth][j]]
@@ -93,7 +100,7 @@ def links(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray,
         if not len(a):
             continue
         if depth == 0:
-            _compare(codes, begin, ends[0], a, b, most, labels)
+            _compare(codes, begin, ends[0], a, b, most, labels, more)
             continue
         # A pair of nodes whose rows are one component already has nothing to add.
         of = labels.of
@@ -114,7 +121,7 @@ def links(group: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray,
     return order, tied, labels.of[tied]
 
 
-def _compare(codes, begin, end, a, b, most, labels) -> None:
+def _compare(codes, begin, end, a, b, most, labels, more=None) -> None:
     """Links the rows of leaf pairs that are close."""
     wide = np.arange(FAN)
     x = (begin[a][:, None, None] + wide[None, :, None]) + 0 * wide[None, None, :]
@@ -122,4 +129,11 @@ def _compare(codes, begin, end, a, b, most, labels) -> None:
     real = (x < end[a][:, None, None]) & (y < end[b][:, None, None]) & (x < y)
     x, y = x[real], y[real]
     close = np.bitwise_count(codes[x] ^ codes[y]) <= most
-    labels.link(x[close], y[close])
+    x, y = x[close], y[close]
+    if more:
+        bits, limit = more
+        open_ = labels.of[x] != labels.of[y]
+        x, y = x[open_], y[open_]
+        close = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= limit
+        x, y = x[close], y[close]
+    labels.link(x, y)

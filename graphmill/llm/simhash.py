@@ -23,7 +23,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from graphmill.llm.common import drop, slices, text_bytes, write
 from graphmill.llm.components import stars
@@ -87,32 +86,43 @@ def _dealt(rows: DataFrame, finer: dict[int, list[int]]) -> DataFrame:
     masks = F.create_map(
         *[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in f]))]
     )
-    dealt = rows.select("fp", F.explode(F.element_at(masks, F.col("mask"))).alias("mask"))
+    others = [c for c in rows.columns if c not in ("mask", "pattern")]
+    dealt = rows.select(*others, F.explode(F.element_at(masks, F.col("mask"))).alias("mask"))
     return dealt.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def _search(rows: DataFrame, most: int) -> DataFrame:
-    """Spanning links (a, b) of the groups; a partition's rows come in order of their group."""
+def _search(rows: DataFrame, most: int, limit: int | None = None) -> DataFrame:
+    """Spanning links (a, b) of the groups; a partition's rows come in order of their group.
 
-    def found(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    With a ``limit``, rows bear an ``id``, which links name, and ``prints``, which may differ in so many bits.
+    """
+    names = ["mask", "pattern", "fp"] if limit is None else ["mask", "pattern", "fp", "id"]
+
+    def found(mask: np.ndarray, pattern: np.ndarray, fp: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
         new = np.r_[True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]
-        order, x, y = links(np.cumsum(new), fp.view(np.uint64), most)
-        fp = fp[order]
-        return pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], names=["a", "b"])
+        more = (others[1], limit) if others else None
+        order, x, y = links(np.cumsum(new), fp.view(np.uint64), most, more)
+        named = (others[0] if others else fp)[order]
+        return pa.RecordBatch.from_arrays([pa.array(named[x]), pa.array(named[y])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("mask", "pattern", "fp")])
+            columns = [batch.column(c).to_numpy() for c in names]
+            if limit is not None:
+                whole = b"".join(batch.column("prints").to_pylist())
+                columns.append(np.frombuffer(whole, np.uint64).reshape(batch.num_rows, -1))
+            held.append(columns)
             n += batch.num_rows
             if n < GROUP:
                 continue
-            mask, pattern, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            mask, pattern = columns[:2]
             whole = np.flatnonzero((mask != mask[-1]) | (pattern != pattern[-1]))
             cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on in the next batch
             if cut:
-                yield found(mask[:cut], pattern[:cut], fp[:cut])
-            held, n = [[mask[cut:], pattern[cut:], fp[cut:]]], n - cut
+                yield found(*(x[:cut] for x in columns))
+            held, n = [[x[cut:] for x in columns]], n - cut
         if n:
             yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -120,26 +130,30 @@ def _search(rows: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def close_links(codes: DataFrame, most: int = MOST) -> tuple[DataFrame, list[str]]:
-    """Links (a, b) that connect all fingerprints ``fp`` (distinct) within ``most`` bits; and paths read."""
+def close_links(codes: DataFrame, most: int = MOST, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) that connect all fingerprints ``fp`` (distinct) within ``most`` bits; and paths read.
+
+    With a ``limit``, codes have an ``id``, which links name, and longer fingerprints ``prints``: links
+    then connect rows within ``most`` bits of ``fp`` and ``limit`` bits of ``prints``.
+    """
     spark = codes.sparkSession
-    level = codes.select("fp", F.lit(0).cast("long").alias("mask"))
+    level = codes.withColumn("mask", F.lit(0).cast("long"))
     finer, found, paths = {0: _parts(0, most + 1)}, [], []
     while finer:
         dealt = _dealt(level, finer)
         masks = [m for f in finer.values() for m in f]
         free = 64 - min(m.bit_count() for m in masks)
         if free <= FEW:
-            found.append(_search(dealt, most))
+            found.append(_search(dealt, most, limit))
             break
         large = dealt.groupBy("mask", "pattern").count().where(F.col("count") > GROUP).drop("count")
         paths.append(write(large, "large"))
         large = spark.read.parquet(paths[-1])
         if large.isEmpty():
-            found.append(_search(dealt, most))
+            found.append(_search(dealt, most, limit))
             break
-        found.append(_search(dealt.join(large, ["mask", "pattern"], "left_anti"), most))
-        level = dealt.join(large, ["mask", "pattern"], "left_semi").select("fp", "mask")
+        found.append(_search(dealt.join(large, ["mask", "pattern"], "left_anti"), most, limit))
+        level = dealt.join(large, ["mask", "pattern"], "left_semi").drop("pattern")
         finer = {m: _parts(m, most + 1) for m in masks}
     links_ = found[0]
     for more in found[1:]:
@@ -161,16 +175,3 @@ def near_duplicates(docs: DataFrame, most: int = MOST, words: int = WORDS, seed:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The rows that remain when one document of each group stays: the one with the smallest doc_id.
-
-    Rows of null doc_id form no group and stay. Of rows that repeat that doc_id, one stays.
-    """
-    named = near_duplicates(docs, most)
-    first = named.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    rest = docs.where("doc_id is null")
-    repeated = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return kept.withColumn("_gm_nth", repeated).where("_gm_nth = 1").drop("_gm_nth").unionByName(rest)

@@ -14,7 +14,8 @@ in fifteen.
   is a repeat; runs that overlap join to maximal repeats.
 
 No pairs of places are formed: a passage that n documents share costs n rows. A row is told by a hash
-of its id and text, so ids may be null or repeated, and repeated rows repeat each other. Null text
+of its id and text, so ids may be null or repeated, and repeated rows repeat each other; what is found for a row is
+gathered as a set, no longer than its text however often the row occurs. Null text
 has no words. Texts shorter than ``length`` words keep all of them. Other columns are kept as they are.
 An empty table gives no rows. The words a text keeps are joined by one space.
 """
@@ -128,7 +129,7 @@ def _marks(places: DataFrame, paths: list[str]) -> DataFrame:
         "k1", "k2", "pos", "high", (F.col("n") > 1).alias("whole"), (place == F.col("first")).alias("runs")
     )
     both = alike.unionByName(told)
-    return both.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "high", "whole", "runs")).alias("marks"))
+    return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "high", "whole", "runs")).alias("marks"))
 
 
 def _columns(batch: pa.RecordBatch, row: int) -> list[np.ndarray]:

@@ -96,11 +96,5 @@ def test_odd_rows(spark):
     assert {c for _, c in got[9]} == {8} and len(got[7]) == 1 and {c for _, c in got[None]} == {None}
 
 
-def test_one_document_of_each_group_stays(spark):
-    docs = docs_of(spark, [(5, "a b c d"), (4, "A b c d"), (7, "q r s t"), (7, "q r s t"), (None, "n"), (None, "n")])
-    kept = simhash.keep_one(docs.selectExpr("*", "'x' as component_id"))
-    assert sorted((r.doc_id or 0, r.component_id) for r in kept.collect()) == [(0, "x"), (0, "x"), (4, "x"), (7, "x")]
-
-
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0

@@ -64,6 +64,22 @@ def test_odd_rows(spark):
     assert {(r.doc_id, r.text) for r in texts.collect()} >= {(4, ""), (5, "a\tb\x0bc"), (3, "\n "), (1, ""), (7, "A " + long.upper())}
 
 
+def test_marks_of_a_row_that_occurs_often(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of(spark, [(None, text)]).selectExpr("doc_id", "text", "explode(sequence(1, 20000)) as x")
+    docs = docs.unionByName(docs_of(spark, [(1, "alone " + text[:150])]).selectExpr("*", "0 as x")).repartition(6)
+    gathered, marks = [], substring._marks
+
+    def watched(places, paths):
+        found = marks(places, paths)
+        gathered.append(found.selectExpr("max(size(marks))").first()[0])
+        return found
+
+    monkeypatch.setattr(substring, "_marks", watched)
+    kept = substring.remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert gathered[0] <= 60 and (60, 60, 20000) in set(map(tuple, kept))
+
+
 def test_empty_table(spark):
     assert found(docs_of(spark, [])) == []
 
