@@ -35,8 +35,8 @@ from graphmill.llm.simhash import close_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 PRINTS, TABLES, MOST = 8, 4, 8
-#: Differing bits of all fingerprints up to which a pair counts: those expected at SIMILARITY and 1.5 spreads more.
-LIMIT = 90
+#: Differing bits of all fingerprints up to which a pair counts: those expected at SIMILARITY and most of a spread more.
+LIMIT = 84
 #: Shingles whose bits are unpacked at a time.
 STEP = 1 << 13
 SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(PRINTS)], np.uint64)
