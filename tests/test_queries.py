@@ -5,12 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from graphmill.plans import building, evaluation, linking, matching
+from graphmill.plans import building, evaluation, linking, matching, retrieving
 from tests.compare import checker, differences
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-GRAPH = [name for module in (building, matching, linking, evaluation) for name in module.query.queries]
+GRAPH = [name for module in (building, matching, linking, evaluation, retrieving) for name in module.query.queries]
 
 
 @pytest.fixture(scope="module")
