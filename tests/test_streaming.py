@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill import session
-from graphmill.streaming.ingest import ingest_news
+from graphmill.streaming.ingest import compact, counts, ingest_news
 
 SCHEMA = "news_id long, ts timestamp, headline string, date date"
 
@@ -36,6 +36,49 @@ def test_repeats_are_linked_once_across_batches_and_runs(spark, tmp_path):
     assert run().count(("a", "2024-01-01")) == 1
 
 
+def test_news_of_any_date_are_linked_once(spark, tmp_path):
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+
+    def run(rows):
+        write(spark, source, rows)
+        ingest_news(spark.readStream.schema(SCHEMA).parquet(source), link, out, mark).awaitTermination()
+        links = sorted((r.headline, str(r.day)) for r in spark.read.parquet(f"{out}/links").collect())
+        last = counts(spark, out).orderBy(F.desc("batch")).first()
+        return links, (last["rows"], last["repeated"], last["late"], last["linked"])
+
+    a, b, c = ("a", "2024-03-10"), ("b", "2024-03-11"), ("c", "2024-03-01")
+    assert run([(1, "2024-03-10 08:00:00", "a"), (2, "2024-03-10 09:00:00", "noise")]) == ([a], (2, 0, 0, 1))
+    assert run([(3, "2024-03-11 08:00:00", "b"), (4, "2024-03-11 07:00:00", "b")]) == ([a, b], (2, 1, 0, 1))
+    # Ten days late, a repeat of stored news, and repeats among the late ones.
+    late = [(5, "2024-03-01 08:00:00", "c"), (6, "2024-03-10 08:00:00", "a"), (7, "2024-03-01 09:00:00", "c")]
+    assert run(late) == ([a, b, c], (3, 2, 1, 1))
+    # Without a time, twice.
+    none = ("d", "None")
+    assert run([(8, None, "d"), (9, None, "d")]) == (sorted([a, b, c, none]), (2, 1, 0, 1))
+    assert run([(10, None, "d")])[1] == (1, 1, 0, 0)
+
+
+def test_identity_without_date(spark, tmp_path):
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    for rows in ([(1, "2024-03-10 08:00:00", "a"), (2, "2024-03-11 08:00:00", "a")], [(3, "2024-03-01 08:00:00", "a")]):
+        write(spark, source, rows)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        ingest_news(stream, link, out, mark, identity="headline").awaitTermination()
+    assert [(r.headline, r.news_id) for r in spark.read.parquet(f"{out}/links").collect()] == [("a", 1)]
+
+
+def test_compacted_tables_are_carried_on(spark, tmp_path):
+    source, out, mark, packed = (str(tmp_path / name) for name in ("in", "out", "mark", "packed"))
+    stream = spark.readStream.schema(SCHEMA)
+    write(spark, source, [(1, "2024-03-10 08:00:00", "a"), (2, "2024-03-12 08:00:00", "b")])
+    ingest_news(stream.parquet(source), link, out, mark).awaitTermination()
+    compact(spark, out, packed)
+    write(spark, source, [(3, "2024-03-10 08:00:00", "a"), (4, "2024-03-11 08:00:00", "c")])
+    ingest_news(stream.parquet(source), link, packed, mark).awaitTermination()
+    assert sorted(r.headline for r in spark.read.parquet(f"{packed}/links").collect()) == ["a", "b", "c"]
+    assert counts(spark, packed).where("batch >= 0").select("rows", "repeated", "late", "linked").first() == (2, 1, 1, 1)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert session.fresh_dir(spark, "x") != session.fresh_dir(spark, "x")
