@@ -144,7 +144,9 @@ def _homes(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not batch.empty:
-                yield batch.assign(cell=(_matrix(batch["vec"]) @ pivots.T).argmax(axis=1).astype("int32"))
+                rows, step = _matrix(batch["vec"]), max(1, SLICE_SCORES // len(pivots))
+                nearest = [(rows[i : i + step] @ pivots.T).argmax(axis=1) for i in range(0, len(rows), step)]
+                yield batch.assign(cell=np.concatenate(nearest).astype("int32"))
 
     return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int")
 
