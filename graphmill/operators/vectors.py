@@ -16,7 +16,7 @@ the best ``k`` per query, or the pairs above the threshold, at most ``BLOCK`` sq
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -138,8 +138,8 @@ def _radius(cos: Column | float) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.lit(cos) if isinstance(cos, float) else cos)) + 10.0**-DIGITS)
 
 
-def _homes(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
-    """The cell of each vector: that of its nearest pivot."""
+def _homes(df: DataFrame, pivots: np.ndarray, id_type: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The cell of each vector: that of its nearest pivot. Text columns ``keep`` stay beside it."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,7 +148,8 @@ def _homes(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
                 nearest = [(rows[i : i + step] @ pivots.T).argmax(axis=1) for i in range(0, len(rows), step)]
                 yield batch.assign(cell=np.concatenate(nearest).astype("int32"))
 
-    return df.select("id", "vec").mapInPandas(cells, f"id {id_type}, vec array<double>, cell int")
+    kept = "".join(f", {name} string" for name in keep)
+    return df.select("id", "vec", *keep).mapInPandas(cells, f"id {id_type}, vec array<double>{kept}, cell int")
 
 
 def visits(
@@ -240,6 +241,28 @@ def _products(
     )
 
 
+def _visited(
+    queries: DataFrame, items_in: Callable[[DataFrame], DataFrame], pivots: np.ndarray, id_type: str, **rule
+) -> DataFrame:
+    """Hits of queries in the cells that can hold them; ``items_in`` gives the items for cells and their visitors (cell, n)."""
+    bound, k = rule["bound"], rule["k"]
+    placed = stored(_homes(queries, pivots, id_type), "queries")
+    if bound is not None and bound > -1:
+        placed = placed.withColumn("radius", _radius(float(bound)))
+    else:
+        at_home, sizes = placed.withColumn("home", F.lit(True)), placed.select("cell", F.lit(1).alias("n"))
+        own = _products(at_home, sizes, items_in(sizes), id_type, **rule)
+        best = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
+        last = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
+        last = stored(last.select(F.col("q_id").alias("id"), F.col("cos").alias("_last")), "bounds")
+        # A query whose own cell holds fewer than k items may have to visit all.
+        placed = placed.join(last, "id", "left").withColumn(
+            "radius", F.when(F.col("_last").isNotNull(), _radius(F.col("_last"))).otherwise(F.lit(4.0))
+        )
+    counts = visits(placed, pivots, id_type, count_only=True)
+    return _products(visits(placed, pivots, id_type), counts, items_in(counts), id_type, **rule)
+
+
 def _block_join(
     queries: DataFrame, items: DataFrame, *, bound: float | None, strict: bool, k: int | None, same: str | None
 ) -> DataFrame:
@@ -255,21 +278,7 @@ def _block_join(
     if same == "ordered":
         placed = homes.withColumn("radius", _radius(float(bound)))
         return _products(visits(placed, pivots, id_type, True), None, homes, id_type, **rule)
-    placed = stored(_homes(queries, pivots, id_type), "queries")
-    if bound is not None and bound > -1:
-        placed = placed.withColumn("radius", _radius(float(bound)))
-    else:
-        at_home = placed.withColumn("home", F.lit(True))
-        own = _products(at_home, placed.select("cell", F.lit(1).alias("n")), homes, id_type, **rule)
-        best = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
-        last = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
-        last = stored(last.select(F.col("q_id").alias("id"), F.col("cos").alias("_last")), "bounds")
-        # A query whose own cell holds fewer than k items may have to visit all.
-        placed = placed.join(last, "id", "left").withColumn(
-            "radius", F.when(F.col("_last").isNotNull(), _radius(F.col("_last"))).otherwise(F.lit(4.0))
-        )
-    counts = visits(placed, pivots, id_type, count_only=True)
-    return _products(visits(placed, pivots, id_type), counts, homes, id_type, **rule)
+    return _visited(queries, lambda sizes: homes, pivots, id_type, **rule)
 
 
 def _fits(items: DataFrame) -> bool:
@@ -299,6 +308,13 @@ def _broadcast_top(
     return queries.select("id", "vec").mapInPandas(search, HIT.format(id=id_type))
 
 
+def _bound(floor: float | None, scale: str) -> float | None:
+    """A floor on a score scale as raw cosine."""
+    if scale not in ("index", "cosine"):
+        raise ValueError(f"unknown score scale: {scale}")
+    return floor if floor is None or scale == "cosine" else round(2 * floor - 1, DIGITS)
+
+
 def knn(
     queries: DataFrame,
     items: DataFrame,
@@ -318,9 +334,7 @@ def knn(
     ``method`` is ``blocks``, or ``broadcast`` for an item table of less than 64 MB that every
     executor holds; a larger one is refused.
     """
-    if scale not in ("index", "cosine"):
-        raise ValueError(f"unknown score scale: {scale}")
-    bound = floor if floor is None or scale == "cosine" else round(2 * floor - 1, DIGITS)
+    bound = _bound(floor, scale)
     same = "other" if skip_self else None
     if method not in ("blocks", "broadcast"):
         raise ValueError(f"unknown method: {method}")
@@ -331,6 +345,10 @@ def knn(
         hits = _broadcast_top(queries, items, k, bound, strict, same)
     else:
         hits = _block_join(queries, items, bound=bound, strict=strict, k=k, same=same)
+    return _ranked(hits, k, scale)
+
+
+def _ranked(hits: DataFrame, k: int, scale: str) -> DataFrame:
     nearest = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
     score = F.col("cos") if scale == "cosine" else index_score(F.col("cos"))
     ranked = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.functions import clean, text
-from graphmill.operators import enrich, evaluate, hooks, match, vectors
+from graphmill.operators import enrich, evaluate, hooks, match, vector_index, vectors
 from graphmill.operators.upsert import lookup_table
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import PART_NAMES, SUPPLIER_CTE, derive, duck, suppliers, table, texts
-from graphmill.session import stored
+from graphmill.session import fresh_dir, stored
 
 query = Registry()
 
@@ -248,6 +248,24 @@ def knn_blocks(spark, sf):
     return nearest.select("q_id", "i_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "knn_kept_index",
+    f"""WITH v AS ({VECTORS}), pairs AS (SELECT q.id AS q_id, i.id AS i_id, round(list_cosine_similarity(q.vec, i.vec), 9) + 0.0 AS cos
+      FROM v q, v i WHERE q.id <> i.id AND i.label <> (SELECT min(label) FROM v)),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, i_id) AS rank FROM pairs)
+    SELECT q_id, i_id, round(cos, 6) AS score, rank FROM ranked WHERE rank <= 3""",
+)
+def knn_kept_index(spark, sf):
+    """An index built once, its last day appended and its first removed; labels stand in for days."""
+    items = _vectors(spark, sf).withColumn("day", F.col("label").cast("string"))
+    first, last = items.agg(F.min("label"), F.max("label")).first()
+    index = vector_index.build(items.where(F.col("label") != F.lit(last)), fresh_dir(spark, "vector-index"))
+    vector_index.append(items.where(F.col("label") == F.lit(last)), index, 1)
+    vector_index.remove_days(spark, index, [str(first)])
+    nearest = vector_index.search(items, index, 3, scale="cosine", skip_self=True)
+    return nearest.select("q_id", "i_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 CONTEXTS = {"labelled": "\n---\n", "lines": "\n\n", "bars": " || "}
 
 

@@ -18,11 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphmill.operators.linking import IDENTITY, news_key
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+from graphmill.session import exists
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
@@ -53,7 +49,7 @@ def _unseen(batch: DataFrame, path: str, batch_id: int, dated: bool) -> DataFram
     columns = [c for c in batch.columns if c != "news_key"]
     order = F.struct(F.col("event_time").isNull().alias("none"), "event_time", F.xxhash64(*columns).alias("tie"))
     first = batch.groupBy("news_key").agg(F.min_by(F.struct(*columns), order).alias("n")).select("news_key", "n.*")
-    if not _exists(batch.sparkSession, f"{path}/keys"):
+    if not exists(batch.sparkSession, f"{path}/keys"):
         return first
     known = batch.sparkSession.read.parquet(f"{path}/keys").where(F.col("batch") != batch_id)
     if dated:
@@ -94,7 +90,7 @@ def ingest_news(
         batch = batch.persist()
         fresh = _unseen(batch, path, batch_id, "date" in IDENTITY[identity]).persist()
         newest = None
-        if _exists(spark, f"{path}/counts"):
+        if exists(spark, f"{path}/counts"):
             newest = counts(spark, path).where(F.col("batch") != batch_id).agg(F.max("newest")).first()[0]
         store(link(fresh.drop("day", "event_time")), "links", "day")
         store(fresh.select("news_key", "day"), "keys", "day")
