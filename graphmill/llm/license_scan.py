@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text with the words that follow it, as many as the longest template has and
-a share of others (``_span``): a notice is found on one line and wrapped over lines of any length,
-with or without blank or comment signs between them. A template is a notice in known words, and
+A block is a line of a text, or a piece of ``_span`` words of a longer line, with the words that follow
+it, one fewer than ``_span``: as many words as the longest template has and a share of others. So a notice is
+found on one line, inside a long line and wrapped over lines of any length, with or without blank or
+comment signs between them, and words farther apart than two spans are no notice. A template is a notice in known words, and
 matches a block that holds at least ``CONTAINMENT`` of its distinct words, in any order. Only words of some template can
 match, so blocks are reduced to these. Their corpus-wide counts, taken over all texts, order them
 from rare to frequent. Of a template that needs ``a`` words, a matching block must hold one of the
@@ -102,14 +103,17 @@ def _span(templates, containment: float) -> int:
 
 
 def _blocks(known: list[str], span: int) -> str:
-    """The known words of each line and of the ``span - 1`` words behind it."""
+    """The known words of each piece of a line and of the ``span - 1`` words behind it."""
     ends = r"concat(array(-1), filter(transform(ws, (w, i) -> if(startswith(w, '\n'), i, -1)), i -> i >= 0))"
-    line = "slice(ws, e + 2, coalesce(get(ends, k + 1), size(ws)) - e - 1)"
-    # A line end stands before each of these words at most.
-    more = f"slice(ws, coalesce(get(ends, k + 1), size(ws)) + 1, {2 * (span - 1)})"
-    more = rf"slice(filter({more}, w -> not startswith(w, '\n')), 1, {span - 1})"
-    block = f"array_distinct(filter(concat({line}, {more}), w -> w in ({_listed(known)})))"
-    blocks = f"get(transform(array({ends}), ends -> transform(ends, (e, k) -> {block})), 0)"
+    # A piece starts behind a line end and behind each span-th word of a line.
+    pieces = f"sequence(e, greatest(e, coalesce(get(ends, k + 1), size(ws)) - 2), {span})"
+    cuts = f"flatten(get(transform(array({ends}), ends -> transform(ends, (e, k) -> {pieces})), 0))"
+    last = "coalesce(get(cuts, k + 1), size(ws))"
+    # A line end stands before each of the words behind the piece at most.
+    more = rf"filter(slice(ws, {last} + 2, {2 * (span - 1)}), w -> not startswith(w, '\n'))"
+    words = f"concat(slice(ws, c + 2, {last} - c), slice({more}, 1, {span - 1}))"
+    block = f"array_distinct(filter({words}, w -> w in ({_listed(known)})))"
+    blocks = f"get(transform(array({cuts}), cuts -> transform(cuts, (c, k) -> {block})), 0)"
     return f"get(transform(array(regexp_extract_all(low, '{LINE_END}|{WORD}', 0)), ws -> {blocks}), 0)"
 
 
@@ -171,14 +175,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
 
 def duckdb_sql(templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
-    """Every line compared with every template: the same result where no notice is wrapped over lines."""
+    """Every block compared with every template."""
+    span, known = _span(templates, containment), sorted({w for _, text in templates for w in text.split()})
     rows = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(templates))
     bases = " UNION ALL ".join(
         f"SELECT r, i, '{label}' AS label FROM w WHERE "
         + " AND ".join(f"words[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
         for phrase, label in PHRASES
     )
-    word = WORD.replace("\\\\", "\\")
+    word, end = (pattern.replace("\\\\", "\\") for pattern in (WORD, LINE_END))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 e AS (SELECT r, doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
@@ -186,9 +191,14 @@ w AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM e),
 b AS ({bases}),
 base AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY r),
 t AS (SELECT n, label, list_distinct(string_split(words, ' ')) AS tokens FROM (VALUES {rows}) v(n, label, words)),
-l AS (SELECT DISTINCT r, regexp_extract_all(line, '{word}') AS words
-      FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM e)),
-m AS (SELECT r, label, len(list_intersect(list_distinct(l.words), t.tokens)) / len(t.tokens) AS held FROM l, t),
+s AS (SELECT r, regexp_extract_all(low, '{end}|{word}') AS ws FROM e),
+n AS (SELECT r, ws, unnest(list_concat([0], [i for i in range(1, len(ws) + 1) if starts_with(ws[i], chr(10))])) AS here FROM s),
+p AS (SELECT r, ws, here, lead(here, 1, len(ws) + 1) OVER (PARTITION BY r ORDER BY here) AS upto FROM n),
+c AS (SELECT r, ws, upto, unnest(range(here, greatest(here + 1, upto - 1), {span})) AS cut FROM p),
+g AS (SELECT r, ws, cut + 1 AS lo, least(cut + {span}, upto - 1) AS hi FROM c),
+l AS (SELECT DISTINCT r, list_sort(list_intersect([{_listed(known)}], list_concat(ws[lo:hi],
+        ([w for w in ws[hi + 1:hi + {2 * span}] if NOT starts_with(w, chr(10))])[1:{span - 1}]))) AS words FROM g),
+m AS (SELECT r, label, len(list_intersect(l.words, t.tokens)) / len(t.tokens) AS held FROM l, t WHERE len(l.words) > 0),
 f AS (SELECT r, list(DISTINCT label) AS labels, max(held) AS best FROM m WHERE held >= {containment} - 1e-9 GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word,
        hi::BIGINT AS last_word, coalesce(list_aggregate(base.labels, 'string_agg', ','), '') AS base_labels,

@@ -4,6 +4,8 @@ import random
 import re
 import textwrap
 
+import duckdb
+import pandas as pd
 import pytest
 
 from graphmill.llm import license_scan
@@ -23,16 +25,19 @@ HEADERS = {
 
 
 def plain(text):
-    """Labels by templates alone: every line and the words behind it against every template."""
+    """Labels by templates alone: every piece of a line and the words behind it against every template."""
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     span = license_scan._span(license_scan.TEMPLATES, license_scan.CONTAINMENT)
     lines, labels = [re.findall(WORD, x) for x in low.split("\n")], set()
     for k, line in enumerate(lines):
-        block = set(line + [w for x in lines[k + 1 :] for w in x][: span - 1])
-        for label, template in license_scan.TEMPLATES:
-            wanted = set(template.split())
-            if len(wanted & block) / len(wanted) >= license_scan.CONTAINMENT - 1e-9:
-                labels.add(label)
+        rest = line + [w for x in lines[k + 1 :] for w in x]
+        for start in range(0, max(1, len(line)), span):
+            end = min(start + span, len(line))
+            block = set(rest[start : end + span - 1])
+            for label, template in license_scan.TEMPLATES:
+                wanted = set(template.split())
+                if len(wanted & block) / len(wanted) >= license_scan.CONTAINMENT - 1e-9:
+                    labels.add(label)
     for phrase, label in license_scan.PHRASES:
         labels |= {label} if f" {phrase} " in f" {' '.join(re.findall(WORD, low))} " else set()
     return ",".join(sorted(labels))
@@ -59,6 +64,29 @@ def test_words_far_apart_are_no_notice(spark):
     assert rows == {0: "", 1: "mit", 2: ""}
 
 
+def checked(spark, texts):
+    """Labels by the operator, by the SQL and by plain Python."""
+    rows = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs_of(spark, list(enumerate(texts)))).collect()}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    found = con.execute(f"SELECT doc_id, labels, score FROM ({license_scan.duckdb_sql()})").fetchall()
+    assert {i: (labels, score) for i, labels, score in found} == rows
+    assert [rows[i][0] for i in range(len(texts))] == [plain(t) for t in texts]
+    return [rows[i] for i in range(len(texts))]
+
+
+def test_scattered_words_of_a_long_line_are_no_notice(spark):
+    words = "released under the mit license".split()
+    notice = " ".join(words)
+    far = " ".join(w + " x" * 3000 for w in words)
+    inside = [f"{'x ' * n}{notice}{' x' * 3000}" for n in (0, 29, 32, 33, 34, 65, 2999)]
+    header = " ".join(HEADERS["bsd"].split())
+    inside += [f"{'x ' * n}{header}{' x' * 100}" for n in (0, 7, 20, 33)]
+    found = checked(spark, [far, *inside])
+    assert found[0] == ("", 0.0)
+    assert [labels for labels, _ in found[1:]] == ["mit"] * 7 + ["bsd"] * 4
+
+
 def test_any_lines(spark):
     rng = random.Random(3)
     known = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
@@ -68,5 +96,4 @@ def test_any_lines(spark):
         for _ in range(rng.randrange(12)):
             words.insert(rng.randrange(len(words) + 1), rng.choice([*known[:8], "q"]))
         texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n\n", ".\n# "]) for w in words))
-    rows = {r.doc_id: r.labels for r in license_scan.scan(docs_of(spark, list(enumerate(texts)))).collect()}
-    assert [rows[i] for i in range(len(texts))] == [plain(t) for t in texts]
+    checked(spark, texts)
