@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphmill import schemas
 from graphmill.functions import clean, jsontext, relations, text
-from graphmill.operators import build, digest, maintain, match, upsert
+from graphmill.operators import build, digest, maintain, match, paths, upsert
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import (
     PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table, texts,
@@ -342,6 +342,23 @@ def geography_chain(spark, sf):
     return build.geography_edges(profiles(spark, sf))
 
 
+@query(
+    "chain_ends",
+    f"""
+    WITH RECURSIVE edges AS (SELECT src_label, src_key, dst_label, dst_key FROM ({query.sql["geography_chain"]})
+      UNION SELECT src_label, src_key, dst_label, dst_key FROM ({query.sql["hierarchy_edges"]})),
+    way AS (SELECT src_label, src_key, dst_label, dst_key, 1::BIGINT AS hops FROM edges
+      UNION ALL SELECT w.src_label, w.src_key, e.dst_label, e.dst_key, w.hops + 1 FROM way w
+        JOIN edges e ON e.src_label = w.dst_label AND e.src_key = w.dst_key WHERE w.dst_label NOT IN ('Sector', 'Country'))
+    SELECT src_label, src_key, dst_label, dst_key, min(hops) AS hops FROM way WHERE dst_label IN ('Sector', 'Country') GROUP BY ALL
+    """,
+)
+def chain_ends(spark, sf):
+    """Every node to its sectors and countries, over chains of any length."""
+    edges = geography_chain(spark, sf).unionByName(hierarchy_edges(spark, sf), allowMissingColumns=True)
+    return paths.chain_ends(edges, "Sector", "Country")
+
+
 def _details(spark, sf):
     parts = table(spark, sf, "part")
     empty = F.array().cast("array<string>")
