@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphmill import schemas
 from graphmill.functions import clean, jsontext, relations, text
-from graphmill.operators import build, digest, maintain, match, paths, upsert
+from graphmill.operators import build, digest, distinct, maintain, match, paths, upsert
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import (
     PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table, texts,
@@ -968,3 +968,26 @@ def graph_roundtrip(spark, sf):
     tables.write_graph(upsert.upsert_edges(nodes, identity=["label", "key"]), made.unionByName(hierarchy), path)
     stored = maintain.with_labels(tables.read_nodes(spark, path).where("name is not null"), ["Company", "Product"])
     return maintain.produced_by(stored, tables.read_edges(spark, path))
+
+
+@query(
+    "distinct_merged",
+    """
+    SELECT l_returnflag AS flag, since, count(DISTINCT l_orderkey) AS exact, TRUE AS within_error
+    FROM lineitem JOIN (VALUES ('1992-01-01'), ('1995-06-01')) v(since) ON CAST(CAST(l_shipdate AS DATE) AS VARCHAR) >= since GROUP BY 1, 2
+    """,
+)
+def distinct_merged(spark, sf):
+    """Sketches of each day, stored once and merged over days, against the exact counts."""
+    lines = table(spark, sf, "lineitem").withColumn("day", F.col("l_shipdate").cast("date").cast("string"))
+    path = fresh_dir(spark, "sketches")
+    distinct.add(lines, F.col("l_returnflag"), F.col("day"), F.col("l_orderkey"), path, 0)
+
+    def checked(since):
+        counted = lines.where(F.col("day") >= since).groupBy(F.col("l_returnflag").alias("flag"))
+        exact = counted.agg(F.count_distinct("l_orderkey").alias("exact"))
+        found = distinct.count(spark, path, since).withColumnRenamed("group", "flag")
+        within = F.abs(F.col("n") - F.col("exact")) <= distinct.error() * F.col("exact")
+        return exact.join(found, "flag").select("flag", F.lit(since).alias("since"), "exact", within.alias("within_error"))
+
+    return checked("1992-01-01").unionByName(checked("1995-06-01"))
