@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphmill import schemas
 from graphmill.functions import clean, jsontext, relations, text
-from graphmill.operators import build, digest, distinct, maintain, match, paths, upsert
+from graphmill.operators import build, degrees, digest, distinct, kept_table, maintain, match, paths, upsert
 from graphmill.plans.registry import Registry
 from graphmill.plans.standins import (
     PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table, texts,
@@ -474,6 +474,33 @@ def node_upsert_last_wins(spark, sf):
     return upsert.last_write(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
+@query(
+    "kept_table_changes",
+    """
+    WITH f AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+    o AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY 1),
+    p AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
+    one AS (SELECT * FROM o UNION ALL SELECT * FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o)),
+    two AS (SELECT * FROM one WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 2000)),
+    three AS (SELECT * FROM two UNION ALL SELECT * FROM p WHERE o_custkey NOT IN (SELECT o_custkey FROM two)),
+    versions AS (SELECT 0 AS version, * FROM f UNION ALL SELECT 1, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM three)
+    SELECT version, o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM versions JOIN orders USING (o_orderkey, o_custkey)
+    """,
+)
+def kept_table_changes(spark, sf):
+    """Last orders of customers as a kept table: upserts, deletes and get-or-create, and every version read back."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    kept = kept_table.build(orders.where("o_orderstatus = 'F'"), fresh_dir(spark, "kept-table"), ["o_custkey"], ["o_orderkey"])
+    kept.upsert(orders.where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'"), 1, ["o_orderkey"])
+    gone = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal < 2000")
+    kept.remove(gone.select(F.col("c_custkey").alias("o_custkey")), 2)
+    kept.add_absent(orders.where("o_orderstatus <> 'F'"), 3, ["o_orderkey"])
+    first, *later = [kept.read(version).select(F.lit(version).alias("version"), "*") for version in range(4)]
+    for rows in later:
+        first = first.unionByName(rows)
+    return first
+
+
 @query(
     "node_merge_stored",
     """
@@ -631,6 +658,32 @@ def orphan_delete_counts(spark, sf):
     return maintain.delete_orphans(*_part_graph(spark, sf), "Product").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(
+    "degrees_under_change",
+    """
+    WITH kept AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem
+      EXCEPT SELECT l_suppkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0),
+    linked AS (SELECT l_partkey, count(*) AS degree FROM kept GROUP BY 1)
+    SELECT p_partkey AS key, coalesce(degree, 0) AS degree FROM part LEFT JOIN linked ON p_partkey = l_partkey
+    """,
+)
+def degrees_under_change(spark, sf):
+    """Edges of parts come in two batches and those of suppliers in debt go; degrees and orphans from the changes alone."""
+    made = table(spark, sf, "lineitem").select(
+        F.lit("Company").alias("src_label"), F.col("l_suppkey").alias("src_key"), F.lit("PRODUCES").alias("rel"),
+        F.lit("Product").alias("dst_label"), F.col("l_partkey").alias("dst_key"), (F.col("l_returnflag") == "R").alias("early"),
+    )
+    made = made.groupBy(*upsert.EDGE_KEY).agg(F.max("early").alias("early"))
+    debt = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("src_key"))
+    at = fresh_dir(spark, "degrees")
+    degrees.add(at, 0, made.where("early"))
+    degrees.add(at, 1, made.where("not early"), made.join(debt, "src_key", "left_semi"))
+    parts = table(spark, sf, "part").select(F.lit("Product").alias("label"), F.col("p_partkey").alias("key"))
+    alone = degrees.orphans(parts, at, "Product").select("key", F.lit(0).cast("long").alias("degree"))
+    linked = degrees.degrees(spark, at).where("label = 'Product'").select("key", "degree")
+    return alone.unionByName(linked)
+
+
 @query(
     "detach_delete",
     """
