@@ -8,9 +8,11 @@ half way between its own pivot and another one cannot match an item of that othe
 the cells it can match in. Where no threshold is given, each query finds its ``k`` best in its own cell first,
 and the last of these is its threshold for the others.
 
-Cells of any size are cut into blocks of ``BLOCK`` rows, so a cell that holds a third of all vectors becomes
-many tasks. One task multiplies one block of queries with one block of items, and only the hits leave it:
-the best ``k`` per query, or the pairs above the threshold, at most ``BLOCK`` squared. No pair table is formed.
+Cells that lie together are put into packs of an eighth of the table, at least ``BLOCK`` and at most ``WIDE`` times
+``BLOCK`` rows, and a query is sent to a pack once, however many of its cells it visits. A cell larger than that is cut
+into blocks, so one that holds a third of all vectors becomes many tasks, and so are the visitors of a pack. One task
+multiplies one block of queries with one block of items, ``SLICE_SCORES`` scores at a time, and only the hits leave
+it, slice by slice: the best ``k`` per query, or the pairs above the threshold. No pair table is formed.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +32,12 @@ from graphmill.session import stored
 #: Largest item table that ``method="broadcast"`` accepts.
 BROADCAST_BYTES = 64 << 20
 BLOCK = 2048
+#: Blocks of large tables are up to this many times larger, so that vectors are sent to fewer of them.
+WIDE = 16
 CELL = 128
-SLICE_SCORES = 4 << 20
+SLICE_SCORES = 1 << 20
+#: Hits that a task holds before it hands them on.
+HELD = 1 << 16
 DIGITS = 9
 
 
@@ -94,37 +102,50 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hits(
     q_ids: np.ndarray, q: np.ndarray, i_ids: np.ndarray, items: np.ndarray, k: int | None,
-    bound: float | None, strict: bool, same: str | None,
+    bound: float | None, strict: bool, same: str | None, least: np.ndarray | None = None,
 ) -> Iterator[pd.DataFrame]:
     """Hits of a block of queries in a block of items, SLICE_SCORES scores at a time.
 
     ``same``: None for two tables, ``other`` to skip an id paired with itself, ``ordered`` to keep
-    pairs with the lower id on the query side only.
+    pairs with the lower id on the query side only. ``least``: a score below which a query needs no hit.
     """
     by_id = np.argsort(i_ids, kind="stable")
     i_ids, items = i_ids[by_id], items[by_id]
     step = max(1, SLICE_SCORES // len(i_ids))
+    low = np.full(len(q_ids), -np.inf if bound is None else bound)
+    low = low if least is None else np.maximum(low, least)
     for start in range(0, len(q_ids), step):
         ids = q_ids[start : start + step]
-        scores = np.round(q[start : start + step] @ items.T, DIGITS) + 0.0
-        if same == "other":
-            scores[ids[:, None] == i_ids[None, :]] = -np.inf
-        elif same == "ordered":
-            scores[ids[:, None] >= i_ids[None, :]] = -np.inf
-        if k is not None:
+        scores, floor = q[start : start + step] @ items.T, low[start : start + step, None]
+        if np.isfinite(floor).all():
+            # Only what may reach the floor is rounded.
+            rows, cols = np.nonzero(scores >= floor - 2 * 10.0**-DIGITS)
+        elif k is not None:
+            scores = np.round(scores, DIGITS) + 0.0
+            if same == "other":
+                scores[ids[:, None] == i_ids[None, :]] = -np.inf
             rows, cols = _best(scores, k)
         else:
-            rows, cols = np.nonzero(scores > bound if strict else scores >= bound)
-        found = scores[rows, cols]
+            rows, cols = np.nonzero(np.isfinite(scores))
+        found = np.round(scores[rows, cols], DIGITS) + 0.0
         kept = np.isfinite(found)
-        if bound is not None and k is not None:
+        if same == "other":
+            kept &= ids[rows] != i_ids[cols]
+        elif same == "ordered":
+            kept &= ~(ids[rows] >= i_ids[cols])
+        if bound is not None:
             kept &= found > bound if strict else found >= bound
-        if kept.any():
-            yield pd.DataFrame({"q_id": ids[rows[kept]], "i_id": i_ids[cols[kept]], "cos": found[kept]})
+        rows, cols, found = rows[kept], cols[kept], found[kept]
+        if k is not None:
+            order = np.lexsort((cols, -found, rows))
+            rows, cols, found = rows[order], cols[order], found[order]
+            first = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            rows, cols, found = rows[first], cols[first], found[first]
+        if len(rows):
+            yield pd.DataFrame({"q_id": ids[rows], "i_id": i_ids[cols], "cos": found})
 
 
 HIT = "q_id {id}, i_id {id}, cos double"
-NO_HITS = pd.DataFrame({"q_id": [], "i_id": [], "cos": []})
 
 
 def _pivots(items: DataFrame, count: int) -> np.ndarray:
@@ -153,14 +174,20 @@ def _homes(df: DataFrame, pivots: np.ndarray, id_type: str, keep: tuple[str, ...
 
 
 def visits(
-    df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = False, count_only: bool = False
-) -> DataFrame:
+    df: DataFrame, pivots: np.ndarray, id_type: str, lower_only: bool = False, count_only: bool = False,
+    packs: np.ndarray | None = None,
+) -> DataFrame:
     """Rows of id, vec, cell and whether it is home, for every cell that a vector can match in.
 
-    ``df``: id, vec, cell (its own) and ``radius``. ``lower_only`` restricts the other cells to lower
-    numbers, which leaves each pair of a self join in exactly one cell. ``count_only`` gives cell and n
-    instead, without carrying vectors.
+    ``df``: id, vec, cell (its own) and ``radius``; a column ``least`` stays beside the vector. With ``packs``, the
+    pack of each cell, ``cell`` is a pack that holds such a cell. ``lower_only`` restricts the others to lower
+    numbers, which leaves each pair of a self join in exactly one of them. ``count_only`` gives cell and n
+    instead, without carrying vectors. A vector leaves Python once, with the list of what it visits.
     """
+    packs = np.arange(len(pivots)) if packs is None else packs
+    by_pack = np.argsort(packs, kind="stable")
+    firsts = np.flatnonzero(np.diff(packs[by_pack], prepend=-1))
+    beside = [c for c in ("least",) if c in df.columns]
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = max(1, SLICE_SCORES // len(pivots))
@@ -174,71 +201,122 @@ def visits(
                 beyond = (square - own) / (2 * np.maximum(between, 1e-6))
                 # Pivots that nearly coincide say nothing in floating point: visit both cells.
                 reach = (beyond <= radius + 1e-7) | (between < 1e-5)
-                if lower_only:
-                    reach &= np.arange(len(pivots))[None, :] < home[:, None]
                 reach[np.arange(len(home)), home] = True
+                reach = np.logical_or.reduceat(reach[:, by_pack], firsts, axis=1)
+                if lower_only:
+                    reach &= np.arange(len(firsts))[None, :] <= packs[home][:, None]
                 if count_only:
-                    yield pd.DataFrame({"cell": np.arange(len(pivots), dtype="int32"), "n": reach.sum(axis=0)})
+                    yield pd.DataFrame({"cell": np.arange(len(firsts), dtype="int32"), "n": reach.sum(axis=0)})
                     continue
-                rows, cols = np.nonzero(reach)
-                out = part.iloc[rows][["id", "vec"]].copy()
-                out["cell"] = cols.astype("int32")
-                out["home"] = cols == home[rows]
-                yield out
+                visited = np.split(np.nonzero(reach)[1].astype("int32"), np.cumsum(reach.sum(axis=1))[:-1])
+                yield part[["id", "vec", *beside]].assign(own=packs[home].astype("int32"), cells=visited)
 
-    rows = df.select("id", "vec", "cell", "radius")
-    kind = "cell int, n long" if count_only else f"id {id_type}, vec array<double>, cell int, home boolean"
-    return rows.mapInPandas(cells, kind)
+    rows = df.select("id", "vec", "cell", "radius", *beside)
+    if count_only:
+        return rows.mapInPandas(cells, "cell int, n long")
+    kind = f"id {id_type}, vec array<double>{''.join(f', {c} double' for c in beside)}, own int, cells array<int>"
+    found = rows.mapInPandas(cells, kind).withColumn("cell", F.explode("cells"))
+    return found.select("id", "vec", *beside, "cell", (F.col("cell") == F.col("own")).alias("home"))
 
 
-def _blocks(sizes: DataFrame, into: str) -> DataFrame:
-    """Blocks of each cell, one narrow row per cell, from rows of cell and ``n``."""
-    total = sizes.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 0")
-    return total.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias(into))
+def _packed(items: DataFrame, pivots: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows of a block, the pack of each cell, and the items of each pack; from one narrow row for each cell."""
+    sizes = np.zeros(len(pivots), np.int64)
+    for row in items.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        sizes[row["cell"]] = row["n"]
+    block = min(max(math.ceil(sizes.sum() / 8), BLOCK), WIDE * BLOCK)
+    centres = pivots[:: math.ceil(math.sqrt(len(pivots)))]
+    packs, held, at = np.zeros(len(pivots), np.int64), 0, 0
+    for cell in np.argsort((pivots @ centres.T).argmax(axis=1), kind="stable").tolist():
+        if held and held + sizes[cell] > block:
+            held, at = 0, at + 1
+        packs[cell] = at
+        held += sizes[cell]
+    return block, packs, np.bincount(packs, weights=sizes).astype(np.int64)
+
+
+def _at(values: np.ndarray, place: str) -> Column:
+    return F.element_at(F.lit([int(v) for v in values]), F.col(place) + 1)
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    column = table.column("vec").combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    if len(pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("vectors of different lengths")
+    return values.reshape(len(column), -1)
 
 
 def _products(
-    q: DataFrame, sizes: DataFrame | None, items: DataFrame, id_type: str, *, bound: float | None, strict: bool,
-    k: int | None, same: str | None,
+    q: DataFrame, visitors: np.ndarray, items: DataFrame, packing: tuple[int, np.ndarray, np.ndarray], *,
+    bound: float | None, strict: bool, k: int | None, same: str | None,
 ) -> DataFrame:
-    """Hits (q_id, i_id, cos) of visiting vectors (id, vec, cell, home) in the items' cells (id, vec, cell).
+    """Hits (q_id, i_id, cos) of visiting vectors (id, vec, cell, home; may be least) in the items' packs.
 
-    ``sizes``: cell and n of the visiting vectors; a self join has none.
+    ``cell`` of ``q`` is a pack, that of ``items`` (id, vec, cell) a cell. ``visitors``: at most so many rows of
+    ``q`` visit each pack, in a self join without those at home.
     """
     self_join = same == "ordered"
-    blocks = _blocks(items.select("cell", F.lit(1).alias("n")), "ni")
-    blocks = stored(blocks if self_join else blocks.join(_blocks(sizes, "nq"), "cell"), "cells")
+    id_type = items.schema["id"].dataType.simpleString()
+    block, packs, sizes = packing
+    n_items, n_asks = np.maximum(-(-sizes // block), 1), -(-np.asarray(visitors) // block)
+    if not self_join:
+        n_asks = np.maximum(n_asks, 1)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    upto = lambda first, n: F.explode(F.sequence(first, F.greatest(F.col(n) - 1, first)))
+    none = F.array().cast("array<int>")
+    upto = lambda first, n: F.when(F.col(n) > first, F.sequence(first, (F.col(n) - 1).cast("int"))).otherwise(none)
+    unit, start = ["cell", "home", "qb", "ib"], F.lit(0)
+
+    q_side = q.withColumns({"ni": _at(n_items, "cell"), "nq": _at(n_asks, "cell")})
+    i_side = items.select("id", "vec", _at(packs, "cell").alias("cell"))
+    i_side = i_side.withColumns({"ni": _at(n_items, "cell"), "nq": _at(n_asks, "cell")}).withColumn("ib", place("ni"))
+    away = F.transform(upto(start, "nq"), lambda b: F.struct(F.lit(False).alias("home"), b.alias("qb")))
     if self_join:
-        # Inside a cell of a self join the item table is the query table: same blocks, each pair of them once.
-        q_side = q.join(blocks, "cell").withColumn("qb", place("ni"))
-        q_side = q_side.withColumn("ib", upto(F.when(F.col("home"), F.col("qb")).otherwise(F.lit(0)), "ni"))
-        i_side = items.join(blocks, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "ni"))
+        # Inside a pack of a self join the item table is the query table: same blocks, each pair of them once.
+        q_side = q_side.withColumn("qb", F.when(F.col("home"), place("ni")).otherwise(place("nq")))
+        blocks = F.when(F.col("home"), upto(F.col("qb"), "ni")).otherwise(upto(start, "ni"))
+        inside = F.transform(F.sequence(start, F.col("ib")), lambda b: F.struct(F.lit(True).alias("home"), b.alias("qb")))
+        meets = F.concat(inside, away)
     else:
-        q_side = q.join(blocks, "cell").withColumn("qb", place("nq")).withColumn("ib", upto(F.lit(0), "ni"))
-        i_side = items.join(blocks, "cell").withColumn("ib", place("ni")).withColumn("qb", upto(F.lit(0), "nq"))
-
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return NO_HITS
-        i_ids, matrix = right["item"].to_numpy(), _matrix(right["item_vec"])
-        parts = []
-        if not self_join:
-            parts += _hits(left["id"].to_numpy(), _matrix(left["vec"]), i_ids, matrix, k, bound, strict, same)
-        else:
-            diagonal = left["qb"].iloc[0] == left["ib"].iloc[0]
-            for home, rows in left.groupby("home"):
-                rule = "ordered" if home and diagonal else None
-                parts += _hits(rows["id"].to_numpy(), _matrix(rows["vec"]), i_ids, matrix, None, bound, strict, rule)
-        return pd.concat(parts) if parts else NO_HITS
+        q_side = q_side.withColumn("home", F.lit(False)).withColumn("qb", place("nq"))
+        blocks, meets = upto(start, "ni"), away
+    least = F.col("least") if "least" in q.columns else F.lit(None).cast("double")
+    q_side = q_side.withColumn("ib", F.explode(blocks)).select("id", "vec", least.alias("least"), F.lit(True).alias("asks"), *unit)
+    i_side = i_side.withColumn("u", F.explode(meets)).select(
+        "id", "vec", F.lit(None).cast("double").alias("least"), F.lit(False).alias("asks"), "cell", "u.home", "u.qb", "ib"
+    )
 
-    unit = ["cell", "qb", "ib"]
-    return (
-        q_side.select("id", "vec", "home", *unit).groupBy(*unit)
-        .cogroup(i_side.select(F.col("id").alias("item"), F.col("vec").alias("item_vec"), *unit).groupBy(*unit))
-        .applyInPandas(multiply, HIT.format(id=id_type))
-    )
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+        for batch in batches:
+            for asks, rows in sides.items():
+                rows.append(batch.filter(pc.equal(batch.column("asks"), asks)))
+        left, right = (pa.Table.from_batches(sides[asks]) for asks in (True, False))
+        sides.clear()
+        if not left.num_rows or not right.num_rows:
+            return
+        kind = left.schema.field("id").type
+        diagonal = all(left.column(c)[0].as_py() == v for c, v in (("home", True), ("qb", left.column("ib")[0].as_py())))
+        rule = (same if diagonal else None) if self_join else same
+        ids, floors = left.column("id").to_pandas().to_numpy(), left.column("least").to_pandas().to_numpy(dtype="float64")
+        floors = np.where(np.isnan(floors), -np.inf, floors)
+        asked, i_ids, matrix = _vectors(left), right.column("id").to_pandas().to_numpy(), _vectors(right)
+        del left, right
+        held: list[pd.DataFrame] = []
+        for hits in _hits(ids, asked, i_ids, matrix, k, bound, strict, rule, floors):
+            held.append(hits)
+            if sum(map(len, held)) > HELD:
+                yield as_batch(held, kind)
+                held = []
+        if held:
+            yield as_batch(held, kind)
+
+    def as_batch(held: list[pd.DataFrame], kind: pa.DataType) -> pa.RecordBatch:
+        rows = pd.concat(held)
+        ids = [pa.array(rows[c], from_pandas=True).cast(kind) for c in ("q_id", "i_id")]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(rows["cos"])], names=["q_id", "i_id", "cos"])
+
+    return q_side.unionByName(i_side).groupBy(*unit).applyInArrow(multiply, HIT.format(id=id_type))
 
 
 def _visited(
@@ -250,17 +328,32 @@ def _visited(
     if bound is not None and bound > -1:
         placed = placed.withColumn("radius", _radius(float(bound)))
     else:
-        at_home, sizes = placed.withColumn("home", F.lit(True)), placed.select("cell", F.lit(1).alias("n"))
-        own = _products(at_home, sizes, items_in(sizes), id_type, **rule)
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
+        items = items_in(sizes)
+        packing = _packed(items, pivots)
+        at_home = placed.select("id", "vec", _at(packing[1], "cell").alias("cell"), F.lit(True).alias("home"))
+        own = _products(at_home, _in_packs(sizes, packing[1]), items, packing, **rule)
         best = Window.partitionBy("q_id").orderBy(F.desc("cos"), "i_id")
         last = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
-        last = stored(last.select(F.col("q_id").alias("id"), F.col("cos").alias("_last")), "bounds")
-        # A query whose own cell holds fewer than k items may have to visit all.
+        last = stored(last.select(F.col("q_id").alias("id"), F.col("cos").alias("least")), "bounds")
+        # A query whose own pack holds fewer than k items may have to visit all.
         placed = placed.join(last, "id", "left").withColumn(
-            "radius", F.when(F.col("_last").isNotNull(), _radius(F.col("_last"))).otherwise(F.lit(4.0))
+            "radius", F.when(F.col("least").isNotNull(), _radius(F.col("least"))).otherwise(F.lit(4.0))
         )
-    counts = visits(placed, pivots, id_type, count_only=True)
-    return _products(visits(placed, pivots, id_type), counts, items_in(counts), id_type, **rule)
+    counts = stored(visits(placed, pivots, id_type, count_only=True).groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    items = items_in(counts)
+    packing = _packed(items, pivots)
+    # A query that visits several cells of a pack is one visitor.
+    visitors = np.minimum(_in_packs(counts, packing[1]), placed.count())
+    return _products(visits(placed, pivots, id_type, packs=packing[1]), visitors, items, packing, **rule)
+
+
+def _in_packs(counts: DataFrame, packs: np.ndarray) -> np.ndarray:
+    """Visitors of each pack, from those of its cells (cell, n)."""
+    found = np.zeros(int(packs.max()) + 1, np.int64)
+    for row in counts.collect():
+        found[packs[row["cell"]]] += row["n"]
+    return found
 
 
 def _block_join(
@@ -276,8 +369,11 @@ def _block_join(
     homes = stored(_homes(items, pivots, id_type), "homes")
     rule = {"bound": bound, "strict": strict, "k": k, "same": same}
     if same == "ordered":
-        placed = homes.withColumn("radius", _radius(float(bound)))
-        return _products(visits(placed, pivots, id_type, True), None, homes, id_type, **rule)
+        placed, packing = homes.withColumn("radius", _radius(float(bound))), _packed(homes, pivots)
+        asking = visits(placed, pivots, id_type, True, packs=packing[1])
+        counts = visits(placed, pivots, id_type, True, True, packing[1]).groupBy("cell").agg(F.sum("n").alias("n"))
+        visitors = _in_packs(counts, np.arange(len(packing[2]))) - packing[2]
+        return _products(asking, visitors, homes, packing, **rule)
     return _visited(queries, lambda sizes: homes, pivots, id_type, **rule)
 
 

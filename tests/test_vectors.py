@@ -138,3 +138,30 @@ def test_companies_of_one_description_are_pairs_too(spark):
     assert {(r.a, r.b): r.n_evidence for r in enrich.counted(pairs, members).collect()} == dict(counts)
     pairs, members = enrich.company_pairs(frame(spark, matrix, industry=industry), 0.9, same_group=True)
     assert {(r.a, r.b) for r in enrich.listed(pairs, members, same_group=True).collect()} == {(0, 2)}
+
+
+def test_vectors_without_clusters_are_sent_to_few_packs(spark, monkeypatch):
+    """A vector that can match everywhere leaves Python once, and goes to packs, not to each of many cells."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "CELL", 1)
+    matrix = np.random.default_rng(8).normal(size=(900, 24))
+    items = vectors.unit_vectors(frame(spark, matrix))
+    pivots = vectors._pivots(items, 30)
+    homes = vectors._homes(items, pivots, "bigint").withColumn("radius", vectors._radius(0.1))
+    block, packs, sizes = vectors._packed(homes, pivots)
+    assert sizes.sum() == 900 and sorted(set(packs)) == list(range(len(sizes))) and block == 113
+    by_cell = vectors.visits(homes, pivots, "bigint").count()
+    by_pack = vectors.visits(homes, pivots, "bigint", packs=packs).count()
+    assert by_pack <= 900 * len(sizes) < by_cell
+    found = {(r.a, r.b) for r in vectors.similar_pairs(frame(spark, matrix), 0.4).collect()}
+    want = cosines(matrix)
+    assert found == {(i, j) for i in range(900) for j in range(i + 1, 900) if want[i, j] > 0.4}
+
+
+def test_a_floor_gives_the_hits_that_sorting_all_gives():
+    matrix = clustered(120, 2)
+    unit, ids = matrix / np.linalg.norm(matrix, axis=1)[:, None], np.arange(120)
+    whole = next(vectors._hits(ids, unit, ids, unit, 3, None, False, "other"))
+    least = whole.groupby("q_id")["cos"].min().to_numpy()
+    above = next(vectors._hits(ids, unit, ids, unit, 3, None, False, "other", least))
+    assert above.reset_index(drop=True).equals(whole.reset_index(drop=True))
