@@ -43,7 +43,7 @@ MOST_WORDS, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Bits of the map of frequent phrases, as a power of two: 16 MB on every executor.
 BITS = 27
 #: Bytes of text that a task counts at once before it hands its sums on.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Phrases whose counts a task holds over its slices before it hands them on.
 HELD = 1 << 18
 NO_LANGUAGE = "und"
@@ -66,9 +66,12 @@ class Slice:
     """The words of a slice of texts, their fingerprints and where runs of n words may start."""
 
     def __init__(self, batch: pa.RecordBatch, powers: Powers) -> None:
-        parts = [tokens(t) for t in text_bytes(batch)]
-        self.words = [w for ws in parts for w in ws]
-        self.row = np.repeat(np.arange(len(parts)), [len(ws) for ws in parts])
+        self.words: list[bytes] = []
+        ends = [0]
+        for text in text_bytes(batch):
+            self.words += tokens(text)
+            ends.append(len(self.words))
+        self.row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         langs = [(x if x is not None else NO_LANGUAGE).encode() for x in batch.column("lang").to_pylist()]
         self.langs = langs
         self.salt = mixed(word_hashes(langs), 7)[self.row]
@@ -185,9 +188,9 @@ def _phrases(docs: DataFrame, most_words: int, frequent) -> DataFrame:
                 at, counts = alike_runs(part, at[known], prints[known], n)
                 for a, row, count in zip(at.tolist(), part.row[at].tolist(), counts.tolist(), strict=True):
                     add((part.langs[row], b" ".join(part.words[a : a + n])), count, ids[row])
-            if len(sums) > HELD:
-                yield handed(sums, kind)
-                sums.clear()
+                if len(sums) > HELD:
+                    yield handed(sums, kind)
+                    sums.clear()
         if sums:
             yield handed(sums, kind)
 
