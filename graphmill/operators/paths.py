@@ -26,7 +26,10 @@ def chain_ends(edges: DataFrame, *labels: str) -> DataFrame:
 
     ``edges``: src_label, src_key, dst_label, dst_key. ``labels`` are those a chain may end at; it ends at the first.
     """
-    steps = edges.select(*START, *AT).dropna().distinct().withColumn("hops", F.lit(1).cast("long"))
+    # Dealt by rows, not by bytes: stored ways are small files, which would be read by few tasks.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = edges.select(*START, *AT).dropna().repartition(parts, *START, *AT).distinct()
+    steps = steps.withColumn("hops", F.lit(1).cast("long"))
     ways = stored(steps.withColumn("ended", F.col("dst_label").isin(*labels)), "chains")
     most, reach = ways.select(*START).distinct().count(), 1
     ended, opened = F.col("ended"), ~F.col("ended")
@@ -41,7 +44,7 @@ def chain_ends(edges: DataFrame, *labels: str) -> DataFrame:
             *START, F.col("_to_label").alias("dst_label"), F.col("_to_key").alias("dst_key"),
             (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_ended").alias("ended"),
         )
-        both = ways.where(ended).unionByName(doubled)
+        both = ways.where(ended).unionByName(doubled).repartition(parts, *START, *AT)
         ways = stored(both.groupBy(*START, *AT, "ended").agg(F.min("hops").alias("hops")), "chains")
         reach *= 2
     return ways.where(ended).select(*START, *AT, "hops")

@@ -52,3 +52,16 @@ def test_any_graph_with_nulls_repeats_and_clashing_columns(spark):
     found = paths.chain_ends(edges, "Group", "Land").collect()
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == plain(rows, {"Group", "Land"})
     assert paths.chain_ends(edges.where("false"), "Group").collect() == []
+
+
+def test_stored_ways_are_dealt_by_rows(spark, monkeypatch):
+    counts, stored = [], paths.stored
+
+    def counted(df, name):
+        counts.append(df.rdd.getNumPartitions())
+        return stored(df, name)
+
+    monkeypatch.setattr(paths, "stored", counted)
+    rows = [("Unit", str(i), "Unit", str(i + 1)) for i in range(5)] + [("Unit", "5", "Group", "g")]
+    assert paths.chain_ends(edges_of(spark, rows).coalesce(1), "Group").count() == 6
+    assert set(counts) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}
