@@ -11,7 +11,7 @@ from graphmill.plans.registry import Registry
 from graphmill.plans.standins import (
     PROFILE_CTE, SUPPLIER_CTE, profiles, suppliers, table, texts,
 )
-from graphmill.session import fresh_dir
+from graphmill.session import fresh_dir, stored
 from graphmill.sources import news as news_source
 from graphmill.sources import profiles as profile_source
 from graphmill.sources import tables
@@ -456,7 +456,9 @@ def known_company_edges(spark, sf):
         F.col("p_brand").alias("evidence"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
-    resolved = match.decide_matches(mentions.select("name").distinct(), known, _same_number, floor=90.0)
+    # Read by several joins of the matching: without storing them, each would scan the items again.
+    names = stored(mentions.select("name").distinct(), "names")
+    resolved = match.decide_matches(names, known, _same_number, floor=90.0)
     return build.known_company_edges(mentions, resolved, AS_OF).drop("source", "last_updated")
 
 
