@@ -68,11 +68,14 @@ def index_score(cos: Column) -> Column:
 def unit_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
     """Double vectors of length one; rows without a direction are left out.
 
-    The length enters as an array of its own: inside a lambda it would be computed per element.
+    The length enters as an array of its own: inside a lambda it would be computed per element. Rows are left out
+    behind a generator: a filter on the length would be moved to the scan, and compute the vectors once more there.
     """
-    doubles = df.withColumn(vec, as_doubles(vec)).withColumn("_norm", norm(vec)).where(F.col("_norm") > 0)
+    doubles = df.withColumn(vec, as_doubles(vec)).withColumn("_norm", norm(vec))
     lengths = F.array_repeat("_norm", F.size(vec))
-    return doubles.withColumn(vec, F.zip_with(vec, lengths, lambda v, n: v / n)).drop("_norm")
+    unit = F.when(F.col("_norm") > 0, F.zip_with(vec, lengths, lambda v, n: v / n))
+    rows = doubles.select("*", F.explode_outer(F.array(unit)).alias("_unit_vec")).where("_unit_vec is not null")
+    return rows.withColumn(vec, F.col("_unit_vec")).drop("_norm", "_unit_vec")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -2,8 +2,9 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphmill.operators import enrich, vectors
+from graphmill.operators import enrich, hooks, vectors
 
 
 @pytest.fixture
@@ -165,3 +166,16 @@ def test_a_floor_gives_the_hits_that_sorting_all_gives():
     least = whole.groupby("q_id")["cos"].min().to_numpy()
     above = next(vectors._hits(ids, unit, ids, unit, 3, None, False, "other", least))
     assert above.reset_index(drop=True).equals(whole.reset_index(drop=True))
+
+
+def test_rows_without_direction_are_left_out_behind_the_deal(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [])]
+    given = spark.createDataFrame(rows, "id long, vec array<double>")
+    found = {r.id: r.vec for r in vectors.unit_vectors(given).collect()}
+    assert found[1] == [0.6, 0.8] and not {2, 3, 5} & set(found)
+    texts = spark.createDataFrame([(1, "a b"), (2, "..")], "id long, text string").repartition(3)
+    units = vectors.unit_vectors(hooks.text_vectors(texts)).select("id", F.size("vec"))
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    # Below the deal of the texts nothing is computed.
+    assert "Filter" in plan and "Filter" not in plan[plan.index("Repartition") :]
+    assert [r.id for r in units.collect()] == [1]
