@@ -8,7 +8,8 @@ in fifteen.
 * Seeds: anchors met once in the corpus end there. The others are joined back to their places.
 * Extension: the context of a place reaches as far left and right as a run through the anchor can.
   Places of one anchor with equal contexts extend equally far both ways: all of the context repeats,
-  and such places are settled by counting, whatever their number.
+  and such places are settled by counting, whatever their number. The most frequent context of an anchor is counted
+  with the anchor, so only places with a rarer one are joined with the counts of theirs.
 * Contexts of an anchor that occur once, and one place for each context that repeats, are extended
   run by run: the runs through the anchor are matched by a 128-bit hash. A run that two places share
   is a repeat; runs that overlap join to maximal repeats.
@@ -118,17 +119,23 @@ def _marks(places: DataFrame, paths: list[str]) -> DataFrame:
 
     What is counted is written before it is joined: adaptive execution can then split a hot anchor's places.
     """
-    met = places.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    met = met.where("n > 1").select("a", F.col("c0").eqNullSafe(F.col("c1")).alias("alike"))
+    place = F.xxhash64("k1", "k2", "pos")
+    found = places.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    met = found.groupBy("a").agg(F.sum("n").alias("met"), F.count("*").alias("ways"), F.max(F.struct("n", "c", "first")).alias("top"))
+    met = met.where("met > 1").select("a", (F.col("ways") == 1).alias("alike"), "top")
     seeds = _stored(places.join(_stored(met, "anchors", paths), "a"), "seeds", paths)
-    alike = seeds.where("alike").select("k1", "k2", "pos", "high", F.lit(True).alias("whole"), F.lit(False).alias("runs"))
-    others = seeds.where("not alike")
-    place = F.struct("k1", "k2", "pos")
+    # Of each anchor the most frequent context is known beside it; where that occurs once, all of them do.
+    rest = (F.col("c") != F.col("top.c")) & (F.col("top.n") > 1)
+    settled = seeds.where(~rest).select(
+        "k1", "k2", "pos", "high", (F.col("top.n") > 1).alias("whole"),
+        (~F.col("alike") & ((F.col("top.n") == 1) | (place == F.col("top.first")))).alias("runs"),
+    )
+    others = seeds.where(rest)
     classes = others.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     told = others.join(_stored(classes, "contexts", paths), ["a", "c"]).select(
         "k1", "k2", "pos", "high", (F.col("n") > 1).alias("whole"), (place == F.col("first")).alias("runs")
     )
-    both = alike.unionByName(told)
+    both = settled.unionByName(told)
     return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "high", "whole", "runs")).alias("marks"))
 
 

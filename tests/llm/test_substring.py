@@ -80,6 +80,24 @@ def test_marks_of_a_row_that_occurs_often(spark, monkeypatch):
     assert gathered[0] <= 60 and (60, 60, 20000) in set(map(tuple, kept))
 
 
+def test_places_with_the_most_frequent_context_are_not_joined_with_its_count(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(120)]
+    texts = [[f"b{n}x{i}" for i in range(40)] + passage + [f"e{n}x{i}" for i in range(40)] for n in range(200)]
+    texts.append(passage[:60] + [f"o{i}" for i in range(40)])
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    joined, kept = [], substring._stored
+
+    def watched(df, name, paths):
+        out = kept(df, name, paths)
+        if name == "contexts":
+            joined.append(out.selectExpr("coalesce(sum(n), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(substring, "_stored", watched)
+    assert found(docs_of(spark, rows).repartition(4)) == plain(rows)
+    assert joined[0] < 20
+
+
 def test_empty_table(spark):
     assert found(docs_of(spark, [])) == []
 
