@@ -44,8 +44,10 @@ MOST_WORDS, LEAST, TOP, SHARE = 5, 100, 2000, 100
 BITS = 27
 #: Bytes of text that a task counts at once before it hands its sums on.
 SLICE = 1 << 22
-#: Phrases whose counts a task holds over its slices before it hands them on.
-HELD = 1 << 18
+#: The same for the last scan, which makes words and phrases of it.
+SCANNED = 1 << 20
+#: Rows that the last scan hands on at once.
+HANDED = 1 << 16
 NO_LANGUAGE = "und"
 #: The signs that end a piece.
 PIECES = b".,;:!?\n\x0b\x0c\r"
@@ -150,49 +152,38 @@ def alike_runs(part: Slice, at: np.ndarray, prints: np.ndarray, n: int) -> tuple
 
 
 def _phrases(docs: DataFrame, most_words: int, frequent) -> DataFrame:
-    """lang, phrase, its count and smallest doc_id, summed over slices; the row without a phrase counts all words."""
+    """lang, phrase, its count and smallest doc_id in a slice; rows without a phrase count the words of a language.
 
-    names = ["lang", "phrase", "n", "doc_id"]
+    Every slice hands on its own rows: Spark adds them up in the task, and Python holds no more than a slice.
+    """
 
-    def handed(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
-        langs, phrases = zip(*sums, strict=True)
-        counts, ids = zip(*sums.values(), strict=True)
-        texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (langs, phrases)]
-        return pa.RecordBatch.from_arrays([*texts, pa.array(counts, pa.int64()), pa.array(ids, kind)], names=names)
+    names = ["lang", "phrase", "n", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        sums: dict[tuple, tuple] = {}
-
-        def add(key: tuple, n: int, doc_id: object) -> None:
-            if (old := sums.get(key)) is not None:
-                n += old[0]
-                if doc_id is None or old[1] is not None and old[1] < doc_id:
-                    doc_id = old[1]
-            sums[key] = n, doc_id
-
-        kind = pa.null()
-        for batch in slices(batches, most=SLICE):
-            kind = batch.column("doc_id").type
+        for batch in slices(batches, most=SCANNED):
             batch = batch.take(pc.sort_indices(batch.column("doc_id")))  # the first place has the smallest id
+            ids = batch.column("doc_id")
             part = Slice(batch, powers)
             part.number()
-            ids = batch.column("doc_id").to_pylist()
-            words = np.bincount(part.row, minlength=len(ids)) - np.bincount(part.row[part.ends], minlength=len(ids))
-            for lang, n in zip(part.langs, words.tolist(), strict=True):
-                add((lang, None), n, None)
+            langs, which = np.unique(part.langs, return_inverse=True)
+            langs, words = pa.array(langs.tolist(), pa.binary()).cast(pa.string()), pa.array(part.words, pa.binary())
+            totals = np.bincount(which[part.row], minlength=len(langs))
+            totals -= np.bincount(which[part.row[part.ends]], minlength=len(langs))
+            none = [pa.nulls(len(langs), kind) for kind in (pa.string(), ids.type)]
+            yield pa.RecordBatch.from_arrays([langs, none[0], pa.array(totals, pa.int64()), none[1]], names=names)
             for n in range(1, most_words + 1):
                 at = part.starts(n)
                 prints = part.fingerprints(at, n)
                 known = held(frequent.value, prints)
                 at, counts = alike_runs(part, at[known], prints[known], n)
-                for a, row, count in zip(at.tolist(), part.row[at].tolist(), counts.tolist(), strict=True):
-                    add((part.langs[row], b" ".join(part.words[a : a + n])), count, ids[row])
-                if len(sums) > HELD:
-                    yield handed(sums, kind)
-                    sums.clear()
-        if sums:
-            yield handed(sums, kind)
+                for i in range(0, len(at), HANDED):
+                    some = at[i : i + HANDED]
+                    run_words = [words.take(pa.array(some + k)) for k in range(n)]
+                    phrases = pc.binary_join_element_wise(*run_words, pa.scalar(b" ", pa.binary())).cast(pa.string())
+                    row = part.row[some]
+                    columns = [langs.take(pa.array(which[row])), phrases, pa.array(counts[i : i + HANDED], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(row))], names=names)
 
     narrow = docs.select("doc_id", "lang", "text")
     kind = StructField("doc_id", narrow.schema["doc_id"].dataType)

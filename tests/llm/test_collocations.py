@@ -1,11 +1,13 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from graphmill.llm import collocations, queries
 from graphmill.llm.substring import Powers
@@ -112,3 +114,36 @@ def test_sql_on_repeated_rows(spark, tmp_path):
     sql = collocations.duckdb_sql()
     assert differences(spark, con, queries.op13_collocations, sql, str(tmp_path)) is None
     assert rows_of(queries.op13_collocations(spark, str(tmp_path))) == plain(rows, 100)
+
+
+class Recorded:
+    """Stands for a table: keeps the function of its scan instead of running it."""
+
+    schema = {"doc_id": StructField("doc_id", LongType())}
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_last_scan_holds_one_slice(monkeypatch):
+    monkeypatch.setattr(collocations, "SCANNED", 64)
+    full = SimpleNamespace(value=np.full(1 << 4, np.iinfo(np.uint64).max, np.uint64))
+    texts = [f"a b c{i} d" * 4 for i in range(40)]
+    read = []
+
+    def batches():
+        for i in range(0, 40, 4):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"doc_id": [*range(i, i + 4)], "lang": ["en"] * 4, "text": texts[i : i + 4]})
+
+    sums, seen = Counter(), set()
+    for out in collocations._phrases(Recorded(), 2, full)(batches()):
+        seen.add(len(read))
+        for row in out.to_pylist():
+            sums[row["lang"], row["phrase"]] += row["n"]
+    assert seen == set(range(1, 11))
+    assert sums["en", None] == sum(len(t.split()) for t in texts)
+    assert sums["en", "a b"] == 40 and sums["en", "b c7"] == 4
