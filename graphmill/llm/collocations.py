@@ -77,7 +77,10 @@ class Slice:
         langs = [(x if x is not None else NO_LANGUAGE).encode() for x in batch.column("lang").to_pylist()]
         self.langs = langs
         self.salt = mixed(word_hashes(langs), 7)[self.row]
-        hashes = word_hashes(self.words)
+        coded = pa.array(self.words, pa.binary()).dictionary_encode()
+        #: Distinct words, and numbers of words in them: equal for equal words only.
+        self.distinct, self.numbers = coded.dictionary, coded.indices.to_numpy()
+        hashes = word_hashes(self.distinct.to_pylist())[self.numbers]
         self.ends = np.flatnonzero(hashes == word_hashes([BREAK])[0])
         up, self.down = powers.get(len(hashes) + 1)
         #: Values at 0 of the polynomials of all beginnings; a run's is a difference, moved to its start.
@@ -85,9 +88,8 @@ class Slice:
         np.cumsum(mixed(hashes, BASE) * up[: len(hashes)], out=self.sums[1:])
 
     def number(self) -> None:
-        """Numbers that are equal for equal words, and for equal languages, only."""
+        """Numbers that are equal for equal languages only."""
         known: dict[bytes, int] = {}
-        self.numbers = np.array([known.setdefault(w, len(known)) for w in self.words], np.int64)
         self.lang = np.array([known.setdefault(x, len(known)) for x in self.langs], np.int64)[self.row]
 
     def starts(self, n: int) -> np.ndarray:
@@ -167,7 +169,7 @@ def _phrases(docs: DataFrame, most_words: int, frequent) -> DataFrame:
             part = Slice(batch, powers)
             part.number()
             langs, which = np.unique(part.langs, return_inverse=True)
-            langs, words = pa.array(langs.tolist(), pa.binary()).cast(pa.string()), pa.array(part.words, pa.binary())
+            langs = pa.array(langs.tolist(), pa.binary()).cast(pa.string())
             totals = np.bincount(which[part.row], minlength=len(langs))
             totals -= np.bincount(which[part.row[part.ends]], minlength=len(langs))
             none = [pa.nulls(len(langs), kind) for kind in (pa.string(), ids.type)]
@@ -179,7 +181,7 @@ def _phrases(docs: DataFrame, most_words: int, frequent) -> DataFrame:
                 at, counts = alike_runs(part, at[known], prints[known], n)
                 for i in range(0, len(at), HANDED):
                     some = at[i : i + HANDED]
-                    run_words = [words.take(pa.array(some + k)) for k in range(n)]
+                    run_words = [part.distinct.take(pa.array(part.numbers[some + k])) for k in range(n)]
                     phrases = pc.binary_join_element_wise(*run_words, pa.scalar(b" ", pa.binary())).cast(pa.string())
                     row = part.row[some]
                     columns = [langs.take(pa.array(which[row])), phrases, pa.array(counts[i : i + HANDED], pa.int64())]
